@@ -26,7 +26,9 @@ def line_chunks(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
     ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(mean_lines)) == 0))
     ended = lines.withColumn("ends", ends)
     spans = F.transform("ends", lambda e, j: F.struct((F.coalesce(F.get("ends", j - 1), F.lit(-1)) + 1).alias("start"), e.alias("stop")))
-    rows = ended.select("doc_id", "ver", "lines", F.posexplode(spans).alias("chunk", "s")).where("s.stop > s.start")
+    # A column of its own, so that the explode is compiled and carries no copy of the lines to each row; the outer
+    # form, as for the plain one Spark would test the array below all these steps, and so run them twice.
+    rows = ended.withColumn("spans", spans).select("doc_id", "ver", "lines", F.posexplode_outer("spans").alias("chunk", "s")).where("s.stop > s.start")
     text = F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start") + 1), "\n")
     return rows.select("doc_id", "ver", "chunk", F.col("s.start").alias("start"), (F.col("s.stop") - F.col("s.start") + 1).alias("n"), text.alias("chunk_text"))
 

@@ -16,12 +16,18 @@ together; repeated items count once; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed masks of weight 6.
 MASKS = ("11101011", "110100111")
 SPAN = max(map(len, MASKS))
+OFFSETS = [[i for i, bit in enumerate(m) if bit == "1"] for m in MASKS]
+#: Places after the first that every mask reads. Sides join on these first; the whole masks are then
+#: hashed only where these words agree.
+SHARED = sorted(set.intersection(*map(set, OFFSETS)))[1:]
 WINDOW, PERCENT = 13, 80
 
 
@@ -29,36 +35,31 @@ def words_of(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(h: str, n: str) -> Column:
-    """All masked hashes, mask after mask; mask m has n - len(m) + 1 of them."""
-
-    def hashes(k: int, mask: str) -> Column:
-        at = [i for i, bit in enumerate(mask) if bit == "1"]
-        return F.transform(F.sequence(F.lit(0), F.col(n) - len(mask)), lambda i: F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in at]))
-
-    return F.concat(*[hashes(k, mask) for k, mask in enumerate(MASKS)])
+def _masked(words: str, at: Column, k: int) -> Column:
+    """The words of mask k at a place, as one hash; null where the mask does not fit."""
+    fits = at + len(MASKS[k]) <= F.size(words)
+    return F.when(fits, F.xxhash64(F.lit(k), *[F.get(words, at + o) for o in OFFSETS[k]]))
 
 
 def _with_seeds(df: DataFrame, key: str) -> DataFrame:
-    """key, words, n, at (place of the mask), seed: a row for each masked hash."""
-    df = df.select(key, words_of("text").alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= SPAN)
-    df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.select(key, "words", "n", F.posexplode(_seeds("h", "n")).alias("at", "seed"))
-    place, passed = F.col("at"), F.lit(0)
-    for mask in MASKS[:-1]:
-        passed = passed + F.col("n") - len(mask) + 1
-        place = F.when(F.col("at") >= passed, F.col("at") - passed).otherwise(place)
-    return df.withColumn("at", place)
+    """key, words, n, at, shared: a row for each place, with the hash of the words that all masks read there."""
+    df = df.select(key, words_of("text").alias("words")).withColumn("n", F.size("words"))
+    shared = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + o) for o in SHARED]))
+    # A column of its own, so that the explode is compiled and carries no copy of the words to each row; the outer
+    # form, and no filter on n, as Spark would push a filter below these steps and run them all twice.
+    return df.withColumn("all_shared", shared).select(key, "words", "n", F.posexplode_outer("all_shared").alias("at", "shared"))
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = PERCENT, max_broadcast: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, shift, n_matched: documents and items with a window that agrees."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    seeds = _with_seeds(items, "item_id").select("item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "seed").distinct()
+    seeds = _with_seeds(items, "item_id").where(F.col("n") >= SPAN)
+    seeds = seeds.select("item_id", F.col("at").alias("item_at"), F.col("n").alias("item_n"), "shared", *[_masked("words", F.col("at"), k).alias(f"m{k}") for k in range(len(MASKS))])
     if seeds.count() <= max_broadcast:
         seeds = F.broadcast(seeds)
     train = _with_seeds(docs.select("doc_id", "text").where("text is not null"), "doc_id")
-    hits = train.join(seeds, "seed").withColumn("shift", F.col("at") - F.col("item_at"))
+    whole = [F.col(f"m{k}") == _masked("words", F.col("at"), k) for k in range(len(MASKS))]
+    hits = train.join(seeds, "shared").where(reduce(Column.__or__, whole)).withColumn("shift", F.col("at") - F.col("item_at"))
     start = F.greatest("shift", F.lit(0))
     stop = F.least(F.col("n"), F.col("shift") + F.col("item_n"))
     lined = hits.select("doc_id", "item_id", "shift", "item_n", F.slice("words", start + 1, stop - start).alias("part"))

@@ -29,6 +29,8 @@ from quadrille.llm import common as c
 BITS = 16
 #: Trigrams that a text counts for at most.
 TEXT_WEIGHT = 40.0
+#: Share of trigrams that no language explains: numbers, keys, names.
+ODD = 0.3
 #: Chance that a declaration, or a country suffix, is wrong; rows that a parent's prior counts for.
 DECLARED_WRONG, SUFFIX_WRONG, PRIOR_ROWS = 0.1, 0.3, 20.0
 #: Least posterior of a row that is kept.
@@ -79,7 +81,8 @@ def train(labelled: DataFrame, max_rows: int = 5000, max_languages: int = 200, s
     for r in labelled.where(pick).select("text", "lang").mapInArrow(_count(place), "k int, counts binary").toLocalIterator():
         counts[r["k"]] += np.frombuffer(r["counts"], "<i8")
     counts += 0.1
-    out[:, :-1] = np.log(counts / counts.sum(axis=1, keepdims=True)).T
+    known = counts / counts.sum(axis=1, keepdims=True)
+    out[:, :-1] = np.log((1 - ODD) * known + ODD / (1 << BITS)).T
     return langs, out
 
 

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from quadrille.llm import common as c
 
 TARGETS = ("quality", "toxic")
-#: Words chosen for each target, and documents of the sample that a word needs.
-WORDS, LEAST_DOCS = 1500, 8
+#: Words chosen for each target at most, documents of the sample that a word needs, and standard
+#: deviations by which its share must differ between the labels (many words are tried).
+WORDS, LEAST_DOCS, LEAST_Z = 1500, 8, 5.0
 ROUNDS, SURE = 3, 100
 META = 160
 _STATS = 8
@@ -174,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool
         p = (c1 + c0) / (n1 + n0)
         z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * (1 / n1 + 1 / n0))
         z[c1 + c0 < LEAST_DOCS] = 0
-        chosen.append(np.argsort(-z, kind="stable")[:WORDS])
+        best = np.argsort(-z, kind="stable")[:WORDS]
+        chosen.append(best[z[best] >= LEAST_Z])
     keep = np.unique(np.concatenate(chosen)) if len(vocab) else np.zeros(0, np.int64)
     kept = vocab[keep]
     text_rows = []
