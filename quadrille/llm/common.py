@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -36,24 +35,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark then removes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table.
 
     Later jobs read it instead of computing it anew, also when an executor is lost. The
-    shuffle files behind df are no longer needed then; collecting garbage frees their disk.
+    shuffle files behind df are not needed any more then, so they go at once.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    del df
-    free(out.sparkSession)
-    return out
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of data frames that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write(df: DataFrame, path: str) -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:

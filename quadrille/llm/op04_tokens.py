@@ -185,9 +185,8 @@ def write_tokens(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", en
     rank[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(order)), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     ordered = encoded.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(_write(spark.sparkContext.broadcast(rank)), _BLOCKS).write.parquet(f"{path}/blocks")
+    c.write(ordered.mapInArrow(_write(spark.sparkContext.broadcast(rank)), _BLOCKS), f"{path}/blocks")
     c.drop_table(spark, encoded)
-    c.free(spark)
 
 
 def read_tokens(spark: SparkSession, path: str, each: Callable[[np.ndarray], object] | None = None, kind: pa.DataType | None = None, sql: str = "ids array<int>") -> DataFrame:
