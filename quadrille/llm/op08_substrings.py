@@ -9,9 +9,10 @@ never built whole:
    about two prefixes in `window - k + 2` are shuffled. A group with one member has no deep node
    and is left out here.
 2. A group that stays is split again by its suffixes' whole path to depth `window`, held as a
-   96-bit hash. A group's leaves are combined before the shuffle to the earliest leaf and a count,
+   96-bit hash. A group's leaves are combined before the shuffle to the earliest document,
    so a passage that a third of all documents share is a row per task, not a group in one task.
-3. Leaves other than a node's earliest are repeats; a join that Spark can split brings them back.
+3. Leaves after a node's earliest document are repeats; a join that Spark can split brings them back.
+   What repeats inside one document is told in its own task.
 
 Defined results: a null text has no words; a null doc_id repeats nothing and stays as it is; rows
 that share a doc_id are neither earlier nor later than each other at the same start, so repeated
@@ -72,10 +73,15 @@ def _paths(k: int, window: int):
             live[np.repeat(off[:-1], lens) + np.asarray(lists.flatten(), np.int64)] = True
             keep = live[at]
             starts, doc = starts[keep], doc[keep]
-            one, two = c.gram_hashes(h, window, 1), c.gram_hashes(h, window, 2)
-            cuts = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
-            out = [pa.array((starts - off[doc]).astype(np.int32)), pa.array(c.as_long(one[starts])), pa.array((two[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-            yield pa.record_batch([b.column("doc_id"), b.column("ver")] + [pa.ListArray.from_arrays(cuts, x) for x in out], names=["doc_id", "ver", "start", "path", "path2"])
+            one, two = c.gram_hashes(h, window, 1)[starts], (c.gram_hashes(h, window, 2)[starts] >> np.uint64(32)).astype(np.uint32)
+            # A path's first start in its document is a leaf; later ones are repeats already.
+            order = np.lexsort((two, one, doc))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+            rel = (starts - off[doc]).astype(np.int32)
+            lists = lambda pick, x: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[pick], np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(x[pick]))  # noqa: B023, E731
+            out = [lists(~again, rel), lists(~again, c.as_long(one)), lists(~again, two.view(np.int32)), lists(again, rel)]
+            yield pa.record_batch([b.column("doc_id"), b.column("ver"), *out], names=["doc_id", "ver", "start", "path", "path2", "again"])
 
     return run
 
@@ -119,12 +125,13 @@ def repeated_windows(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame
     c.drop_table(docs.sparkSession, prefixes)
 
     texts = docs.join(live, ["doc_id", "ver"]).select("doc_id", "ver", "text", "pos")
-    paths = c.cut(texts.mapInArrow(_paths(k, window), "doc_id long, ver int, start array<int>, path array<bigint>, path2 array<int>"), "suffix_paths")
+    paths = c.cut(texts.mapInArrow(_paths(k, window), "doc_id long, ver int, start array<int>, path array<bigint>, path2 array<int>, again array<int>"), "suffix_paths")
     c.drop_table(docs.sparkSession, live)
     leaves = paths.select("doc_id", "ver", F.inline(F.arrays_zip("start", "path", "path2")))
-    nodes = leaves.groupBy("path", "path2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
-    later = leaves.join(nodes.select("path", "path2", "first"), ["path", "path2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    out = c.cut(later.groupBy("doc_id", "ver").agg(F.collect_set("start").alias("starts")), "repeats")
+    nodes = leaves.groupBy("path", "path2").agg(F.min("doc_id").alias("first"))
+    later = leaves.join(nodes, ["path", "path2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "ver", "start")
+    again = paths.select("doc_id", "ver", F.explode("again").alias("start"))
+    out = c.cut(later.union(again).groupBy("doc_id", "ver").agg(F.collect_set("start").alias("starts")), "repeats")
     c.drop_table(docs.sparkSession, paths)
     return out
 
