@@ -32,8 +32,10 @@ SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
 #: Columns of up to this many rows are multiplied in full at once.
 SHORT = 16
-#: Passes with pivots before the rest is multiplied in full.
-PIVOT_PASSES = 4
+#: Passes with pivots at most before the rest is multiplied in full.
+PIVOT_PASSES = 6
+#: Bins in which a document's shingles are counted; the sum of the smaller counts bounds an overlap from above.
+BINS = 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -91,14 +93,15 @@ def _prefixes(k: int, percent: int, sketch):
     def run(batches):
         count = sketch.value
         for b in c.text_slices(batches):
-            n, pre = [], []
+            n, pre, bins = [], [], []
             for u in shingle_sets(b.column("text"), k):
                 n.append(len(u))
+                bins.append(np.bincount((u & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
                 p = len(u) - -(-percent * len(u) // 100) + 1 if len(u) else 0
                 if p < len(u):
                     u = u[np.lexsort((u, count[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]
                 pre.append(c.as_long(u))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(pre, pa.list_(pa.int64()))], names=["doc_id", "n", "prefix"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["doc_id", "n", "prefix", "bins"])
 
     return run
 
@@ -128,13 +131,31 @@ def _multiply(rows: DataFrame, other: DataFrame, percent: int, cond=None) -> Dat
     return _in_order(left.join(right, "h").where((F.col("label_a") < F.col("label_b") if cond is None else cond) & _size_bound(percent)))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _reach(overlap, n_a, n_b, percent: int):
+    return overlap * (100 + percent) >= (n_a + n_b) * percent
+
+
+def _joined(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
+    return pairs
+
+
+def _bounded(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose counts by bin still allow the threshold."""
+    most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return _joined(pairs, bins, "n", "bins").where(_reach(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose overlap over all columns reaches the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    both = F.size("set_a") + F.size("set_b")
-    return pairs.join(a, "a").join(b, "b").where(common * (100 + percent) >= both * percent).select("a", "b").distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = c.cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, shingles array<bigint>"), "jaccard_sets")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    found = _joined(pairs, sets, "shingles").where(_reach(common, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b").distinct()
+    found = c.cut(found, "jaccard_links")
+    c.drop_table(docs.sparkSession, sets)
+    return found
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -157,16 +178,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
     reps = classes.select(F.col("class_id").alias("doc_id")).distinct()
     incidence = c.cut(
-        docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shared), "doc_id long, n long, prefix array<bigint>").join(reps, "doc_id", "left_semi"),
+        docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shared), "doc_id long, n long, prefix array<bigint>, bins array<int>").join(reps, "doc_id", "left_semi"),
         "jaccard_prefixes",
     )
     cells = incidence.select("doc_id", "n", F.explode("prefix").alias("h"))
     columns = cells.groupBy("h").agg(F.count("*").alias("len")).where("len > 1")
     cells = c.cut(cells.join(columns, "h"), "jaccard_cells")  # columns with a single row make no pair
-    sets = c.cut(
-        docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, shingles array<bigint>"),
-        "jaccard_sets",
-    )
+    bins = c.cut(incidence.select("doc_id", "n", "bins").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard_bins")
     c.drop_table(spark, incidence)
 
     cells = cells.withColumn("label", F.col("doc_id"))
@@ -176,15 +194,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     for turn in range(PIVOT_PASSES + 1):
         if turn == PIVOT_PASSES:
             pairs = _multiply(rest, rest, percent)
-        elif turn == 0 or crossing > 4 * total + 100_000:  # noqa: F821
+        elif turn == 0 or crossing > total // 8 + 20_000:  # noqa: F821
             order = F.xxhash64("doc_id", F.lit(turn))
             pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.label")
             more = _multiply(rest, pivot, percent, F.col("label_a") != F.col("label_b"))
             pairs = pairs.union(more).distinct() if turn == 0 else more
         else:
             pairs, turn = _multiply(rest, rest, percent), PIVOT_PASSES
-        found = _links(pairs, sets, percent)
-        links = c.cut(found if links is None else links.union(found).distinct(), "jaccard_links")
+        found = _links(c.cut(_bounded(pairs, bins, percent), "jaccard_pairs"), docs, k, percent)
+        links = found if links is None else links.union(found)
         joined = components(links)
         if turn == PIVOT_PASSES:
             break
