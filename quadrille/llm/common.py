@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task holds as words at one time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

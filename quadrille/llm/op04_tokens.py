@@ -83,7 +83,7 @@ def encode_words(words: list[str], file: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _encode(file: str, end_id: int):
     def run(batches):
-        for b in c.text_slices(batches, limit=2 * c.SLICE_BYTES):
+        for b in c.text_slices(batches, limit=3 * c.SLICE_BYTES):
             off, words = c.split_words(b.column("text"))
             codes, distinct = c.word_codes(words)
             flat, woff = encode_words(distinct.to_pylist(), file)
