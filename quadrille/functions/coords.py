@@ -47,7 +47,7 @@ def normalize(coords: DataFrame, params: DataFrame) -> DataFrame:
     most = F.col("side") - EDGE
     for a in "xy":
         v = (F.col(a) - F.col(f"origin_{a}")) * F.col("scale")
-        out = out.withColumn(f"n{a}", F.coalesce(F.least(F.greatest(v, F.lit(0.0)), most), most / 2))
+        out = out.withColumn(f"n{a}", F.when(F.col("scale").isNull(), most / 2).otherwise(F.least(F.greatest(v, F.lit(0.0)), most)))
     return out.drop("scale", "origin_x", "origin_y", "side")
 
 
