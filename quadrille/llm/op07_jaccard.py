@@ -190,11 +190,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     cells = cells.withColumn("label", F.col("doc_id"))
     short = cells.where(F.col("len") <= SHORT)
     pairs, links, total = _multiply(short, short, percent), None, cells.count()
+    crossing, falling = float("inf"), True
     rest = cells.where(F.col("len") > SHORT)
     for turn in range(PIVOT_PASSES + 1):
         if turn == PIVOT_PASSES:
             pairs = _multiply(rest, rest, percent)
-        elif turn == 0 or crossing > total // 8 + 20_000:  # noqa: F821
+        elif turn == 0 or falling and crossing > total // 8 + 20_000:
             order = F.xxhash64("doc_id", F.lit(turn))
             pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.label")
             more = _multiply(rest, pivot, percent, F.col("label_a") != F.col("label_b"))
@@ -212,7 +213,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
         rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "len", "label"), "jaccard_rest")
         parts = rest.groupBy("h", "label").count().groupBy("h").agg(F.sum("count").alias("s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
-        crossing = parts.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+        before, crossing = crossing, parts.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+        falling = crossing < before / 2  # else the pairs left are mostly of different texts, and pivots do not thin them out
         if not crossing:
             break
 
