@@ -131,6 +131,18 @@ def _multiply(rows: DataFrame, other: DataFrame, percent: int, cond=None) -> Dat
     return _in_order(left.join(right, "h").where((F.col("label_a") < F.col("label_b") if cond is None else cond) & _size_bound(percent)))
 
 
+def _cross(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows that share a column and are of different components.
+
+    A column's components are paired first, by the range of their sizes, so that pairs inside one are not even looked at."""
+    parts = rows.groupBy("h", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    part = lambda x: parts.select("h", *[F.col(y).alias(f"{y}_{x}") for y in ("label", "lo", "hi")])
+    side = lambda x: rows.select("h", F.col("label").alias(f"label_{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    near = (F.col("lo_a") * percent <= F.col("hi_b") * 100) & (F.col("lo_b") * percent <= F.col("hi_a") * 100)
+    met = part("a").join(part("b"), "h").where((F.col("label_a") < F.col("label_b")) & near).select("h", "label_a", "label_b")
+    return _in_order(met.join(side("a"), ["h", "label_a"]).join(side("b"), ["h", "label_b"]).where(_size_bound(percent)))
+
+
 def _reach(overlap, n_a, n_b, percent: int):
     return overlap * (100 + percent) >= (n_a + n_b) * percent
 
@@ -194,14 +206,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     rest = cells.where(F.col("len") > SHORT)
     for turn in range(PIVOT_PASSES + 1):
         if turn == PIVOT_PASSES:
-            pairs = _multiply(rest, rest, percent)
+            pairs = _cross(rest, percent)
         elif turn == 0 or falling and crossing > total // 8 + 20_000:
             order = F.xxhash64("doc_id", F.lit(turn))
             pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.label")
             more = _multiply(rest, pivot, percent, F.col("label_a") != F.col("label_b"))
             pairs = pairs.union(more).distinct() if turn == 0 else more
         else:
-            pairs, turn = _multiply(rest, rest, percent), PIVOT_PASSES
+            pairs, turn = _cross(rest, percent), PIVOT_PASSES
         found = _links(c.cut(_bounded(pairs, bins, percent), "jaccard_pairs"), docs, k, percent)
         links = found if links is None else links.union(found)
         joined = components(links)
