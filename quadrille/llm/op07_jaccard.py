@@ -3,8 +3,8 @@
 The columns are shingles. A pair can reach the threshold only if it shares a column among the
 first `n - ceil(t n) + 1` of each row under one global order of columns, so only that part of
 the matrix is multiplied; rare columns come first. The order comes from a fixed-size count
-sketch over all shingles. Pairs whose sizes rule the threshold out are discarded before the
-overlap is accumulated over all columns.
+sketch over all shingles. Pairs whose sizes, or whose places of the first shared column, rule the
+threshold out are discarded before the overlap is accumulated over all columns.
 
 Copies (equal shingle sets) are one row of the matrix. In a long column, pairs within one group
 are not all multiplied: each row meets one pivot, linked rows become one component, and only
@@ -97,8 +97,8 @@ def _prefixes(k: int, percent: int, sketch):
             for u in shingle_sets(b.column("text"), k):
                 n.append(len(u))
                 bins.append(np.bincount((u & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
-                p = len(u) - -(-percent * len(u) // 100) + 1 if len(u) else 0
-                if p < len(u):
+                if len(u):
+                    p = len(u) - -(-percent * len(u) // 100) + 1
                     u = u[np.lexsort((u, count[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]
                 pre.append(c.as_long(u))
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["doc_id", "n", "prefix", "bins"])
@@ -124,27 +124,42 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _multiply(rows: DataFrame, other: DataFrame, percent: int, cond=None) -> DataFrame:
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("h", F.col("doc_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "left", "label")])
+
+
+def _reach(overlap, n_a, n_b, percent: int):
+    return overlap * (100 + percent) >= (n_a + n_b) * percent
+
+
+def _may_link(percent: int):
+    """Sizes and places that still allow the threshold. At the first column that a pair shares in the
+    global order, the overlap is at most what is left of either row; at later columns this fails no sooner."""
+    return _size_bound(percent) & _reach(F.least("left_a", "left_b"), F.col("n_a"), F.col("n_b"), percent)
+
+
+def _multiply(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of rows that share a column."""
-    left = rows.select("h", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = other.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return _in_order(left.join(right, "h").where((F.col("label_a") < F.col("label_b") if cond is None else cond) & _size_bound(percent)))
+    return _in_order(_side(rows, "a").join(_side(rows, "b"), "h").where((F.col("label_a") < F.col("label_b")) & _may_link(percent)))
+
+
+def _meet(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a row and its column's pivot, at any column that they share, not only at the first one."""
+    return _in_order(_side(rows, "a").join(_side(pivots, "b"), "h").where((F.col("label_a") != F.col("label_b")) & _size_bound(percent)))
 
 
 def _cross(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of rows that share a column and are of different components.
 
-    A column's components are paired first, by the range of their sizes, so that pairs inside one are not even looked at."""
-    parts = rows.groupBy("h", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    part = lambda x: parts.select("h", *[F.col(y).alias(f"{y}_{x}") for y in ("label", "lo", "hi")])
-    side = lambda x: rows.select("h", F.col("label").alias(f"label_{x}"), F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"))
+    A column's components are paired first, by the ranges of their sizes and places, so that pairs
+    inside one are not even looked at; then the smaller component's rows are brought in, then the other's."""
+    parts = rows.groupBy("h", "label").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("left"))
+    part = lambda x: parts.select("h", *[F.col(y).alias(f"{y}_{x}") for y in ("label", "k", "lo", "hi", "left")])
     near = (F.col("lo_a") * percent <= F.col("hi_b") * 100) & (F.col("lo_b") * percent <= F.col("hi_a") * 100)
-    met = part("a").join(part("b"), "h").where((F.col("label_a") < F.col("label_b")) & near).select("h", "label_a", "label_b")
-    return _in_order(met.join(side("a"), ["h", "label_a"]).join(side("b"), ["h", "label_b"]).where(_size_bound(percent)))
-
-
-def _reach(overlap, n_a, n_b, percent: int):
-    return overlap * (100 + percent) >= (n_a + n_b) * percent
+    near = near & _reach(F.least("left_a", "left_b"), F.col("lo_a"), F.col("lo_b"), percent)
+    met = part("a").join(part("b"), "h").where((F.struct("k_a", "label_a") < F.struct("k_b", "label_b")) & near)
+    met = met.select("h", "label_a", "label_b")
+    return _in_order(met.join(_side(rows, "a"), ["h", "label_a"]).join(_side(rows, "b"), ["h", "label_b"]).where(_may_link(percent)))
 
 
 def _joined(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
@@ -193,7 +208,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shared), "doc_id long, n long, prefix array<bigint>, bins array<int>").join(reps, "doc_id", "left_semi"),
         "jaccard_prefixes",
     )
-    cells = incidence.select("doc_id", "n", F.explode("prefix").alias("h"))
+    cells = incidence.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h")).select("doc_id", "n", "h", (F.col("n") - F.col("pos")).alias("left"))
     columns = cells.groupBy("h").agg(F.count("*").alias("len")).where("len > 1")
     cells = c.cut(cells.join(columns, "h"), "jaccard_cells")  # columns with a single row make no pair
     bins = c.cut(incidence.select("doc_id", "n", "bins").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard_bins")
@@ -201,7 +216,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
 
     cells = cells.withColumn("label", F.col("doc_id"))
     short = cells.where(F.col("len") <= SHORT)
-    pairs, links, total = _multiply(short, short, percent), None, cells.count()
+    pairs, links, total = _multiply(short, percent), None, cells.count()
     crossing, falling = float("inf"), True
     rest = cells.where(F.col("len") > SHORT)
     for turn in range(PIVOT_PASSES + 1):
@@ -209,8 +224,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
             pairs = _cross(rest, percent)
         elif turn == 0 or falling and crossing > total // 8 + 20_000:
             order = F.xxhash64("doc_id", F.lit(turn))
-            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.label")
-            more = _multiply(rest, pivot, percent, F.col("label_a") != F.col("label_b"))
+            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "left", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.left", "p.label")
+            more = _meet(rest, pivot, percent)
             pairs = pairs.union(more).distinct() if turn == 0 else more
         else:
             pairs, turn = _cross(rest, percent), PIVOT_PASSES
@@ -223,7 +238,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         label = joined.select(F.col("node").alias("doc_id"), "component")
         rest = rest.drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "len", "label"), "jaccard_rest")
+        rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "left", "len", "label"), "jaccard_rest")
         parts = rest.groupBy("h", "label").count().groupBy("h").agg(F.sum("count").alias("s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
         before, crossing = crossing, parts.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
         falling = crossing < before / 2  # else the pairs left are mostly of different texts, and pivots do not thin them out
