@@ -219,11 +219,14 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     pairs, links, total = _multiply(short, percent), None, cells.count()
     crossing, falling = float("inf"), True
     rest = cells.where(F.col("len") > SHORT)
+    lead = rest.groupBy("doc_id").agg(F.max(F.col("left") / F.col("n")).alias("lead"))
+    rest = rest.join(lead, "doc_id")
     for turn in range(PIVOT_PASSES + 1):
         if turn == PIVOT_PASSES:
             pairs = _cross(rest, percent)
         elif turn == 0 or falling and crossing > total // 8 + 20_000:
-            order = F.xxhash64("doc_id", F.lit(turn))
+            # First the row that has the least before its first long column: of near copies, the one nearest to all others.
+            order = F.struct(F.lit(0.0) if turn else -F.col("lead"), F.xxhash64("doc_id", F.lit(turn)))
             pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "left", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.left", "p.label")
             more = _meet(rest, pivot, percent)
             pairs = pairs.union(more).distinct() if turn == 0 else more
@@ -238,7 +241,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         label = joined.select(F.col("node").alias("doc_id"), "component")
         rest = rest.drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "left", "len", "label"), "jaccard_rest")
+        rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "left", "len", "lead", "label"), "jaccard_rest")
         parts = rest.groupBy("h", "label").count().groupBy("h").agg(F.sum("count").alias("s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
         before, crossing = crossing, parts.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
         falling = crossing < before / 2  # else the pairs left are mostly of different texts, and pivots do not thin them out
