@@ -1,13 +1,17 @@
-"""Line dedup by content-defined chunks, in DataFrame functions only.
+"""Line dedup by repeated windows of two lines, in DataFrame functions only.
 
-A rolling hash over each three line hashes decides where a chunk of lines ends, so an inserted
-line moves the boundaries near it only. Chunks of two lines or more that occur anywhere before
-(smaller doc_id, or earlier in the same document) are removed. Equal hashes only nominate;
-chunks are grouped and joined by their text, byte for byte.
+A rolling hash over each two lines nominates the windows that occur twice; they are grouped and joined
+by their text, byte for byte. Lines of a window that occurs anywhere before (smaller doc_id, or earlier
+in the same document) are removed. So a passage of two lines or more that stands before loses all its
+lines, wherever it begins and ends: each hit reaches into its neighbours as long as both sides agree.
+No line vanishes altogether: the first place of a line's text is never removed.
 
-Defined results: a null text stays null with no lines; an empty text is one empty line; a null
-doc_id takes no part; rows that share a doc_id are told apart by their texts, and repeated rows
-are one document, so all keep the same lines; other columns are ignored.
+Content-defined chunks, which this replaces, chose a boundary at one line in four, and lost each
+passage without two boundaries of its own.
+
+Defined results: a null text stays null with no lines; an empty text is one empty line, and empty lines
+are lines; a null doc_id takes no part; rows that share a doc_id are told apart by their texts, and
+repeated rows are one document, so all keep the same lines; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,43 +22,44 @@ from pyspark.sql import functions as F
 from quadrille.llm import common as c
 
 
-def line_chunks(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """doc_id, ver, chunk, start, n, chunk_text: each document's chunks of two lines or more."""
-    last = F.size("lines") - 1
-    lines = docs.select("doc_id", "ver", F.split("text", "\n").alias("lines")).withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-    rolling = lambda i: F.xxhash64(F.get("h", i - 2), F.get("h", i - 1), F.get("h", i))
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(rolling(i), F.lit(mean_lines)) == 0))
-    ended = lines.withColumn("ends", ends)
-    spans = F.transform("ends", lambda e, j: F.struct((F.coalesce(F.get("ends", j - 1), F.lit(-1)) + 1).alias("start"), e.alias("stop")))
+def line_windows(docs: DataFrame) -> DataFrame:
+    """doc_id, ver, at, h: the hash of each two lines in a row."""
+    lines = docs.select("doc_id", "ver", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    both = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
     # A column of its own, so that the explode is compiled and carries no copy of the lines to each row; the outer
     # form, as for the plain one Spark would test the array below all these steps, and so run them twice.
-    rows = ended.withColumn("spans", spans).select("doc_id", "ver", "lines", F.posexplode_outer("spans").alias("chunk", "s")).where("s.stop > s.start")
-    text = F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start") + 1), "\n")
-    return rows.select("doc_id", "ver", "chunk", F.col("s.start").alias("start"), (F.col("s.stop") - F.col("s.start") + 1).alias("n"), text.alias("chunk_text"))
+    rows = lines.withColumn("both", both).withColumn("n", F.size("h")).select("doc_id", "ver", "n", F.posexplode_outer("both").alias("at", "h"))
+    return rows.where("at + 1 < n").select("doc_id", "ver", "at", "h")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, ver, gone: the places, in order, of windows of two lines that occur before."""
+    windows = line_windows(docs)
+    # 8 bytes a window find the hashes that occur twice; only their windows move with their text.
+    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    named = c.cut(windows.join(twice, "h").groupBy("doc_id", "ver").agg(F.array_sort(F.collect_set("at")).alias("ats")), "line_hashes")
+    lines = docs.join(named, ["doc_id", "ver"]).select("doc_id", "ver", "ats", F.split("text", "\n").alias("lines"))
+    texts = F.transform("ats", lambda i: F.struct(i.alias("at"), F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)).alias("pair")))
+    found = lines.withColumn("w", texts).select("doc_id", "ver", F.explode_outer("w").alias("w")).select("doc_id", "ver", "w.at", "w.pair")
+    found = c.cut(found, "line_windows")
+    first = found.groupBy("pair").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = found.join(first, "pair").where(F.struct("doc_id", "ver", "at") > F.col("first"))
+    return c.cut(later.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_set("at")).alias("gone")), "line_repeats")
 
 
-def dedup_lines(docs: DataFrame, mean_lines: int = 4) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text: the texts without multi-line chunks that occur before."""
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text: the texts without passages of two lines or more that occur before."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("ver"))
-    chunks = line_chunks(docs.where("doc_id is not null and text is not null"), mean_lines).withColumn("chunk_hash", F.xxhash64("chunk_text"))
-    # 8 bytes a chunk find the hashes that occur twice; only their chunks move with their text.
-    twice = chunks.groupBy("chunk_hash").agg(F.count("*").alias("k")).where("k > 1").select("chunk_hash")
-    found = c.cut(chunks.join(twice, "chunk_hash"), "line_chunks")
-    first = found.groupBy("chunk_hash", "chunk_text").agg(F.min(F.struct("doc_id", "ver", "chunk")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = found.join(first, ["chunk_hash", "chunk_text"]).where(F.struct("doc_id", "ver", "chunk") > F.col("first"))
-    gone = c.cut(later.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("gone")), "line_repeats")
-    both = docs.join(gone, ["doc_id", "ver"], "left")
-    # The lines between removed chunks, in order.
-    lines, n = F.col("lines"), F.size("gone")
+    both = docs.join(repeated_lines(docs.where("doc_id is not null and text is not null")), ["doc_id", "ver"], "left")
+    # Windows that overlap are one span; what stays are the lines between the spans, in order.
+    starts = F.filter("gone", lambda x, j: (j == 0) | (x - F.get("gone", j - 1) > 1))
+    stops = F.filter("gone", lambda x, j: (j == F.size("gone") - 1) | (F.get("gone", j + 1) - x > 1))
+    both = both.withColumn("spans", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 2).alias("stop")))).withColumn("lines", F.split("text", "\n"))
+    lines, before = F.col("lines"), lambda j: F.coalesce(F.get("spans", j - 1)["stop"], F.lit(0))
     stays = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda j: F.slice(
-            lines,
-            F.coalesce(F.get("gone", j - 1)["start"] + F.get("gone", j - 1)["n"], F.lit(0)) + 1,
-            F.coalesce(F.get("gone", j)["start"], F.size(lines)) - F.coalesce(F.get("gone", j - 1)["start"] + F.get("gone", j - 1)["n"], F.lit(0)),
-        ),
+        F.sequence(F.lit(0), F.size("spans")),
+        lambda j: F.slice(lines, before(j) + 1, F.coalesce(F.get("spans", j)["start"], F.size(lines)) - before(j)),
     )
-    both = both.withColumn("lines", F.split("text", "\n"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stays), "\n"))
-    removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, x: a + x["n"]), F.lit(0))
+    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stays), "\n"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda a, x: a + x["stop"] - x["start"]), F.lit(0))
     return both.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), kept.alias("kept_text"))

@@ -64,3 +64,17 @@ def remove_repeats(docs, window=20):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[d] = len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
     return out
+
+
+def dedup_lines(docs):
+    """docs: distinct (doc_id, text). Lines of two-line windows that occur before go."""
+    first, out = {}, {}
+    for d in sorted(docs):
+        lines = docs[d].split("\n")
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            first.setdefault(pair, (d, i))
+    for d, text in docs.items():
+        lines = text.split("\n")
+        gone = {i + j for i, pair in enumerate(zip(lines, lines[1:], strict=False)) if first[pair] != (d, i) for j in (0, 1)}
+        out[d] = len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out

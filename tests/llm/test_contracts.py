@@ -78,6 +78,19 @@ def test_line_dedup(spark, empty):
     assert op02_lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_every_passage(spark):
+    rng = random.Random(6)
+    texts = {}
+    for i in range(80):  # passages of two or three lines, each in several documents, and common single lines
+        lines = [f"own {rng.randrange(10**9)}" if rng.random() < 0.7 else rng.choice(["common", "", "x"]) for _ in range(rng.randrange(0, 12))]
+        k, at = rng.randrange(12), rng.randrange(len(lines) + 1)
+        texts[i] = "\n".join(lines[:at] + [f"passage {k} line {j}" for j in range(2 + k % 2)] + lines[at:])
+    texts |= {90: "x\nx\nx\nx", 91: "", 92: "passage 1 line 0", 93: texts[5], 94: "\n\n"}
+    got = rows_of(op02_lines.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)))
+    assert {d: (r["n_lines"], r["n_removed"], r["kept_text"]) for d, r in got.items()} == brute.dedup_lines(texts)
+    assert {x for t in texts.values() for x in t.split("\n")} == {x for r in got.values() for x in r["kept_text"].split("\n")}
+
+
 def test_decontaminate(spark, empty):
     rng = random.Random(3)
     item = [f"w{rng.randrange(1000)}" for _ in range(30)]
