@@ -5,12 +5,14 @@ the other view learns from them. On held-out labelled rows each view's score is
 regression combines the calibrated views. Two targets are learnt: quality and toxicity.
 
 Training uses seeded samples of about `max_labelled` labelled and `max_pool` other rows, features
-included; every row is scored, over its whole text.
+included; every row is scored, over its whole text. If more rows have labels, they are drawn for each
+target and kind, rare kinds first, and weigh as many rows as they stand for.
 
 Defined results: null or empty texts have no words; null metadata is a value of its own; rows of
 labels that share a doc_id count as their largest values; labels of unknown documents and null
-labels are ignored; if a target has labels of one kind only, its score is that kind's; without labels all
-is kept; repeated rows are scored alike; other columns are ignored.
+labels are ignored; if a target has labels of one kind only, its score is that kind's; with under
+`LEAST_LABELS` labels of both kinds, or none, the target keeps all; with a single label of a kind its
+score is the share of ones; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ TARGETS = ("quality", "toxic")
 #: deviations by which its share must differ between the labels (many words are tried).
 WORDS, LEAST_DOCS, LEAST_Z = 1500, 8, 5.0
 ROUNDS, SURE = 3, 100
+LEAST_LABELS = 10
 META = 160
 _STATS = 8
 _FIELDS = "doc_id long, words array<bigint>, stats array<float>, meta array<int>"
@@ -119,12 +122,18 @@ def _column(*z):
     return Sparse([(np.arange(len(z)), np.array(r)) for r in zip(*z, strict=True)], len(z))
 
 
-def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, seed: int = 0) -> dict:
-    """y: 0, 1, or -1 for rows of the pool."""
+def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, seed: int = 0, weight: np.ndarray | None = None) -> dict:
+    """y: 0, 1, or -1 for rows of the pool. weight: the rows that each row stands for."""
     known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    order = np.random.default_rng(seed).permutation(known)
-    held, base = order[: max(len(order) // 5, 1)], order[max(len(order) // 5, 1) :]
-    learn = {v: (base, y[base].astype(float), np.ones(len(base))) for v in ("text", "meta")}
+    weight = np.ones(len(y)) if weight is None else weight / weight[known].mean()
+    rng = np.random.default_rng(seed)
+    held, base = [], []
+    for kind in (0, 1):  # both sides hold both kinds
+        order = rng.permutation(known[y[known] == kind])
+        held.append(order[: max(len(order) // 5, 1)])
+        base.append(order[max(len(order) // 5, 1) :])
+    held, base = np.concatenate(held), np.concatenate(base)
+    learn = {v: (base, y[base].astype(float), weight[base]) for v in ("text", "meta")}
     views, weights = {"text": text, "meta": meta}, {}
     for _ in range(ROUNDS + 1):
         for v, x in views.items():
@@ -142,21 +151,42 @@ def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, seed: int = 0) -> dict:
             rows, target, how = learn[other]
             learn[other] = np.concatenate((rows, picked)), np.concatenate((target, new)), np.concatenate((how, np.full(len(picked), 0.3)))
     z = {v: views[v].take(held).dot(weights[v][:-1]) + weights[v][-1] for v in views}
-    scale = {v: _fit(_column(z[v]), y[held].astype(float), np.ones(len(held)), 1e-4) for v in views}
+    scale = {v: _fit(_column(z[v]), y[held].astype(float), weight[held], 1e-4) for v in views}
     flat = [scale[v][0] * z[v] + scale[v][1] for v in views]
-    return weights | {"scale": scale, "join": _fit(_column(*flat), y[held].astype(float), np.ones(len(held)), 1e-4)}
+    return weights | {"scale": scale, "join": _fit(_column(*flat), y[held].astype(float), weight[held], 1e-4)}
+
+
+def _rates(n: dict, rows: int, most: int) -> dict:
+    """The share to draw for each (target, kind), of n labels: a quarter of `most`, and what the other kind leaves of a half."""
+    half = most / 2
+    return {(t, k): 1.0 if rows <= most else min(1.0, max(half / 2, half - n[t, 1 - k]) / max(n[t, k], 1)) for t, k in n}
+
+
+def _constant(t: str, n0: int, n1: int) -> float | None:
+    """The score where the labels are too few to learn from; None: learn."""
+    if n0 and n1 and n0 + n1 >= LEAST_LABELS:
+        return None if min(n0, n1) > 1 else n1 / (n0 + n1)
+    return float(t == "quality") if bool(n0) == bool(n1) else float(n1 > 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, seed: int = 0) -> dict:
     """docs: doc_id, text, source, lang, n_chars. labels: doc_id, quality, toxic."""
     labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in TARGETS])
-    draw = lambda n, of: F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("cotrain")), F.lit(1 << 20)) < int(min(1.0, n / max(of, 1)) * (1 << 20))
-    n_labels = labels.count()
-    some = labels.where(draw(max_labelled, n_labels))
+    labels = c.cut(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "cotrain_labels")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("cotrain")), F.lit(1 << 40))
+    limit = lambda share: F.lit(int(share * (1 << 40)))
+    strata = [(t, k) for t in TARGETS for k in (0, 1)]
+    n = labels.agg(F.count(F.coalesce(*TARGETS)).alias("rows"), *[F.count_if(F.col(t) == k).alias(f"{t}{k}") for t, k in strata]).first().asDict()
+    share = _rates({(t, k): n[f"{t}{k}"] for t, k in strata}, n["rows"], max_labelled)
+    # One draw a row: it is in if any of its kinds takes it, so its chance is the largest of theirs.
+    chance = F.greatest(*[F.when(F.col(t) == k, limit(share[t, k])).otherwise(F.lit(0).cast("long")) for t, k in strata])
+    some = labels.withColumn("chance", chance).where(at < F.col("chance"))
     known = docs.join(F.broadcast(some), "doc_id")  # about max_labelled rows
-    pool = docs.where(draw(max_pool, docs.count())).join(labels, "doc_id", "left_anti")
+    pool = docs.where(at < limit(min(1.0, max_pool / max(docs.count(), 1)))).join(labels, "doc_id", "left_anti")
     tables = [known.select(*docs.columns).mapInArrow(_collect, _FIELDS).toArrow(), pool.mapInArrow(_collect, _FIELDS).toArrow()]
-    truth = {r["doc_id"]: [r[t] for t in TARGETS] for r in some.collect()}
+    drawn = some.collect()
+    truth = {r["doc_id"]: [r[t] for t in TARGETS] for r in drawn}
+    stands = {r["doc_id"]: (1 << 40) / r["chance"] for r in drawn}
     ids, words, stats, meta = [], [], [], []
     for t in tables:
         order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
@@ -166,15 +196,24 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool
         stats += t.column("stats").to_pylist()
         meta += t.column("meta").to_pylist()
     y = {t: np.array([v if (v := truth.get(d, [None] * 2)[k]) is not None else -1 for d in ids]) for k, t in enumerate(TARGETS)}
+    weight = np.array([stands.get(d, 1.0) for d in ids])
     vocab, chosen, model = np.unique(np.concatenate(words)) if words else np.zeros(0, np.int64), [], {}
     rows = [np.searchsorted(vocab, w) for w in words]
     for t in TARGETS:
-        n1, n0 = max((y[t] == 1).sum(), 1), max((y[t] == 0).sum(), 1)
-        count = lambda kind: sum((np.bincount(r, minlength=len(vocab)) for r, k in zip(rows, y[t], strict=True) if k == kind), np.zeros(len(vocab)))  # noqa: B023, E731
-        c1, c0 = count(1), count(0)
-        p = (c1 + c0) / (n1 + n0)
-        z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * (1 / n1 + 1 / n0))
-        z[c1 + c0 < LEAST_DOCS] = 0
+        # Shares of the rows that the drawn ones stand for, and the number of equal rows that would be as exact.
+        docs_of, part, like = np.zeros(len(vocab)), [], []
+        for kind in (0, 1):
+            own = np.flatnonzero(y[t] == kind)
+            w, total = weight[own], max(weight[own].sum(), 1e-9)
+            shares = np.zeros(len(vocab))
+            for i in own:  # the words of a row are distinct
+                shares[rows[i]] += weight[i]
+                docs_of[rows[i]] += 1
+            part.append(shares / total)
+            like.append(max(total**2 / max((w**2).sum(), 1e-9), 1))
+        p = (part[0] * like[0] + part[1] * like[1]) / (like[0] + like[1])
+        z = np.abs(part[1] - part[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * (1 / like[0] + 1 / like[1]))
+        z[docs_of < LEAST_DOCS] = 0
         best = np.argsort(-z, kind="stable")[:WORDS]
         chosen.append(best[z[best] >= LEAST_Z])
     keep = np.unique(np.concatenate(chosen)) if len(vocab) else np.zeros(0, np.int64)
@@ -186,8 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool
         text_rows.append((np.concatenate((at, len(kept) + np.arange(_STATS))), np.concatenate((np.ones(len(at)), s))))
     text, page = Sparse(text_rows, len(kept) + _STATS), Sparse([(np.array(m), np.ones(3)) for m in meta], META)
     for k, t in enumerate(TARGETS):
-        kinds = set(y[t][y[t] >= 0].tolist())
-        model[t] = cotrain(text, page, y[t], seed + k) if len(kinds) == 2 and (y[t] >= 0).sum() >= 10 else float(next(iter(kinds), t == "quality"))
+        fixed = _constant(t, n[f"{t}0"], n[f"{t}1"])
+        model[t] = cotrain(text, page, y[t], seed + k, weight) if fixed is None else fixed
     return {"words": kept, "targets": model}
 
 

@@ -194,6 +194,27 @@ def test_cotraining(spark, empty):
     assert op09_cotrain.classify(empty, marks).count() == 0
 
 
+def test_cotraining_draws_rare_kinds(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(3000):
+        bad, toxic = i % 3 == 0, i % 50 == 1
+        w = [f"w{rng.randrange(300)}" + (" |" if bad else "") for _ in range(60)]
+        w[7] = "nasty" if toxic else w[7]
+        rows.append((i, " ".join(w), "en", "one", 300))
+        if i < 2000:  # quality is known of 60 documents, 40 are toxic
+            labels.append((i, int(not bad) if i < 60 else None, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([*labels, *[(10**6 + i, 0, 0) for i in range(3000)]], "doc_id long, quality int, toxic int")
+    got = rows_of(op09_cotrain.classify(df, marks, max_labelled=200, max_pool=200))
+    held = range(2000, 3000)
+    assert np.mean([(got[i]["quality"] >= 0.5) == (i % 3 != 0) for i in held]) > 0.95
+    assert np.mean([got[i]["toxic"] >= 0.5 for i in held if i % 50 == 1]) > 0.9 and np.mean([got[i]["toxic"] < 0.5 for i in held if i % 50 != 1]) > 0.95
+    few = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 8)], "doc_id long, quality int, toxic int")
+    assert all(r["kept"] for r in op09_cotrain.classify(df, few).collect())
+    assert op09_cotrain._constant("quality", 0, 5) == 1.0 and op09_cotrain._constant("toxic", 3, 0) == 0.0 and op09_cotrain._constant("quality", 1, 19) == 0.95
+
+
 def test_mixing(table, docs, empty):
     sizes, w = [100, 10, 50, 0], [1, 2, 3, 1]
     t = op10_mixing.targets_for(sizes, w)
