@@ -4,8 +4,10 @@ Each distinct word of a slice of documents is cut by two public vocabularies, on
 document's figures are summed from its words: characters per token (both), the share of tokens
 that stand for single bytes (byte fallback) and the entropy of its token distribution. A group's
 bands come from all its documents that pass the base rules: quartiles, widened by a multiple of
-the distance between them. Groups with few documents use the bands of all documents. A group is
-the declared language, or the main script of the letters where none is declared.
+the distance between them. The fewer documents a group has, the more its bands open towards those of
+all documents in the same script, where these reach further, and very few reject next to nothing. So
+no group is judged by the figures of another script, and nothing jumps at a group size. A group is the
+declared language, or the main script of the letters where none is declared.
 
 Defined results: null or empty texts have no words and fail the base rules; a null language is
 grouped by script; a null doc_id or a repeated row is a row like any other; other columns are ignored.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
 
-#: Documents that a group needs for bands of its own.
-MIN_GROUP = 100
+#: Documents that a group needs for bands of its own alone; with fewer than the second, all bands reach further in proportion.
+MIN_GROUP, FEW = 100, 20
 #: Distances between the quartiles that a band reaches beyond them, and the least such distance as a share of the median.
 REACH, LEAST = 4.0, 0.08
 _loaded: dict = {}
@@ -96,7 +98,7 @@ def _duplicate_lines(text: bytes) -> int:
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_FIELDS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, piece_tokens long, byte_tokens long, fallback_share double, entropy double"
+_FIELDS = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, piece_tokens long, byte_tokens long, fallback_share double, entropy double"
 
 
 def _measure(piece_file: str, byte_file: str):
@@ -113,7 +115,7 @@ def _measure(piece_file: str, byte_file: str):
             fall = np.concatenate(([0], np.cumsum(is_byte[flat])))
             total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v[codes])))[off])
             columns = [np.diff(off), total(chars)]
-            symbols, dup, rep, entropy, group = [], [], [], [], []
+            symbols, dup, rep, entropy, group, scripts = [], [], [], [], [], []
             langs = b.column("lang").to_pylist()
             for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 raw = texts[i].as_buffer()
@@ -128,11 +130,12 @@ def _measure(piece_file: str, byte_file: str):
                     entropy.append(float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids)))
                 else:
                     entropy.append(0.0)
-                group.append(langs[i] if langs[i] is not None else f"script:{_script(raw.to_pybytes().decode())}")
+                scripts.append(_script(raw.to_pybytes().decode()))
+                group.append(langs[i] if langs[i] is not None else f"script:{scripts[-1]}")
             pieces = total(np.diff(woff))
             share = total(np.diff(fall[woff])) / np.maximum(pieces, 1)
             columns += [symbols, dup, rep, pieces, total(byte_n), share, entropy]
-            yield pa.record_batch([b.column("doc_id"), pa.array(group, pa.string()), *(pa.array(x) for x in columns)], names=[f.split()[0] for f in _FIELDS.split(", ")])
+            yield pa.record_batch([b.column("doc_id"), pa.array(group, pa.string()), pa.array(scripts, pa.string()), *(pa.array(x) for x in columns)], names=[f.split()[0] for f in _FIELDS.split(", ")])
 
     return run
 
@@ -154,17 +157,22 @@ def fertility(docs: DataFrame, piece_file: str = "piece_bpe_32k.model", byte_fil
         .withColumn("byte_chars", F.col("word_chars") / F.greatest("byte_tokens", F.lit(1)))
         .withColumn("entropy_share", F.when(F.col("piece_tokens") > 1, F.col("entropy") / F.log2("piece_tokens")).otherwise(0.0))
     )
-    # Quartiles of all good documents, by group and overall: mergeable sketches, a row a group.
-    quartiles = [F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(name) for name, _, _ in MEASURES]
+    # Quartiles of all good documents, by group and by script: mergeable sketches, a row a group.
     good = m.where("not base_failed")
-    groups = good.groupBy("lang").agg(F.count("*").alias("group_docs"), *quartiles).where(F.col("group_docs") >= MIN_GROUP)
-    overall = good.agg(*[q.alias(f"all_{name}") for q, (name, _, _) in zip(quartiles, MEASURES, strict=True)]).first()  # one row
-    m = m.join(groups.select("lang", *[F.col(n).alias(f"q_{n}") for n, _, _ in MEASURES]), "lang", "left")
+
+    def bands(by: str) -> DataFrame:
+        """Both ends of each measure's band."""
+        q = good.groupBy(by).agg(F.count("*").alias(f"{by}_docs"), *[F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(name) for name, _, _ in MEASURES])
+        reach = REACH * F.greatest(F.lit(1.0), FEW / F.col(f"{by}_docs"))
+        wide = {n: reach * F.greatest(F.col(n)[2] - F.col(n)[0], F.lit(LEAST) * F.col(n)[1], F.lit(0.01)) for n, _, _ in MEASURES}
+        return q.select(by, f"{by}_docs", *[x for n, w in wide.items() for x in ((F.col(n)[0] - w).alias(f"{by}_low_{n}"), (F.col(n)[2] + w).alias(f"{by}_high_{n}"))])
+
+    m = m.join(bands("lang"), "lang", "left").join(F.broadcast(bands("script")), "script", "left")  # a row a script
+    lacks = F.greatest(1 - F.col("lang_docs") / MIN_GROUP, F.lit(0.0))
     out = F.lit(False)
     for name, low, high in MEASURES:
-        q = overall[f"all_{name}"]
-        q = F.coalesce(f"q_{name}", F.array(*[F.lit(x) for x in q]) if q else F.lit(None).cast("array<double>"))
-        wide = REACH * F.greatest(q[2] - q[0], F.lit(LEAST) * q[1], F.lit(0.01))
-        out = out | (F.col(name) < q[0] - wide if low else F.lit(False)) | (F.col(name) > q[2] + wide if high else F.lit(False))
+        least = F.coalesce(F.col(f"lang_low_{name}") - lacks * F.greatest(F.col(f"lang_low_{name}") - F.col(f"script_low_{name}"), F.lit(0.0)), f"script_low_{name}")
+        most = F.coalesce(F.col(f"lang_high_{name}") + lacks * F.greatest(F.col(f"script_high_{name}") - F.col(f"lang_high_{name}"), F.lit(0.0)), f"script_high_{name}")
+        out = out | (F.col(name) < least if low else F.lit(False)) | (F.col(name) > most if high else F.lit(False))
     m = m.withColumn("out_of_band", F.coalesce(out, F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("out_of_band"))
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "out_of_band", "piece_chars", "byte_chars", "fallback_share", "entropy", "entropy_share")

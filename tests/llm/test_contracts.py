@@ -60,6 +60,21 @@ def test_fertility(table, docs, empty):
     assert op01_fertility.fertility(empty).count() == 0
 
 
+def test_fertility_keeps_rare_languages(spark):
+    rng = random.Random(8)
+    made = {"en": "the house stands near a river and people walk there every morning with bread from the market while children play under old trees".split()}
+    made["ru"] = "дом стоит у реки и люди ходят там каждое утро с хлебом из лавки пока дети играют под старыми деревьями".split()
+    made["zh"] = "房子 河边 人们 每天 早上 市场 面包 孩子 树下 玩耍 老师 学生 读书 写字 山水 花鸟".split()
+    made["vi"] = "ngôi nhà đứng gần sông và mọi người đi bộ ở đó mỗi buổi sáng với bánh mì từ chợ trong khi trẻ em chơi dưới cây".split()
+    sizes = {"en": 400, "ru": 99, "zh": 30, "vi": 5}
+    rows = [(k * 1000 + i, " ".join(rng.choice(w) for _ in range(90)), lang) for k, (lang, w) in enumerate(made.items()) for i in range(sizes[lang])]
+    rows += [(9000, " ".join(rng.choice(made["ru"]) for _ in range(90)), None)]
+    junk = [(9100 + i, " ".join("".join(chr(rng.randrange(0x2800, 0x28FF)) for _ in range(9)) for _ in range(90)), lang) for i, lang in enumerate(["en", "ru"])]
+    got = rows_of(op01_fertility.fertility(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")))
+    assert not [d for d, _, _ in rows if got[d]["out_of_band"]]
+    assert got[9100]["out_of_band"] and got[9101]["out_of_band"]
+
+
 def test_line_dedup(spark, empty):
     shared = "alpha beta\ngamma delta\nepsilon\nzeta eta\ntheta\niota kappa\nlambda\nmu nu\nxi\nomicron"
     texts = {i: f"own {i}\n" * (i + 1) + shared for i in range(6)} | {10: None, 11: "", 12: "single"}
