@@ -13,35 +13,57 @@ from quadrille.llm import common as c
 from quadrille.llm import op03_decontaminate, op04_tokens, op05_language, op07_jaccard, op10_mixing
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key, a hash of all columns, nulls included. Rows with one key are the same row, repeated;
+    a doc_id may be null, or stand for several texts. The key has 64 bits: of 15 million rows, two differ
+    and share one with a chance of 6 in a million."""
+    return docs.withColumn("row_key", F.xxhash64(*docs.columns, *[F.col(x).isNull() for x in docs.columns]))
+
+
+def _as_ids(docs: DataFrame) -> DataFrame:
+    """The rows for an operator, with their keys as doc_id."""
+    return _keyed(docs).withColumn("doc_id", F.col("row_key")).drop("row_key")
+
+
 def _whose(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return docs.join(marks.select("doc_id"), "doc_id", how).select(*docs.columns)
+    return _keyed(docs).join(marks.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", how).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out the documents whose language stays undetermined. The model learns from the input's own labels."""
     langs, logp = op05_language.train(docs)
-    found = op05_language.identify(op05_language.from_documents(docs), langs, logp)
-    return _whose(docs, found.where("not kept").distinct(), "left_anti")
+    found = op05_language.identify(op05_language.from_documents(_as_ids(docs)), langs, logp)
+    return _whose(docs, found.where("not kept"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component; one row of it, if rows are repeated."""
-    rows, _ = op07_jaccard.jaccard_join(docs)
-    gone = rows.where("component_id <> doc_id").select("doc_id").distinct()
-    return _whose(docs, gone, "left_anti")
+    """Keeps one row of each component, that with the smallest doc_id, nulls last; one of a row that is repeated."""
+    rows, _ = op07_jaccard.jaccard_join(_as_ids(docs))
+    ids = _keyed(docs).groupBy("row_key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    nodes = rows.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(ids, "row_key")
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key", "rows"))
+    kept = c.cut(nodes.groupBy("component_id").agg(best.alias("best")).select("best.row_key", "best.rows"), "near_kept")
+    keyed = _keyed(docs)
+    once = keyed.join(kept.where("rows = 1").select("row_key"), "row_key", "left_semi").select(*docs.columns)
+    again = keyed.join(kept.where("rows > 1").select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return once.union(again.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op03_decontaminate.find_overlaps(docs.select("doc_id", "text"), c.table(spark, sf_dir, "benchmark"))
-    return _whose(docs, found.select("doc_id").distinct(), "left_anti")
+    found = op03_decontaminate.find_overlaps(_as_ids(docs).select("doc_id", "text"), c.table(spark, sf_dir, "benchmark"))
+    return _whose(docs, found, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it; what the mix does not take goes."""
-    mixed = op10_mixing.mix_by_source(docs).where("taken > 0")
-    times = mixed.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
-    rows = docs.join(times, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
-    return rows.select(*docs.columns)
+    mixed = op10_mixing.mix_by_source(_as_ids(docs)).where("size > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times"), F.count("*").alias("rows"))
+    rows = _keyed(docs).join(times.where("times > 0"), "row_key")
+    # Of a row that is repeated the mix may take some: then one stands for all.
+    even = rows.where("times % rows = 0").select(*docs.columns, (F.col("times") / F.col("rows")).cast("int").alias("times"))
+    odd = rows.where("times % rows > 0").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("times").cast("int").alias("times"))
+    rows = even.union(odd.select("row.*", "times"))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,3 +263,44 @@ def test_pipeline(spark, table):
         docs = out.cache()
         assert docs.count()
     assert set(docs.columns) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_pipeline_rows_without_ids_of_their_own(spark):
+    import tempfile
+    from collections import Counter
+
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    item = _text(rng, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    t = [_text(rng, 60) for _ in range(30)]
+    ids = [*range(10), None, None, None, 20, 20, 30, 30, 30, None, None, 40, None, 50, 50]
+    texts = [*t[:10], t[10], t[11], t[12], t[13], t[14], t[15], t[15], t[15], t[16], t[16], t[17], t[17], "", ""]
+    rows = [(i, x, "en", "s", len(x)) for i, x in zip(ids, texts, strict=True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    many = lambda rows: spark.createDataFrame(rows, schema).repartition(3)
+    out = lambda stage, rows: Counter(map(tuple, stage(spark, many(rows), d).collect()))
+
+    least = {}  # of the same text the smallest doc_id, nulls last; wordless texts are no copies of each other
+    for r in rows:
+        key = r[1] if r[1] else r
+        least[key] = min(r, least.get(key, r), key=lambda r: (r[0] is None, r[0] or 0))
+    assert out(p.near_duplicates, rows) == Counter(least.values())
+
+    dirty = [(i, f"{x} {item}", *more) for i, x, *more in (rows[10], rows[13])]
+    assert out(p.decontamination, rows + dirty) == Counter(rows)
+
+    for rows_ in (rows, [r for r in rows if r[0] is None]):
+        mixed = out(p.mixing, rows_)
+        sizes = Counter(r for r in rows_ if r[1])
+        taken = sum(r["taken"] for r in op10_mixing.mix_by_source(p._as_ids(many(rows_))).collect())
+        assert sum(len(brute.words(r[1])) * n for r, n in mixed.items()) == taken > 0
+        assert set(mixed) <= set(sizes) and all(n <= 3 * sizes[r] for r, n in mixed.items())
+
+    noise = "".join(chr(rng.randrange(0x2800, 0x28FF)) for _ in range(300))
+    odd = [(None, noise, None, None, 300), (20, noise, None, None, 300)]
+    words = "the and of to in that was his"
+    clean = [(i, " ".join(rng.choice(words.split()) for _ in range(40)), "en", "s", 0) for i in [*range(30), None, 20, 20]]
+    assert out(p.language, clean + odd) == Counter(clean)
