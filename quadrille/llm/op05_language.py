@@ -17,6 +17,7 @@ other; without labelled rows everything is `und`; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ LEAST = 0.5
 SUFFIX_LANGUAGE = {"at": "de", "ar": "es", "au": "en", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "de": "de", "es": "es", "fr": "fr", "gb": "en", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "mx": "es", "nl": "nl", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
 
+def _tag(name: str) -> Column:
+    """The language of a tag such as en-US or pt_BR; blank for null."""
+    tag = F.coalesce(F.lower(F.col(name).cast("string")), F.lit(""))
+    return F.substring_index(F.regexp_replace(tag, "_", "-"), "-", 1)
+
+
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of the trigram at each byte, offsets)."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
@@ -66,9 +73,18 @@ def _count(place: dict):
     return run
 
 
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, k = np.zeros(1 << BITS, np.int64), None
+    for b in batches:
+        k = b.column("k").slice(0, 1) if k is None else k
+        for x in b.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<i8")
+    yield pa.record_batch([k, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["k", "counts"])
+
+
 def train(labelled: DataFrame, max_rows: int = 5000, max_languages: int = 200, seed: int = 0) -> tuple[list[str], np.ndarray]:
     """labelled: doc_id, text, lang. Returns the languages and log probabilities (bucket, language)."""
-    labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.lower("lang").alias("lang"))
+    labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", _tag("lang").alias("lang")).where("lang <> ''")
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     langs = sorted(r["lang"] for r in sizes)
     out = np.full((1 << BITS, len(langs) + 1), -BITS * math.log(2), np.float32)
@@ -78,8 +94,8 @@ def train(labelled: DataFrame, max_rows: int = 5000, max_languages: int = 200, s
     pick = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("lang")), F.lit(1 << 20)) < F.try_element_at(share, "lang")
     place = {x: i for i, x in enumerate(langs)}
     counts = np.zeros((len(langs), 1 << BITS))
-    for r in labelled.where(pick).select("text", "lang").mapInArrow(_count(place), "k int, counts binary").toLocalIterator():
-        counts[r["k"]] += np.frombuffer(r["counts"], "<i8")
+    for r in labelled.where(pick).select("text", "lang").mapInArrow(_count(place), "k int, counts binary").groupBy("k").applyInArrow(_add_counts, "k int, counts binary").toLocalIterator():  # a row a language
+        counts[r["k"]] = np.frombuffer(r["counts"], "<i8")
     counts += 0.1
     known = counts / counts.sum(axis=1, keepdims=True)
     out[:, :-1] = np.log((1 - ODD) * known + ODD / (1 << BITS)).T
@@ -119,7 +135,7 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, keys: str = "d
     names = [k.split()[0] for k in keys.split(", ")]
     extra = [*names, "declared", "suffix", "domain", "host"]
     blank = lambda x: F.coalesce(F.lower(F.col(x).cast("string")), F.lit(""))
-    rows = rows.select(*names, F.col("text").cast("string").alias("text"), F.substring_index(F.regexp_replace(blank("declared"), "_", "-"), "-", 1).alias("declared"), *[blank(x).alias(x) for x in extra[-3:]])
+    rows = rows.select(*names, F.col("text").cast("string").alias("text"), _tag("declared").alias("declared"), *[blank(x).alias(x) for x in extra[-3:]])
     kinds = f"{keys}, declared string, suffix string, domain string, host string, n_trigrams long, text_log array<double>, text_post array<double>"
     model = spark.sparkContext.broadcast(logp)
     scored = c.cut(rows.mapInArrow(_score(model, len(classes), extra), kinds), "language_text")

@@ -153,6 +153,18 @@ def test_language(spark, empty):
     assert op05_language.identify(op05_language.from_documents(empty), *op05_language.train(empty)).count() == 0
 
 
+def test_language_labels_are_tags(spark):
+    words = {"en": "the and of to in that was his", "pt": "que uma para com os mais por como"}
+    tags = {"en": ["en-US", "EN_gb", "en"], "pt": ["pt_BR", "pt-PT", "pt"]}
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(words[g].split()) for _ in range(30)), tags[g][i % 3]) for i, g in enumerate(["en", "pt"] * 30)]
+    df = spark.createDataFrame([*rows, (900, "", "pt_BR"), (901, "that was his", "")], "doc_id long, text string, lang string").selectExpr("*", "'h' as source")
+    langs, logp = op05_language.train(df)
+    assert langs == ["en", "pt"]
+    got = rows_of(op05_language.identify(op05_language.from_documents(df), langs, logp))
+    assert all(got[i]["language"] == tag[:2].lower() for i, _, tag in rows) and got[900]["language"] == "pt"
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\", "[\\INST] <\\s>", "a [AS] b <s>\n", "", None, "x" * 5000, "<<s>>[[SYS] ] \\\\"]
     rows = [(i, k, r, t) for i, t in enumerate(tricky) for k, (r, t) in enumerate([("user", t), ("assistant", t), ("odd [AS] role\n", t)])]
