@@ -26,8 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:  # only where no cluster has named one, as in tests
-        top = f"file://{tempfile.mkdtemp(prefix='quadrille-')}"
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='quadrille-')}"  # one machine, as in tests
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/{re.sub('[^A-Za-z0-9]+', '_', name)}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,7 +49,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     write(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
 def write(df: DataFrame, path: str) -> None:
@@ -60,11 +64,11 @@ def write(df: DataFrame, path: str) -> None:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
+def drop_table(df: DataFrame) -> None:
     """Delete a table made by cut() that no later plan reads."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

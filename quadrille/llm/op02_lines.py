@@ -1,13 +1,15 @@
-"""Line dedup by repeated windows of two lines, in DataFrame functions only.
+"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over each two lines nominates the windows that occur twice; they are grouped and joined
-by their text, byte for byte. Lines of a window that occurs anywhere before (smaller doc_id, or earlier
-in the same document) are removed. So a passage of two lines or more that stands before loses all its
-lines, wherever it begins and ends: each hit reaches into its neighbours as long as both sides agree.
-No line vanishes altogether: the first place of a line's text is never removed.
+A rolling hash over each two line hashes chooses the boundaries: a chunk begins at line i where the hash
+of lines i and i + 1 divides by `every`, so an insertion moves the boundaries next to it and no others.
+Two chunks in a row are a unit. The units whose hashes occur twice are grouped and joined by their
+text, byte for byte, and the lines of a unit that occurs anywhere before (smaller doc_id, or earlier in the
+same document) are removed. Units overlap by a chunk, so each hit reaches into its neighbours as long as
+both sides agree. No line vanishes altogether: the first place of a line's text is never removed.
 
-Content-defined chunks, which this replaces, chose a boundary at one line in four, and lost each
-passage without two boundaries of its own.
+Texts have few lines, so `every` is 1 by default: each line is a chunk, and a passage of two lines
+or more that stands before loses all its lines, wherever it begins and ends. At 4, a passage
+without boundaries of its own inside is lost (figures in the README).
 
 Defined results: a null text stays null with no lines; an empty text is one empty line, and empty lines
 are lines; a null doc_id takes no part; rows that share a doc_id are told apart by their texts, and
@@ -22,39 +24,48 @@ from pyspark.sql import functions as F
 from quadrille.llm import common as c
 
 
-def line_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, ver, at, h: the hash of each two lines in a row."""
+def line_units(docs: DataFrame, every: int) -> DataFrame:
+    """doc_id, ver, at, stop, h: two chunks in a row (lines at to stop, without stop) and the hash of their lines."""
     lines = docs.select("doc_id", "ver", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
-    both = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
+    rolling = lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))
+    begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == 0) | (F.pmod(rolling(i), F.lit(every)) == 0))
+    lines = lines.withColumn("marks", F.concat(begins, F.array(F.size("h"))))
+    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.size("marks") - 3, F.lit(0))), lambda j: F.struct(F.get("marks", j).alias("at"), F.get("marks", F.least(j + 2, F.size("marks") - 1)).alias("stop")))
+    units = F.transform(ends, lambda u: F.struct(u["at"].alias("at"), u["stop"].alias("stop"), F.xxhash64(F.slice("h", u["at"] + 1, u["stop"] - u["at"])).alias("h")))
     # A column of its own, so that the explode is compiled and carries no copy of the lines to each row; the outer
     # form, as for the plain one Spark would test the array below all these steps, and so run them twice.
-    rows = lines.withColumn("both", both).withColumn("n", F.size("h")).select("doc_id", "ver", "n", F.posexplode_outer("both").alias("at", "h"))
-    return rows.where("at + 1 < n").select("doc_id", "ver", "at", "h")
+    rows = lines.withColumn("units", units).select("doc_id", "ver", F.explode_outer("units").alias("u")).select("doc_id", "ver", "u.*")
+    return rows.where("stop - at > 1")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, ver, gone: the places, in order, of windows of two lines that occur before."""
-    windows = line_windows(docs)
-    # 8 bytes a window find the hashes that occur twice; only their windows move with their text.
-    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    named = c.cut(windows.join(twice, "h").groupBy("doc_id", "ver").agg(F.array_sort(F.collect_set("at")).alias("ats")), "line_hashes")
-    lines = docs.join(named, ["doc_id", "ver"]).select("doc_id", "ver", "ats", F.split("text", "\n").alias("lines"))
-    texts = F.transform("ats", lambda i: F.struct(i.alias("at"), F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)).alias("pair")))
-    found = lines.withColumn("w", texts).select("doc_id", "ver", F.explode_outer("w").alias("w")).select("doc_id", "ver", "w.at", "w.pair")
-    found = c.cut(found, "line_windows")
-    first = found.groupBy("pair").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = found.join(first, "pair").where(F.struct("doc_id", "ver", "at") > F.col("first"))
-    return c.cut(later.groupBy("doc_id", "ver").agg(F.array_sort(F.collect_set("at")).alias("gone")), "line_repeats")
+def repeated_lines(docs: DataFrame, every: int = 1) -> DataFrame:
+    """doc_id, ver, gone: the places, in order, of lines in units that occur before."""
+    units = line_units(docs, every)
+    # 8 bytes a unit find the hashes that occur twice; only their units move with their text. The joins are
+    # sort-merge joins at every size, so that a small run shows what a large one moves.
+    twice = units.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h").hint("merge")
+    named = c.cut(units.join(twice, "h").groupBy("doc_id", "ver").agg(F.collect_set(F.struct("at", "stop")).alias("ends")), "line_hashes")
+    lines = docs.join(named.hint("merge"), ["doc_id", "ver"]).select("doc_id", "ver", "ends", F.split("text", "\n").alias("lines"))
+    texts = F.transform("ends", lambda u: F.struct(u["at"].alias("at"), u["stop"].alias("stop"), F.array_join(F.slice("lines", u["at"] + 1, u["stop"] - u["at"]), "\n").alias("unit")))
+    found = lines.withColumn("w", texts).select("doc_id", "ver", F.explode_outer("w").alias("w")).select("doc_id", "ver", "w.*")
+    found = c.cut(found, "line_units")
+    first = found.groupBy("unit").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    later = found.join(first.hint("merge"), "unit").where(F.struct("doc_id", "ver", "at") > F.col("first"))
+    spans = later.groupBy("doc_id", "ver").agg(F.flatten(F.collect_list(F.sequence("at", F.col("stop") - 1))).alias("gone"))
+    out = c.cut(spans.select("doc_id", "ver", F.array_sort(F.array_distinct("gone")).alias("gone")), "line_repeats")
+    c.drop_table(named)
+    c.drop_table(found)
+    return out
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text: the texts without passages of two lines or more that occur before."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("ver"))
-    both = docs.join(repeated_lines(docs.where("doc_id is not null and text is not null")), ["doc_id", "ver"], "left")
-    # Windows that overlap are one span; what stays are the lines between the spans, in order.
+    both = docs.join(repeated_lines(docs.where("doc_id is not null and text is not null"), every).hint("merge"), ["doc_id", "ver"], "left")
+    # Lines in a row are one span; what stays are the lines between the spans, in order.
     starts = F.filter("gone", lambda x, j: (j == 0) | (x - F.get("gone", j - 1) > 1))
     stops = F.filter("gone", lambda x, j: (j == F.size("gone") - 1) | (F.get("gone", j + 1) - x > 1))
-    both = both.withColumn("spans", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 2).alias("stop")))).withColumn("lines", F.split("text", "\n"))
+    both = both.withColumn("spans", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop")))).withColumn("lines", F.split("text", "\n"))
     lines, before = F.col("lines"), lambda j: F.coalesce(F.get("spans", j - 1)["stop"], F.lit(0))
     stays = F.transform(
         F.sequence(F.lit(0), F.size("spans")),

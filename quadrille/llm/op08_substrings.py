@@ -122,17 +122,17 @@ def repeated_windows(docs: DataFrame, window: int = 20, k: int = 8) -> DataFrame
     leaves = prefixes.select("doc_id", "ver", F.inline(F.arrays_zip("prefix", "pos")))
     groups = leaves.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
     live = c.cut(leaves.join(groups, "prefix").groupBy("doc_id", "ver").agg(F.collect_set("pos").alias("pos")), "prefix_groups")
-    c.drop_table(docs.sparkSession, prefixes)
+    c.drop_table(prefixes)
 
     texts = docs.join(live, ["doc_id", "ver"]).select("doc_id", "ver", "text", "pos")
     paths = c.cut(texts.mapInArrow(_paths(k, window), "doc_id long, ver int, start array<int>, path array<bigint>, path2 array<int>, again array<int>"), "suffix_paths")
-    c.drop_table(docs.sparkSession, live)
+    c.drop_table(live)
     leaves = paths.select("doc_id", "ver", F.inline(F.arrays_zip("start", "path", "path2")))
     nodes = leaves.groupBy("path", "path2").agg(F.min("doc_id").alias("first"))
     later = leaves.join(nodes, ["path", "path2"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "ver", "start")
     again = paths.select("doc_id", "ver", F.explode("again").alias("start"))
     out = c.cut(later.union(again).groupBy("doc_id", "ver").agg(F.collect_set("start").alias("starts")), "repeats")
-    c.drop_table(docs.sparkSession, paths)
+    c.drop_table(paths)
     return out
 
 
