@@ -20,6 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +32,6 @@ from quadrille.llm import common as c
 BLOCK_IDS = 1 << 19
 #: Words are split by the tokenizer's own rule here; only the characters below U+0130 are taken this
 #: way, as normal form C and lower case are settled for them one by one. All others go to the library whole.
-_SIMPLE = regex.compile("[\x00-į]*")
 _SPACE = "\t-\r \x85\xa0"
 _PIECES = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _loaded: dict = {}
@@ -59,61 +59,87 @@ def tokenizer(file: str):
     return _loaded[file]
 
 
-def encode_words(words: list[str], file: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of each word. A text's ids are its words' ids in a row: the vocabulary drops
-    white space, and neither its pieces nor its special strings reach over it."""
-    tok = tokenizer(file)
-    simple = np.fromiter((_SIMPLE.fullmatch(w) is not None and "<|" not in w for w in words), bool, len(words))
-    joined = "".join(f"{w.lower()}\n" for w, s in zip(words, simple, strict=True) if s)
-    pieces = pa.array(_PIECES.findall(joined), pa.string()).dictionary_encode()
-    codes, seen = np.asarray(pieces.indices, np.int64), pieces.dictionary.to_pylist()
-    model = tok.model
+def _simple(words: pa.Array) -> np.ndarray:
+    return np.asarray(pc.and_not(pc.match_substring_regex(words, r"^[\x{0}-\x{12F}]*$"), pc.match_substring(words, "<|")))
+
+
+def _cut(words: list[str], file: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of words of simple characters, lower-cased already."""
+    model = tokenizer(file).model
+    pieces = pa.array(_PIECES.findall("\n".join(words)), pa.string()).dictionary_encode()
+    seen = pieces.dictionary.to_pylist()
     ids = [[] if p == "\n" else [t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS))] for p in seen]
     flat, off = c.ragged(ids)
+    codes = np.asarray(pieces.indices, np.int64)
     got, ends = c.gather(flat, off, codes)
-    ends = ends[codes == seen.index("\n")] if len(codes) else np.zeros(0, np.int64)
+    breaks = ends[codes == seen.index("\n")] if len(words) > 1 else ends[:0]
+    return got, np.concatenate(([0], breaks, [len(got)]))
+
+
+def encode_words(words: pa.Array, file: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of each word. A text's ids are its words' ids in a row: the vocabulary drops
+    white space, and neither its pieces nor its special strings reach over it."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    simple = _simple(words)
     if simple.all():
-        return got, np.concatenate(([0], ends))
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    other = iter(tok.encode_batch([w for w, s in zip(words, simple, strict=True) if not s], add_special_tokens=False))
-    spans = iter(zip(starts.tolist(), ends.tolist(), strict=True))
-    lists = [got[slice(*next(spans))] if s else np.array(next(other).ids, np.int64) for s in simple]
-    return np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        return _cut(pc.utf8_lower(words).to_pylist(), file)
+    some = words.filter(pa.array(simple))
+    got, off = _cut(pc.utf8_lower(some).to_pylist(), file) if len(some) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    other, more = c.ragged([x.ids for x in tokenizer(file).encode_batch(words.filter(pa.array(~simple)).to_pylist(), add_special_tokens=False)])
+    # Both kinds of words, back in their order.
+    flat, both = np.concatenate((got, other)), np.concatenate((off, off[-1] + more[1:]))
+    place = np.empty(len(words), np.int64)
+    place[simple], place[~simple] = np.arange(len(some)), np.arange(len(some), len(words))
+    ids, ends = c.gather(flat, both, place)
+    return ids, np.concatenate(([0], ends))
+
+
+_ENCODED = "doc_id long, ids binary, width int, counts binary"
 
 
 def _encode(file: str, end_id: int):
+    """Rows of documents, and as each task's last row how often it used each id."""
+
     def run(batches):
+        size = max(tokenizer(file).get_vocab_size(), end_id + 1)
+        kind, total = ("<u2", 2) if size <= 1 << 16 else ("<u4", 4), np.zeros(size, np.int64)
         for b in c.text_slices(batches, limit=3 * c.SLICE_BYTES):
             off, words = c.split_words(b.column("text"))
             codes, distinct = c.word_codes(words)
-            flat, woff = encode_words(distinct.to_pylist(), file)
-            flat = flat.astype(np.int32)
+            flat, woff = encode_words(distinct, file)
+            # The end id is one more word, after each document.
+            codes = np.insert(codes, off[1:], len(distinct)).astype(np.int32)
+            off = off + np.arange(len(off))
+            flat, woff = np.append(flat, end_id).astype(kind[0]), np.append(woff, woff[-1] + 1)
+            used = np.repeat(np.bincount(codes, minlength=len(distinct) + 1), np.diff(woff))
+            total += np.bincount(flat, used, size).astype(np.int64)
             step = 0
             while step < b.num_rows:  # a few documents at a time bound the memory
                 stop = max(int(np.searchsorted(off, off[step] + (1 << 19), side="right")) - 1, step + 1)
                 stop = min(stop, b.num_rows)
                 ids, ends = c.gather(flat, woff, codes[off[step] : off[stop]])
-                ends = np.concatenate(([0], ends))[off[step : stop + 1] - off[step]]
-                ids = np.insert(ids, ends[1:], end_id).astype("<i4")
-                ends = ends + np.arange(len(ends))
-                cuts = (4 * ends).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), stop - step, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
-                yield pa.record_batch([b.column("doc_id").slice(step, stop - step), raw], names=["doc_id", "ids"])
+                cuts = kind[1] * np.concatenate(([0], ends))[off[step : stop + 1] - off[step]].astype(np.int32)
+                raw, n = pa.Array.from_buffers(pa.binary(), stop - step, [None, pa.py_buffer(cuts), pa.py_buffer(ids)]), stop - step
+                yield pa.record_batch([b.column("doc_id").slice(step, n), raw, pa.array(np.full(n, kind[1], np.int32)), pa.nulls(n, pa.binary())], names=_names(_ENCODED))
                 step = stop
+        if total.any():
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=_names(_ENCODED))
 
     return run
 
 
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
 def _count(batches):
-    counts = np.zeros(0, np.int64)
+    """The counts of a few tasks as rows, an id a row."""
     for b in batches:
-        for x in b.column("ids"):
-            new = np.bincount(np.frombuffer(x.as_buffer(), "<i4"))
-            if len(new) > len(counts):
-                counts = np.concatenate((counts, np.zeros(len(new) - len(counts), np.int64)))
-            counts[: len(new)] += new
-    at = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["id", "n"])
+        for x in b.column("counts"):
+            n = np.frombuffer(x.as_buffer(), "<i8")
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["id", "n"])
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -158,12 +184,12 @@ def _write(rank_of):
             control, data = pack(rank[flat])
             cols = [[part], [block], [len(flat)], [docs], [[len(x) for x in ids]], [control], [data]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+            return pa.record_batch([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=_names(_BLOCKS))
 
         for b in batches:
-            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+            for d, x, w in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("width").to_pylist(), strict=True):
                 docs.append(d)
-                ids.append(np.frombuffer(x.as_buffer(), "<i4"))
+                ids.append(np.frombuffer(x.as_buffer(), f"<u{w}"))
                 held += len(ids[-1])
                 if held >= BLOCK_IDS:
                     yield flush()
@@ -178,15 +204,16 @@ def write_tokens(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", en
     """Encode the texts of docs (doc_id, text) and write the ids to the folder `path`."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = c.cut(docs.mapInArrow(_encode(file, end_id), "doc_id long, ids binary"), "token_ids")
-    ranked = encoded.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = c.cut(docs.mapInArrow(_encode(file, end_id), _ENCODED), "token_ids")
+    ranked = encoded.where("counts is not null").select("counts").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded_rows = encoded.where("counts is null").select("doc_id", "ids", "width")
     order = [r["id"] for r in ranked.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(order)), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
-    ordered = encoded.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
+    ordered = encoded_rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
     c.write(ordered.mapInArrow(_write(spark.sparkContext.broadcast(rank)), _BLOCKS), f"{path}/blocks")
-    c.drop_table(spark, encoded)
+    c.drop_table(encoded)
 
 
 def read_tokens(spark: SparkSession, path: str, each: Callable[[np.ndarray], object] | None = None, kind: pa.DataType | None = None, sql: str = "ids array<int>") -> DataFrame:
