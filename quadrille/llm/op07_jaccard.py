@@ -1,27 +1,34 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-The columns are shingles. A pair can reach the threshold only if it shares a column among the
-first `n - ceil(t n) + 1` of each row under one global order of columns, so only that part of
-the matrix is multiplied; rare columns come first. The order comes from a fixed-size count
-sketch over all shingles. Pairs whose sizes, or whose places of the first shared column, rule the
-threshold out are discarded before the overlap is accumulated over all columns.
-
-Copies (equal shingle sets) are one row of the matrix. In a long column, pairs within one group
-are not all multiplied: each row meets one pivot, linked rows become one component, and only
-pairs between different components are left for the next pass. The result is exact.
+The columns are shingles, and a row is a set of them; copies (equal sets) are one row. Rows are kept cut
+into `BLOCKS` blocks of columns. The product is formed in two steps:
+
+1. Over the rare columns. A pair can reach the threshold only if it shares a column among the first
+   `n - ceil(t n) + 1` of each row under one global order of columns, rare ones first (from a fixed-size
+   count sketch over all shingles). Only that part of the matrix is multiplied here. Overlaps are
+   counted pair by pair, and pairs are discarded whose sizes, or whose count and what is
+   left of either row behind the last shared column, rule the threshold out.
+2. Over all columns. The sizes of `BINS` narrow blocks bound an overlap from above (the sum of the smaller
+   ones), which discards most pairs without their rows. For the others the overlaps of the wide blocks
+   are added up, and a pair is dropped as soon as its sum and the sizes of the blocks to come are too little.
+
+In a long column, pairs within one group are not all multiplied: each row meets one pivot, linked rows
+become one component, and only pairs between different components are left for the next pass. The
+result is exact.
 
 Defined results: null, empty or wordless texts have no shingles and no links; a null doc_id takes
-part in nothing and gets a null component_id; rows that share a doc_id count as one node, so
-they share its component; repeated rows are copies; other columns of the input are ignored.
+part in nothing and gets a null component_id; rows that share a doc_id are one node with several
+sets, so they share its component; repeated rows are copies; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
@@ -34,8 +41,10 @@ SKETCH_BLOCK = 4096
 SHORT = 16
 #: Passes with pivots at most before the rest is multiplied in full.
 PIVOT_PASSES = 6
-#: Bins in which a document's shingles are counted; the sum of the smaller counts bounds an overlap from above.
-BINS = 256
+#: Narrow blocks of columns, whose sizes bound an overlap, and wide ones, over which it is added up; both are powers of 2.
+BINS, BLOCKS = 256, 8
+#: Shingles of a row that is bounded by the sizes of its narrow blocks; they must fit in 16 bits.
+MOST_BINNED = 1 << 15
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -54,30 +63,30 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _digest(u: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    with np.errstate(over="ignore"):
+        two = np.array([np.add.reduce(c.mix(u, 1)), np.bitwise_xor.reduce(c.mix(u, 2)) if len(u) else 0], np.uint64)
+    return tuple(two.view(np.int64).tolist())
+
+
+_FIRST = "doc_id long, n long, d1 long, d2 long, block int, counts binary"
+
+
 def _digests(k: int):
+    """Rows of documents, and as each task's last rows its part of the count sketch."""
+
     def run(batches):
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.int64), False
+        sketch, seen, names = np.zeros(1 << SKETCH_BITS, np.int64), False, [f.split()[0] for f in _FIRST.split(", ")]
         for b in c.text_slices(batches):
-            rows, all_h = [], []
-            for u in shingle_sets(b.column("text"), k):
-                seen = True
-                all_h.append(u)
-                with np.errstate(over="ignore"):
-                    rows.append((len(u), np.add.reduce(c.mix(u, 1)), np.bitwise_xor.reduce(c.mix(u, 2)) if len(u) else np.uint64(0)))
-            sketch += np.bincount((np.concatenate(all_h) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            n, d1, d2 = zip(*rows, strict=True)
-            m = len(n)
-            yield pa.record_batch(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c.as_long(np.array(d1, np.uint64))), pa.array(c.as_long(np.array(d2, np.uint64))), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "block", "counts"],
-            )
+            sets, seen, m = list(shingle_sets(b.column("text"), k)), True, b.num_rows
+            sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+            d1, d2 = zip(*map(_digest, sets), strict=True)
+            yield pa.record_batch([b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(d1), pa.array(d2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if seen:
             parts = sketch.astype("<u4").reshape(-1, SKETCH_BLOCK)
             m = len(parts)
-            yield pa.record_batch(
-                [pa.nulls(m, pa.int64())] * 4 + [pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "block", "counts"],
-            )
+            yield pa.record_batch([pa.nulls(m, pa.int64())] * 4 + [pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return run
 
@@ -89,28 +98,51 @@ def _add_blocks(t: pa.Table) -> pa.Table:
     return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
-def _prefixes(k: int, percent: int, sketch):
+_RARE, _ROWS = "row_id long, n long, prefix array<bigint>, bins array<smallint>", "row_id long, n long, blocks array<array<bigint>>"
+
+
+def _sets_of(b: pa.RecordBatch, k: int, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+    """(row_id, its set) of the texts that stand for a set; d1 says for which."""
+    for row, want, u in zip(b.column("row_id").to_pylist(), b.column("d1").to_pylist(), shingle_sets(b.column("text"), k), strict=True):
+        if row not in seen and _digest(u)[0] == want:  # not a repeated row, nor another text of this doc_id
+            seen.add(row)
+            yield row, u
+
+
+def _rare(k: int, percent: int, sketch):
+    """The rare columns of each row, in the global order, and the sizes of its narrow blocks."""
+
     def run(batches):
-        count = sketch.value
+        count, seen = sketch.value, set()
         for b in c.text_slices(batches):
-            n, pre, bins = [], [], []
-            for u in shingle_sets(b.column("text"), k):
+            ids, n, prefix, bins = [], [], [], []
+            for row, u in _sets_of(b, k, seen):
+                ids.append(row)
                 n.append(len(u))
-                bins.append(np.bincount((u & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
-                if len(u):
-                    p = len(u) - -(-percent * len(u) // 100) + 1
-                    u = u[np.lexsort((u, count[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]
-                pre.append(c.as_long(u))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(pre, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], names=["doc_id", "n", "prefix", "bins"])
+                p = len(u) - -(-percent * len(u) // 100) + 1
+                prefix.append(c.as_long(u[np.lexsort((u, count[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:p]]))
+                bins.append(np.bincount((u & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int16) if len(u) < MOST_BINNED else None)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int16()))], names=[f.split()[0] for f in _RARE.split(", ")])
 
     return run
 
 
-def _full_sets(k: int):
+def _blocks(k: int):
+    """All columns of each row, cut into wide blocks."""
+
     def run(batches):
+        seen, edges = set(), np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(65 - BLOCKS.bit_length())
         for b in c.text_slices(batches):
-            sets = [c.as_long(u) for u in shingle_sets(b.column("text"), k)]
-            yield pa.record_batch([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            ids, n, flat, cuts = [], [], [], []
+            for row, u in _sets_of(b, k, seen):
+                ids.append(row)
+                n.append(len(u))
+                flat.append(c.as_long(u))
+                cuts.append(np.diff(np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))))
+            if ids:
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(cuts)))).astype(np.int32)), pa.array(np.concatenate(flat)))
+                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BLOCKS + 1, BLOCKS, dtype=np.int32)), inner)
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), blocks], names=[f.split()[0] for f in _ROWS.split(", ")])
 
     return run
 
@@ -125,7 +157,7 @@ def _in_order(pairs: DataFrame) -> DataFrame:
 
 
 def _side(rows: DataFrame, x: str) -> DataFrame:
-    return rows.select("h", F.col("doc_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "left", "label")])
+    return rows.select("h", F.col("row_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "left", "long", "label")])
 
 
 def _reach(overlap, n_a, n_b, percent: int):
@@ -139,8 +171,15 @@ def _may_link(percent: int):
 
 
 def _multiply(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows that share a column."""
-    return _in_order(_side(rows, "a").join(_side(rows, "b"), "h").where((F.col("label_a") < F.col("label_b")) & _may_link(percent)))
+    """Pairs of rows that share a column, with their overlaps counted.
+
+    Behind the last shared column either row has `left` - 1; before it, the overlap is what is counted here,
+    and at most the long columns, which are not."""
+    met = _side(rows, "a").join(_side(rows, "b"), "h").where((F.col("label_a") < F.col("label_b")) & _may_link(percent))
+    counted = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.count("*").alias("common"), F.min(F.least("left_a", "left_b")).alias("left"), F.first(F.least("long_a", "long_b")).alias("long"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
+    )
+    return counted.where(_reach(F.col("common") + F.col("long") + F.col("left") - 1, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _meet(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
@@ -164,94 +203,150 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
 
 def _joined(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(rows.select(F.col("doc_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
+        pairs = pairs.join(rows.select(F.col("row_id").alias(side), *[F.col(x).alias(f"{x}_{side}") for x in names]), side)
     return pairs
 
 
 def _bounded(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose counts by bin still allow the threshold."""
+    """Pairs whose sizes of narrow blocks still allow the threshold."""
     most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    most = F.coalesce(most, F.least("n_a", "n_b"))
     return _joined(pairs, bins, "n", "bins").where(_reach(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose overlap over all columns reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = c.cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(k), "doc_id long, shingles array<bigint>"), "jaccard_sets")
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    found = _joined(pairs, sets, "shingles").where(_reach(common, F.size("shingles_a"), F.size("shingles_b"), percent)).select("a", "b").distinct()
-    found = c.cut(found, "jaccard_links")
-    c.drop_table(docs.sparkSession, sets)
-    return found
+def _links(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose overlap, added up block by block, reaches the threshold."""
+    both = _joined(pairs, matrix, "n", "blocks")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    room = lambda x, y: F.least(F.size(x), F.size(y))
+    blocks = F.zip_with("blocks_a", "blocks_b", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    begin = F.struct(F.lit(0).alias("sum"), F.aggregate(F.zip_with("blocks_a", "blocks_b", room), F.lit(0), lambda s, x: s + x).alias("rest"))
+    add = lambda s, z: F.when(
+        _reach(s["sum"] + s["rest"], n_a, n_b, percent),
+        F.struct((s["sum"] + F.size(F.array_intersect(z["x"], z["y"]))).alias("sum"), (s["rest"] - room(z["x"], z["y"])).alias("rest")),
+    ).otherwise(s)
+    overlap = F.aggregate(blocks, begin, add, lambda s: s["sum"])
+    return both.where(_reach(overlap, n_a, n_b, percent)).select("a", "b")
+
+
+def _rows(docs: DataFrame, first: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, n, prefix, bins; d1, d2, n, row_id, class_id): the rare part of the matrix, and the row of each set."""
+    spark = docs.sparkSession
+    sketch = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
+    blocks = first.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
+    for x in blocks.toLocalIterator():  # 4 MB of counters, whatever the input
+        sketch[x["block"]] = np.frombuffer(x["counts"], "<i8")
+    shared = spark.sparkContext.broadcast(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32))
+    classes = first.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+    # A row is named by its smallest doc_id, or by a hash of its set if that doc_id has several sets.
+    several = classes.groupBy("class_id").agg(F.count("*").alias("sets")).where("sets > 1")
+    row_id = F.when(F.col("sets").isNull(), F.col("class_id")).otherwise(F.xxhash64("d1", "d2", "class_id"))
+    classes = c.cut(classes.join(several, "class_id", "left").select("d1", "d2", "n", row_id.alias("row_id"), "class_id"), "jaccard_classes")
+    rare = c.cut(_texts(docs, classes).mapInArrow(_rare(k, percent, shared), _RARE), "jaccard_rare")
+    shared.unpersist()
+    return rare, classes
+
+
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The text that stands for each set, among other texts of its doc_id."""
+    return docs.join(classes.select(F.col("class_id").alias("doc_id"), "row_id", "d1"), "doc_id").select("row_id", "d1", "text")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Join documents whose k-word shingle sets have a Jaccard similarity of percent / 100 or more.
 
     Returns (rows, links). rows: doc_id, n_shingles, class_id (smallest doc_id with the same set),
-    component_id (smallest doc_id that links reach). links: a, b: linked classes, enough of
+    component_id (smallest doc_id that links reach). links: a, b: linked rows of the matrix, enough of
     them to connect every component.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = c.cut(docs.mapInArrow(_digests(k), "doc_id long, n long, d1 long, d2 long, block int, counts binary"), "jaccard_digests")
-    sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
-    blocks = first.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
-    for x in blocks.toLocalIterator():  # 4 MB of counters, whatever the input
-        sketch[x["block"]] = np.frombuffer(x["counts"], "<i8")
-    shared = spark.sparkContext.broadcast(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32))
+    first = c.cut(docs.mapInArrow(_digests(k), _FIRST), "jaccard_digests")
+    rare, classes = _rows(docs, first, k, percent)
+    labels, links = _linked(docs, classes, rare, k, percent)
+
+    # Sets of one doc_id belong together.
+    sets = first.where("block is null and n > 0 and doc_id is not null").join(classes, ["d1", "d2", "n"]).select("doc_id", "row_id").distinct()
+    both = sets.groupBy("doc_id").agg(F.min("row_id").alias("a"), F.max("row_id").alias("top")).where("a < top").select("doc_id", "a")
+    same = sets.join(both, "doc_id").where("a < row_id").select("a", F.col("row_id").alias("b"))
+    classes = classes.join(labels, "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
+    name = lambda x: classes.select(F.col("row_id").alias(x), F.col("label").alias(f"label_{x}"))
+    same = c.cut(same.join(name("a"), "a").join(name("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b"), "jaccard_shared")
+    if not same.isEmpty():
+        classes = _renamed(classes, components(same))
+    least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    classes = c.cut(classes.join(least, "label").select("d1", "d2", "n", "row_id", "class_id", "component_id"), "jaccard_components")
 
     rows = first.where("block is null").select("doc_id", "n", "d1", "d2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
-    reps = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    incidence = c.cut(
-        docs.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shared), "doc_id long, n long, prefix array<bigint>, bins array<int>").join(reps, "doc_id", "left_semi"),
-        "jaccard_prefixes",
-    )
-    cells = incidence.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h")).select("doc_id", "n", "h", (F.col("n") - F.col("pos")).alias("left"))
-    columns = cells.groupBy("h").agg(F.count("*").alias("len")).where("len > 1")
-    cells = c.cut(cells.join(columns, "h"), "jaccard_cells")  # columns with a single row make no pair
-    bins = c.cut(incidence.select("doc_id", "n", "bins").join(cells.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard_bins")
-    c.drop_table(spark, incidence)
-
-    cells = cells.withColumn("label", F.col("doc_id"))
-    short = cells.where(F.col("len") <= SHORT)
-    pairs, links, total = _multiply(short, percent), None, cells.count()
-    crossing, falling = float("inf"), True
-    rest = cells.where(F.col("len") > SHORT)
-    lead = rest.groupBy("doc_id").agg(F.max(F.col("left") / F.col("n")).alias("lead"))
-    rest = rest.join(lead, "doc_id")
+    have = F.col("doc_id").isNotNull()
+    mapped = rows.where("n > 0").join(classes.drop("row_id"), ["d1", "d2", "n"], "left")
+    out = mapped.select("doc_id", F.col("n").alias("n_shingles"), F.when(have, F.col("class_id")).alias("class_id"), F.when(have, F.col("component_id")).alias("component_id"))
+    # Rows without words are linked with nothing, but share their doc_id's component.
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    others = sets.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").join(classes.select("row_id", "component_id"), "row_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(others, "doc_id", "left")
+    return out.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))), links
+
+
+def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows, with their label's component as label. joined: node, component."""
+    return rows.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+
+
+def _linked(docs: DataFrame, classes: DataFrame, rare: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, label; a, b): the component of each row that has a link, and links that join them."""
+    cells = rare.select("row_id", "n", F.posexplode("prefix").alias("pos", "h")).select("row_id", "n", "h", (F.col("n") - F.col("pos")).alias("left"))
+    columns = cells.groupBy("h").agg(F.count("*").alias("len")).where("len > 1")  # columns with a single row make no pair
+    seen = Observation()
+    cells = c.cut(cells.join(columns, "h").observe(seen, F.count("*").alias("n")), "jaccard_cells")
+    live = c.cut(cells.select("row_id").distinct(), "jaccard_live")
+    bins = c.cut(rare.join(live, "row_id", "left_semi").select("row_id", "n", "bins"), "jaccard_bins")
+    c.drop_table(rare)
+    matrix = c.cut(_texts(docs, classes.join(live, "row_id", "left_semi")).mapInArrow(_blocks(k), _ROWS), "jaccard_matrix")
+    long = cells.where(F.col("len") > SHORT)
+    lead = long.groupBy("row_id").agg(F.max(F.col("left") / F.col("n")).alias("lead"), F.count("*").alias("long"))
+    short = cells.where(F.col("len") <= SHORT).join(lead, "row_id", "left").withColumn("long", F.coalesce("long", F.lit(0))).withColumn("label", F.col("row_id"))
+    rest = long.join(lead, "row_id").withColumn("label", F.col("row_id"))
+    pairs, labels, links, tables = _multiply(short, percent), None, [], [cells, live, bins]
+    crossing, falling, total = float("inf"), True, seen.get.get("n", 0)
     for turn in range(PIVOT_PASSES + 1):
-        if turn == PIVOT_PASSES:
+        last = turn and (turn == PIVOT_PASSES or not falling or crossing <= total // 8 + 20_000)
+        if last:
             pairs = _cross(rest, percent)
-        elif turn == 0 or falling and crossing > total // 8 + 20_000:
+        else:
             # First the row that has the least before its first long column: of near copies, the one nearest to all others.
-            order = F.struct(F.lit(0.0) if turn else -F.col("lead"), F.xxhash64("doc_id", F.lit(turn)))
-            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "doc_id", "n", "left", "label")).alias("p")).select("h", "p.doc_id", "p.n", "p.left", "p.label")
+            order = F.struct(F.lit(0.0) if turn else -F.col("lead"), F.xxhash64("row_id", F.lit(turn)))
+            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "row_id", "n", "left", "long", "label")).alias("p")).select("h", "p.row_id", "p.n", "p.left", "p.long", "p.label")
             more = _meet(rest, pivot, percent)
-            pairs = pairs.union(more).distinct() if turn == 0 else more
-        else:
-            pairs, turn = _cross(rest, percent), PIVOT_PASSES
-        found = _links(c.cut(_bounded(pairs, bins, percent), "jaccard_pairs"), docs, k, percent)
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        if turn == PIVOT_PASSES:
+            pairs = more if turn else pairs.union(more).distinct()
+        pairs = c.cut(_bounded(pairs, bins, percent), "jaccard_pairs")
+        found = c.cut(_links(pairs, matrix, percent), "jaccard_links")
+        c.drop_table(pairs)
+        links.append(found)
+        if labels is None:
+            joined = components(found)
+            labels = joined.select(F.col("node").alias("row_id"), F.col("component").alias("label"))
+        else:  # only what joins two components is looked at
+            name = lambda x: labels.select(F.col("row_id").alias(x), F.col("label").alias(f"label_{x}"))  # noqa: B023, E731
+            end = lambda x: F.coalesce(f"label_{x}", x).alias(x)
+            joined = components(found.join(name("a"), "a", "left").join(name("b"), "b", "left").select(end("a"), end("b")))
+            # A row that had no link yet is a component of its own.
+            fresh = joined.select(F.col("node").alias("row_id"), F.col("component").alias("label")).join(labels, "row_id", "left_anti")
+            labels = c.cut(_renamed(labels, joined).select("row_id", "label").union(fresh), "jaccard_labels")
+        if last:
             break
         # Columns that still hold rows of several components.
-        label = joined.select(F.col("node").alias("doc_id"), "component")
-        rest = rest.drop("label").join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        rest = _renamed(rest, joined)
         open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        rest = c.cut(rest.join(open_, "h", "left_semi").select("doc_id", "n", "h", "left", "len", "lead", "label"), "jaccard_rest")
+        rest = c.cut(rest.join(open_, "h", "left_semi").select("row_id", "n", "h", "left", "long", "len", "lead", "label"), "jaccard_rest")
+        tables.append(rest)
         parts = rest.groupBy("h", "label").count().groupBy("h").agg(F.sum("count").alias("s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
-        before, crossing = crossing, parts.agg(F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0]
+        pairs_left = F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))
+        before = crossing
+        crossing = parts.agg(pairs_left).first()[0]
         falling = crossing < before / 2  # else the pairs left are mostly of different texts, and pivots do not thin them out
         if not crossing:
             break
-
-    comp = joined.select(F.col("node").alias("class_id"), "component")
-    classes = classes.join(comp, "class_id", "left").select("d1", "d2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    mapped = rows.where("n > 0").join(classes, ["d1", "d2", "n"], "left")
-    alone = rows.where("n = 0")
-    have = F.col("doc_id").isNotNull()
-    out = mapped.select("doc_id", F.col("n").alias("n_shingles"), F.when(have, F.col("class_id")).alias("class_id"), F.when(have, F.col("component_id")).alias("component_id"))
-    return out.union(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))), links
+    for x in tables:
+        c.drop_table(x)
+    c.drop_table(matrix)
+    return labels, reduce(DataFrame.union, links)
