@@ -63,6 +63,21 @@ def join_boxes(points: DataFrame, boxes: DataFrame, cell: float = 8.0, x: str =
     return keyed.join(grid, ["gx", "gy"]).where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))).drop("gx", "gy")
 
 
+def join_polygons(points: DataFrame, polygons: DataFrame, cell: float = 8.0, x: str = "nx", y: str = "ny") -> DataFrame:
+    """polygons: region_id, vertices (array of x, y). Pairs of points and polygons around them: their boxes first, then the even-odd rule."""
+    ends = lambda f, a: f(F.transform("vertices", lambda v: v[a]))
+    boxes = polygons.where(F.size("vertices") >= 3).select("region_id", "vertices", ends(F.array_min, "x").alias("x0"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "x").alias("x1"), ends(F.array_max, "y").alias("y1"))
+    near = join_boxes(points, boxes, cell, x, y)
+    px, py = F.col(x), F.col(y)
+
+    def crosses(v: Column, i: Column) -> Column:
+        u = F.element_at("vertices", F.when(i == 0, -1).otherwise(i))
+        return ((v["y"] > py) != (u["y"] > py)) & (px < F.try_divide((u["x"] - v["x"]) * (py - v["y"]), u["y"] - v["y"]) + v["x"])
+
+    inside = F.size(F.filter("vertices", lambda v, i: F.coalesce(crosses(v, i), F.lit(False)))) % 2 == 1
+    return near.where(inside).drop("vertices", "x0", "y0", "x1", "y1")
+
+
 def lookup_sparse(expr: DataFrame, cells: DataFrame, gene: str) -> DataFrame:
     """Stored values of a gene for given cells."""
     return expr.where(F.col("gene") == gene).join(cells.select("cell_id").distinct(), "cell_id").select("cell_id", "value")

@@ -12,6 +12,10 @@ from quadrille.functions.stats import normal_p, t_p
 from quadrille.operators.cells import sample_groups
 
 
+#: Ranges of a gene's values that are ranked apart.
+RANGES = 64
+
+
 def label_groups(cells: DataFrame, groupby: str, group1: list[str], group2: list[str] | None = None, max_cells: int | None = None, seed: int = 0) -> DataFrame:
     """cell_id, group 1 or 2. Without group2, it is every other non-empty value."""
     one, two = sorted(set(group1)), sorted(set(group2)) if group2 else None
@@ -32,7 +36,7 @@ def _moments(rows: DataFrame) -> list[Column]:
     for g in (1, 2):
         v = F.when(F.col("group") == g, F.col("value"))
         out += [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"sum{g}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"sumsq{g}"), F.count(v).alias(f"nnz{g}")]
-    return out
+    return [*out, F.min("value").alias("low"), F.max("value").alias("high")]
 
 
 def moments(expr: DataFrame, labels: DataFrame, genes: DataFrame) -> DataFrame:
@@ -65,16 +69,26 @@ def welch(m: DataFrame) -> DataFrame:
 
 
 def rank_sum(expr: DataFrame, labels: DataFrame, m: DataFrame) -> DataFrame:
-    """gene, r1, ties (sum of t^3 - t), u, z: Mann-Whitney with average ranks over counted values."""
+    """gene, r1, ties (sum of t^3 - t), u, z: Mann-Whitney with average ranks over counted values.
+
+    A gene's values are ranked in RANGES ranges of equal width, each behind the counts of those before it, so
+    no task has to order all values of a gene."""
     rows = expr.where(F.col("value") != 0).join(labels, "cell_id")
     counts = rows.groupBy("gene", "value").agg(F.count_if(F.col("group") == 1).alias("t1"), F.count_if(F.col("group") == 2).alias("t2"))
     zeros = m.select("gene", F.lit(0.0).alias("value"), (F.col("n1") - F.col("nnz1")).alias("t1"), (F.col("n2") - F.col("nnz2")).alias("t2"))
     counts = counts.unionByName(zeros).withColumn("t", (F.col("t1") + F.col("t2")).cast("double"))
-    before = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0.0)) + (F.col("t") + 1) / 2)
-    t = F.col("t")
-    sums = ranked.groupBy("gene").agg(F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
-    out = sums.join(m.select("gene", F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2")), "gene")
+    ends = m.select("gene", F.least("low", F.lit(0.0)).alias("low"), F.greatest("high", F.lit(0.0)).alias("high"), F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"))
+    part = F.least(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))
+    counts = counts.join(ends, "gene").withColumn("part", F.coalesce(part, F.lit(0)))
+    before = Window.partitionBy("gene", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    t, rank = F.col("t"), F.coalesce(F.sum("t").over(before), F.lit(0.0)) + (F.col("t") + 1) / 2
+    # Ranks inside a range first; what stands before the range is added to all of its ranks at once.
+    parts = counts.withColumn("rank", rank).groupBy("gene", "part").agg(
+        F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"), F.sum("t1").alias("t1"), F.sum("t").alias("t"), F.first("n1").alias("n1"), F.first("n2").alias("n2")
+    )
+    below = F.coalesce(F.sum("t").over(Window.partitionBy("gene").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    parts = parts.withColumn("r1", F.col("r1") + F.col("t1") * below)
+    out = parts.groupBy("gene").agg(F.sum("r1").alias("r1"), F.sum("ties").alias("ties"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
     out = out.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("u", F.least("u1", n1 * n2 - F.col("u1")))
     var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
@@ -84,12 +98,11 @@ def rank_sum(expr: DataFrame, labels: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def bh(rows: DataFrame, p: str, out: str, group: str = "comparison_id") -> DataFrame:
-    """Benjamini-Hochberg within each comparison (a row a gene); null p stay null."""
-    live = rows.where(F.col(p).isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(p, "gene")))
-    live = live.withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    down = Window.partitionBy(group).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
-    live = live.withColumn(out, F.least(F.min(F.col(p) * F.col("n") / F.col("r")).over(down), F.lit(1.0))).drop("r", "n")
-    return live.unionByName(rows.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    """Benjamini-Hochberg within each comparison (a row a gene); null p stay null. Null and other rows are parts of one window."""
+    part = [F.col(group), F.col(p).isNull()]
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(p, "gene"))).withColumn("n", F.count("*").over(Window.partitionBy(*part)))
+    down = Window.partitionBy(*part).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.min(F.col(p) * F.col("n") / F.col("r")).over(down), F.lit(1.0)))).drop("r", "n")
 
 
 def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: str, group1: list[str], group2: list[str] | None = None, tests=("ttest", "ranksum"), max_cells: int | None = 2000, seed: int = 0, comparison_id: str = "0") -> DataFrame:
@@ -123,11 +136,11 @@ def page(result: DataFrame, order_by: str = "fdr_ranksum", offset: int = 0, limi
 
 
 def volcano(result: DataFrame, metric: str = "fdr_ranksum", fc: float = 1.0, cut: float = 0.05, drop_absent: bool = False) -> DataFrame:
-    """gene, x, y, class: up, down or ns."""
+    """gene, x, y, class: up, down or ns, also where the metric is null."""
     import math
 
     rows = result.where((F.col("pct1") > 0) | (F.col("pct2") > 0)) if drop_absent else result
-    y = -F.log10(F.least(F.greatest(metric, F.lit(1e-300)), F.lit(1.0)))
+    y = F.when(F.col(metric).isNotNull(), -F.log10(F.least(F.greatest(metric, F.lit(1e-300)), F.lit(1.0))))
     rows = rows.select("gene", F.col("log2fc").alias("x"), y.alias("y"))
     sig = F.col("y") >= -math.log10(cut)
     return rows.withColumn("class", F.when(sig & (F.col("x") >= fc), "up").when(sig & (F.col("x") <= -fc), "down").otherwise("ns"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators.cells import sample
 
+#: Places at which the mean-variance curve is fitted.
+KNOTS = 101
+
 
 def gene_totals(expr: DataFrame, cells: DataFrame) -> DataFrame:
     """gene, total, variance over all cells (zeros included), n_cells with a value above 0."""
@@ -37,35 +38,46 @@ def random_genes(genes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return sample(genes, n, seed, "gene")
 
 
-def _smooth(pdf: pd.DataFrame, span: float) -> np.ndarray:
-    """Local quadratic fit of log variance on log mean, tricube weights over the nearest share `span` of genes."""
-    x, y = np.log10(pdf["mean"].to_numpy()), np.log10(pdf["var"].to_numpy())
-    k, out = max(4, int(np.ceil(span * len(x)))), np.empty(len(x))
-    order = np.argsort(x, kind="stable")
-    xs, ys = x[order], y[order]
-    for i in range(len(xs)):
-        lo = min(max(0, i - k // 2), max(0, len(xs) - k))
-        a, b = xs[lo : lo + k], ys[lo : lo + k]
-        d = np.abs(a - xs[i])
-        w = (1 - (d / max(d.max(), 1e-12)) ** 3).clip(0) ** 1.5
-        m = np.stack([np.ones_like(a), a - xs[i], (a - xs[i]) ** 2], axis=1)
-        out[order[i]] = np.linalg.lstsq(m * w[:, None], b * w, rcond=None)[0][0]
-    return out
+def _curve(live: DataFrame, span: float) -> DataFrame:
+    """live: gene, n, mean, var. Adds std, from a local quadratic fit of log variance on log mean.
+
+    The fit is made at KNOTS places, at equal shares of the genes in the order of their means: each weighs the nearest
+    share `span` of the genes (tricube) by grouped sums. Between two places it is a straight line."""
+    points = live.select("*", F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    at = [i / (KNOTS - 1) for i in range(KNOTS)]
+    ends = [(q, min(max(q - span / 2, 0.0), 1 - span), min(max(q - span / 2, 0.0), 1 - span) + span) for q in at]
+    shares = sorted({v for e in ends for v in e})
+    place = {v: i for i, v in enumerate(shares)}
+    one = points.agg(F.percentile("x", F.array(*[F.lit(v) for v in shares])).alias("p"))  # a row a gene is read; a row comes out
+    near = F.array(*[F.struct(F.lit(i).alias("knot"), F.col("p")[place[q]].alias("x0"), F.col("p")[place[lo]].alias("lo"), F.col("p")[place[hi]].alias("hi")) for i, (q, lo, hi) in enumerate(ends)])
+    knots = one.where("p is not null").select(F.inline(near)).withColumn("h", F.greatest(F.col("x0") - F.col("lo"), F.col("hi") - F.col("x0"), F.lit(1e-12)))
+    near = points.join(F.broadcast(knots), F.col("x").between(F.col("lo"), F.col("hi")))  # KNOTS rows
+    d = F.col("x") - F.col("x0")
+    w = F.pow(F.greatest(1 - F.pow(F.abs(d) / F.col("h") * 0.999, 3), F.lit(0.0)), 3)
+    sums = near.groupBy("knot", "x0").agg(*[F.sum(w * F.pow(d, F.lit(k))).alias(f"s{k}") for k in range(5)], *[F.sum(w * F.pow(d, F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(3)])
+    s, t = [F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)]
+    three = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    full = three(s[0:3], s[1:4], s[2:5])
+    fit = F.when(F.abs(full) > 1e-12 * s[0] * s[2] * s[4], three([t[0], s[1], s[2]], [t[1], s[2], s[3]], [t[2], s[3], s[4]]) / full).otherwise(F.try_divide(t[0], s[0]))
+    line = sums.select("knot", "x0", fit.alias("y0"))
+    after = Window.orderBy("knot")  # KNOTS rows
+    line = line.select("x0", "y0", F.lead("x0").over(after).alias("x1"), F.lead("y0").over(after).alias("y1")).where("x1 is null or x1 > x0")
+    got = points.join(F.broadcast(line), (F.col("x") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("x") < F.col("x1"))))
+    y = F.col("y0") + F.coalesce((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(0.0))
+    return got.select(*live.columns, F.pow(F.lit(10.0), y / 2).alias("std"))
 
 
 def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3) -> DataFrame:
     """gene, score: variance of values standardised by the fitted mean-variance curve, clipped at sqrt(n).
 
-    The matrix is summed on Spark; the fit is over a row a gene."""
+    If the largest value is over 100, values are first normalised to 1e4 a cell and log1p."""
+    top = expr.agg(F.max("value")).first()[0]
+    if top is not None and top > 100:
+        expr = normalize_log1p(expr)
     n = F.broadcast(cells.agg(F.count("*").cast("double").alias("n")))  # one row
     sums = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(n)
-    stats = sums.select("gene", "n", (F.col("s") / F.col("n")).alias("mean"), ((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("var"))
-    live = stats.where("mean > 0 and var > 0")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(std=10 ** (_smooth(pdf, span) / 2))
-
-    fitted = live.groupBy(F.lit(0).alias("all")).applyInPandas(lambda _, pdf: fit(pdf)[["gene", "n", "mean", "std"]], "gene string, n double, mean double, std double")
+    stats = sums.select("gene", "n", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("var"))
+    fitted = _curve(stats.where("mean > 0 and var > 0"), span).select("gene", "n", "mean", "std")
     rows = expr.join(fitted, "gene")
     clipped = F.least(F.col("value"), F.col("std") * F.sqrt("n") + F.col("mean"))
     agg = rows.groupBy("gene", "n", "mean", "std").agg(F.sum(clipped * clipped).alias("q"), F.sum(clipped).alias("s"))
@@ -73,6 +85,14 @@ def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3) -> Data
     return agg.select("gene", score.alias("score"))
 
 
+def ranked_genes(genes: DataFrame, expr: DataFrame, cells: DataFrame) -> DataFrame:
+    """gene, score, by which variable genes are chosen: the given marks if any gene has one, else the computed scores."""
+    if "highly_variable" in genes.columns and not genes.where("highly_variable").isEmpty():
+        rank = F.col("highly_variable_rank").cast("double") if "highly_variable_rank" in genes.columns else F.lit(0.0)
+        return genes.where("highly_variable").select("gene", F.coalesce(-rank, F.lit(float("-inf"))).alias("score"))
+    return variable_genes(expr, cells)
+
+
 def flagged_genes(genes: DataFrame, n: int) -> DataFrame:
     """Genes marked as highly variable, by their rank if there is one."""
     rank = F.col("highly_variable_rank").asc_nulls_last() if "highly_variable_rank" in genes.columns else F.col("gene")
@@ -82,16 +102,17 @@ def flagged_genes(genes: DataFrame, n: int) -> DataFrame:
 def select_genes(expr: DataFrame, cells: DataFrame, n_genes: int = 500, hvg_n_top: int = 300, markers: list[str] | None = None, use_all_expressed: bool = False, min_cells: int = 1, hvg: DataFrame | None = None) -> DataFrame:
     """gene, selected_index. Variable genes first, then markers, then the largest totals, up to n_genes; or all expressed and the markers."""
     totals = gene_totals(expr, cells)
-    wanted = totals.where(F.col("gene").isin(*markers)) if markers else totals.where(F.lit(False))
     if use_all_expressed:
+        wanted = totals.where(F.col("gene").isin(*markers)) if markers else totals.where(F.lit(False))
         chosen = totals.where(F.col("n_cells") >= min_cells).select("gene").union(wanted.select("gene")).distinct()
-        chosen = chosen.withColumn("priority", F.lit(0)).withColumn("size", F.lit(0.0))
     else:
-        best = (hvg.orderBy(F.desc("score"), "gene").limit(hvg_n_top) if hvg is not None else top_by_variance(totals, hvg_n_top)).select("gene")
-        ranked = best.join(totals, "gene").select("gene", F.lit(0).alias("priority"), F.col("variance").alias("size"))
-        ranked = ranked.unionByName(wanted.select("gene", F.lit(1).alias("priority"), F.col("total").alias("size")))
-        ranked = ranked.unionByName(top_by_total(totals, n_genes).select("gene", F.lit(2).alias("priority"), F.col("total").alias("size")))
-        chosen = ranked.groupBy("gene").agg(F.min(F.struct("priority", (-F.col("size")).alias("s"))).alias("b")).orderBy("b.priority", "b.s", "gene").limit(n_genes)
+        # A row a gene is ranked in one go; the matrix is summed once.
+        rows = totals.withColumn("score", F.col("variance")) if hvg is None else totals.join(hvg.select("gene", "score"), "gene", "left")
+        rows = rows.withColumn("k", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "gene"))).withColumn("t", F.row_number().over(Window.orderBy(F.desc("total"), "gene")))
+        marked = F.col("gene").isin(*markers) if markers else F.lit(False)
+        priority = F.when((F.col("k") <= hvg_n_top) & F.col("score").isNotNull(), 0).when(marked, 1).when(F.col("t") <= n_genes, 2)
+        rows = rows.withColumn("priority", priority).where("priority is not null").withColumn("size", F.when(F.col("priority") == 0, F.col("score")).otherwise(F.col("total")))
+        chosen = rows.orderBy("priority", F.desc("size"), "gene").limit(n_genes)
     from quadrille.operators.pyramid import category_dictionary
 
     index = category_dictionary(chosen.select("gene"), "gene")

@@ -38,7 +38,7 @@ def gene_stats(counts: DataFrame, bin_expr: DataFrame, zoom: int, how: str = "me
         F.count_if(F.col(how) > 0).alias("expressing_bins"), F.avg(F.when(F.col(how) > 0, F.col(how))).alias("mean"), F.max(how).alias("top"), F.min(how).alias("low"), F.count("*").alias("stored")
     )
     p = nearest_rank(pos, ["coord_key", "gene"], how).withColumnRenamed("p", "p80")
-    out = stats.join(totals, "coord_key").join(p, ["coord_key", "gene"], "left")
+    out = stats.join(F.broadcast(totals), "coord_key").join(p, ["coord_key", "gene"], "left")
     absent = F.col("stored") < F.col("total_bins")
     top = F.when(absent, F.greatest("top", F.lit(0.0))).otherwise(F.col("top"))
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ class Config:
     use_all_expressed: bool = False
     cell_lists: bool = False
     reuse: bool = False
+    dataset_id: str = "atlas"
 
     def __post_init__(self):
         if not 1 <= self.levels <= 12:
@@ -45,6 +46,7 @@ class Config:
 
 def preprocess(spark: SparkSession, atlas: dict, path: str, config: Config) -> None:
     """atlas: cells, genes, expr, coords, as load_atlas gives them."""
+    config = stored_config(spark, path, config)
     points = atlas["coords"]
     if config.coord_keys:
         points = points.where(F.col("coord_key").isin(*config.coord_keys))
@@ -55,7 +57,8 @@ def preprocess(spark: SparkSession, atlas: dict, path: str, config: Config) -> N
     cells, expr = atlas["cells"], atlas["expr"]
     text, numeric = profile.choose_columns(cells, config.numeric, config.exclude)
     columns = profile.guard(cells.select("cell_id", *text), config.categories)
-    selected = G.select_genes(expr, cells, config.n_genes, config.hvg_n_top, config.markers, config.use_all_expressed, config.min_cells)
+    hvg = None if config.use_all_expressed else G.ranked_genes(atlas["genes"], expr, cells)
+    selected = G.select_genes(expr, cells, config.n_genes, config.hvg_n_top, config.markers, config.use_all_expressed, config.min_cells, hvg).persist()
     counts = pyramid.bin_counts(at, finest)
     sinks.write_pyramid(counts, f"{path}/bins", ["bin_x", "bin_y"], config.reuse)
     counts = spark.read.parquet(f"{path}/bins").select(*counts.columns)
@@ -69,6 +72,23 @@ def preprocess(spark: SparkSession, atlas: dict, path: str, config: Config) -> N
         sinks.write_pyramid(pyramid.bin_cells(at, finest, finest), f"{path}/bin_cells", ["bin_x", "bin_y"], config.reuse)
     sinks.write_matrix(expr, f"{path}/expr", config.reuse)
     sinks.write_genes(atlas["genes"], selected, f"{path}/genes", config.reuse)
-    sinks.write_cells(cells, binned, finest, f"{path}/cells", config.reuse)
-    params.withColumn("levels", F.lit(config.levels)).withColumn("tile_size", F.lit(config.tile_size)).write.mode("overwrite").parquet(f"{path}/datasets")
+    default = config.default_key or (config.coord_keys[0] if config.coord_keys else None)
+    sinks.write_cells(cells, binned, finest, f"{path}/cells", config.reuse, default)
+    sinks.write_places(binned, finest, f"{path}/places", config.reuse)
+    about = params.withColumns({"dataset_id": F.lit(config.dataset_id), "is_default": F.col("coord_key") == F.lit(default) if default else F.lit(False), "levels": F.lit(config.levels), "tile_size": F.lit(config.tile_size), "n_genes": F.lit(config.n_genes), "categories": F.array(*[F.lit(x) for x in columns]).cast("array<string>"), "numeric": F.array(*[F.lit(x) for x in numeric]).cast("array<string>")})
+    about.write.mode("ignore" if config.reuse else "overwrite").parquet(f"{path}/datasets")
     binned.unpersist()
+    selected.unpersist()
+
+
+def stored_config(spark: SparkSession, path: str, config: Config) -> Config:
+    """The configuration to go on with where output is reused: levels, tile size and side are those of what is stored."""
+    if not config.reuse:
+        return config
+    from pyspark.errors import AnalysisException
+
+    try:
+        row = spark.read.parquet(f"{path}/datasets").select("levels", "tile_size", "side").first()
+    except AnalysisException:  # nothing is stored yet
+        return config
+    return replace(config, **row.asDict()) if row else config

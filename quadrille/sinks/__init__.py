@@ -9,8 +9,9 @@ from quadrille.functions.coords import parent
 
 
 def write_pyramid(df: DataFrame, path: str, sort: list[str], reuse: bool = False) -> None:
-    """Any pyramid table, a folder a coordinate system and zoom, sorted so that Parquet statistics prune. reuse: keep what is there."""
-    tidy = df.repartition("coord_key", "zoom", F.pmod(F.xxhash64(*sort), F.lit(64))).sortWithinPartitions("coord_key", "zoom", *sort)
+    """Any pyramid table, a folder a coordinate system and zoom, in ranges of its sort keys, so that Parquet statistics
+    prune; the number of ranges follows the size. reuse: keep what is there."""
+    tidy = df.repartitionByRange("coord_key", "zoom", *sort).sortWithinPartitions("coord_key", "zoom", *sort)
     tidy.write.mode("ignore" if reuse else "overwrite").partitionBy("coord_key", "zoom").parquet(path)
 
 
@@ -19,11 +20,24 @@ def write_matrix(expr: DataFrame, path: str, reuse: bool = False) -> None:
     expr.repartitionByRange("cell_id").sortWithinPartitions("cell_id", "gene").write.mode("ignore" if reuse else "overwrite").parquet(path)
 
 
-def write_cells(cells: DataFrame, binned: DataFrame, finest: int, path: str, reuse: bool = False) -> None:
-    """Cells with normalised coordinates and their bin at every zoom."""
+def write_cells(cells: DataFrame, binned: DataFrame, finest: int, path: str, reuse: bool = False, default_key: str | None = None) -> None:
+    """Cells with normalised coordinates and their bin at every zoom, in the default coordinate system: a row a cell.
+
+    Without a default, it is the first in the order of names."""
+    key = F.lit(default_key) if default_key is not None else F.col("first_key")
+    one = binned.agg(F.min("coord_key").alias("first_key"))  # one row
+    own = binned.crossJoin(F.broadcast(one)).where(F.col("coord_key") == key)
+    cells.join(_places(own, finest).drop("coord_key"), "cell_id", "left").write.mode("ignore" if reuse else "overwrite").parquet(path)
+
+
+def write_places(binned: DataFrame, finest: int, path: str, reuse: bool = False) -> None:
+    """The same places of the cells in all coordinate systems: a row a cell and system."""
+    _places(binned, finest).write.mode("ignore" if reuse else "overwrite").partitionBy("coord_key").parquet(path)
+
+
+def _places(binned: DataFrame, finest: int) -> DataFrame:
     zooms = [c for z in range(finest + 1) for c in (parent("bin_x", finest - z).alias(f"bin_z{z}_x"), parent("bin_y", finest - z).alias(f"bin_z{z}_y"))]
-    at = binned.select("cell_id", F.col("nx").alias("x_normalized"), F.col("ny").alias("y_normalized"), *zooms)
-    cells.join(at, "cell_id", "left").write.mode("ignore" if reuse else "overwrite").parquet(path)
+    return binned.select("coord_key", "cell_id", F.col("nx").alias("x_normalized"), F.col("ny").alias("y_normalized"), *zooms)
 
 
 def write_genes(genes: DataFrame, selected: DataFrame, path: str, reuse: bool = False) -> None:

@@ -32,14 +32,15 @@ def rename_genes(genes: DataFrame, column: str) -> DataFrame:
     if genes.where(F.col(column).isNull()).limit(1).count():
         raise ValueError(f"{column} has missing values")
     named = genes.withColumn("gene_original", F.col("gene")).withColumn("gene", F.col(column).cast("string"))
-    order = Window.partitionBy("gene").orderBy("gene_original")
-    named = named.withColumn("k", F.row_number().over(order) - 1)
-    given = named.select(F.col("gene").alias("given")).distinct()
-    candidate = F.concat_ws("-", "gene", F.col("k").cast("string"))
-    repeated = named.where("k > 0").withColumn("given", candidate).join(given.withColumn("taken", F.lit(True)), "given", "left")
-    shift = F.sum(F.coalesce(F.col("taken").cast("int"), F.lit(0))).over(order)
-    repeated = repeated.withColumn("gene", F.concat_ws("-", "gene", (F.col("k") + shift).cast("string")))
-    return named.where("k = 0").unionByName(repeated.drop("given", "taken")).drop("k")
+    named = named.withColumn("k", F.row_number().over(Window.partitionBy("gene").orderBy("gene_original")) - 1)
+    given = named.select("gene").distinct()
+    # Of the numbers that a repeated name could get, those that make a given name are left out before they are dealt.
+    taken = given.select(F.regexp_extract("gene", r"(?s)^(.*)-[0-9]+$", 1).alias("gene")).groupBy("gene").agg(F.count("*").alias("taken"))
+    bases = named.groupBy("gene").agg(F.max("k").alias("most")).where("most > 0").join(taken, "gene", "left")
+    numbers = bases.select("gene", F.explode(F.sequence(F.lit(1), (F.col("most") + F.coalesce("taken", F.lit(0))).cast("int"))).alias("number")).withColumn("free_name", F.concat_ws("-", "gene", F.col("number").cast("string")))
+    free = numbers.join(given.withColumnRenamed("gene", "free_name"), "free_name", "left_anti").withColumn("k", F.row_number().over(Window.partitionBy("gene").orderBy("number")))
+    named = named.join(free.select("gene", "k", "free_name"), ["gene", "k"], "left")
+    return named.select(F.coalesce("free_name", "gene").alias("gene"), *[x for x in genes.columns if x != "gene"], "gene_original")
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
