@@ -6,96 +6,116 @@ one before, to the sources of the pattern; each source takes up to its target. T
 flow of the largest size says how many words of each pattern each source gets. A seeded hash
 then puts each pattern's documents in order, and a prefix of that order has the words.
 
-Patterns and sources are summed on the driver, a row for each pattern; `max_patterns` bounds
-them. Documents never are.
+A source whose documents have no other source is a network of its own, whose flow is its target: such
+patterns are planned by joins and grouped sums. The others fall into connected networks, and each
+is solved in a task, from a row a pattern. Neither documents nor sources meet on the driver.
 
 Defined results: a null text has size 0; size 0 takes nothing; a null source is a source of its
-own and sorts last; a null doc_id takes part like any other; repeated rows each count; other
-columns are ignored.
+own and sorts last; a null doc_id takes part like any other; repeated rows each count, and stand side by
+side in the order; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
+from quadrille.llm.graph import components
 
-#: Ranges of the hash in which a pattern's words are summed; only the one that the cut falls in is ordered.
+#: Ranges of the hash in which a pattern's words are summed; only those that a cut falls in are ordered.
 RANGES = 4096
 
 
-def targets_for(sizes: list[int], weights: list[int], most: int = 3) -> list[float]:
-    """Share sum(sizes) by weight; a target stops at most * size, and the excess is shared again
-    by weight among the others until none is above."""
-    total, out, open_ = Fraction(sum(sizes)), [Fraction(0)] * len(sizes), set(range(len(sizes)))
-    while open_:
-        unit = total / sum(weights[i] for i in open_)
-        full = {i for i in open_ if unit * weights[i] > most * sizes[i]}
-        for i in full or open_:
-            out[i] = Fraction(most * sizes[i]) if full else unit * weights[i]
-        if not full:
-            break
-        total -= sum(out[i] for i in full)
-        open_ -= full
-    return [float(x) for x in out]
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds rank, from 0, over all rows: a range of rows a task, and the sizes of the ranges before."""
+    parts = c.cut(rows.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id()), "mix_ranges")
+    before = Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    base = parts.groupBy("range_part").agg(F.count("*").alias("k")).select("range_part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("range_part").orderBy(*order)) - 1
+    return parts.withColumn("inside", inside).join(base, "range_part").withColumn("rank", F.col("base") + F.col("inside")).drop("range_part", "base", "inside")
+
+
+def targets(sums: DataFrame, most: int = 3) -> DataFrame:
+    """sums: size, weight. Adds target and quota (whole words): all sizes shared by weight; a target stops at
+    most * size, and the excess is shared again by weight among the others until none is above.
+
+    Each turn sums a row a source with the share that a unit of weight has, which only rises."""
+    weight, size = F.col("weight").cast("decimal(38,0)"), F.col("size").cast("decimal(38,0)")
+    total, weights = sums.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    unit, last = Fraction(total, max(weights, 1)), None
+    full = F.lit(False)
+    while unit != last:
+        full = F.lit(unit.numerator).cast("decimal(38,0)") * weight > F.lit(most * unit.denominator).cast("decimal(38,0)") * size
+        stopped, left = sums.agg(F.coalesce(F.sum(F.when(full, F.lit(most) * F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        last, unit = unit, Fraction(total - stopped, left) if left else unit
+    top = max(sums.agg(F.max("weight")).first()[0] or 1, 1)
+    share = [float(unit * w) for w in range(top + 1)]
+    pick = lambda v, kind: F.get(F.array(*[F.lit(x) for x in v]), F.col("weight").cast("int")).cast(kind)
+    return sums.withColumns({"target": F.when(full, (F.lit(most) * F.col("size")).cast("double")).otherwise(pick(share, "double")), "quota": F.when(full, F.lit(most) * F.col("size")).otherwise(pick([round(x) for x in share], "long"))})
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most: int = 3) -> list[dict[int, int]]:
     """Min-cost flow. patterns: (sources, words). Returns for each pattern the words that each source gets.
 
-    The k-th use of a pattern's words costs k. Successive cheapest paths with potentials."""
+    The k-th use of a pattern's words costs k, and all other arcs are free, so a cheapest augmenting path is any
+    that begins with a cheapest use: the largest flow with each pattern used once, raised to two uses, and so on."""
     n_p, n_s = len(patterns), len(quotas)
     start, end = n_p + n_s, n_p + n_s + 1
     graph: list[list[int]] = [[] for _ in range(end + 1)]
-    to, cap, cost = [], [], []
+    to, cap = [], []
 
-    def arc(u, v, room, price):
-        for a, b, r, p in ((u, v, room, price), (v, u, 0, -price)):
+    def arc(u: int, v: int, room: int) -> int:
+        for a, b, r in ((u, v, room), (v, u, 0)):
             graph[a].append(len(to))
             to.append(b)
             cap.append(r)
-            cost.append(p)
+        return len(to) - 2
 
+    offers = [arc(start, i, 0) for i in range(n_p)]
     for i, (sources, words) in enumerate(patterns):
-        for k in range(1, most + 1):
-            arc(start, i, words, k)
         for s in sources:
-            arc(i, n_p + s, most * words, 0)
+            arc(i, n_p + s, most * words)
     for s, q in enumerate(quotas):
-        arc(n_p + s, end, q, 0)
-    height = [0] * (end + 1)
-    while True:
-        dist, via, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for e in graph[u]:
-                if cap[e] and (new := d + cost[e] + height[u] - height[to[e]]) < dist.get(to[e], 1 << 62):
-                    dist[to[e]], via[to[e]] = new, e
-                    heapq.heappush(heap, (new, to[e]))
-        if end not in dist:
-            break
-        for v in range(end + 1):
-            height[v] += min(dist.get(v, dist[end]), dist[end])
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        room = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= room
-            cap[e ^ 1] += room
-    out = []
-    for i in range(n_p):
-        out.append({to[e] - n_p: cap[e ^ 1] for e in graph[i] if not e & 1 and n_p <= to[e] < start and cap[e ^ 1]})
-    return out
+        arc(n_p + s, end, q)
+    for _ in range(most):
+        for e, (_, words) in zip(offers, patterns, strict=True):
+            cap[e] += words
+        while True:
+            level, queue = {start: 0}, deque([start])
+            while queue:
+                u = queue.popleft()
+                for e in graph[u]:
+                    if cap[e] and to[e] not in level:
+                        level[to[e]] = level[u] + 1
+                        queue.append(to[e])
+            if end not in level:
+                break
+            tried, path, u = [0] * (end + 1), [], start
+            while True:
+                if u == end:
+                    room = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= room
+                        cap[e ^ 1] += room
+                    path, u = [], start
+                while tried[u] < len(graph[u]) and not (cap[e := graph[u][tried[u]]] and level.get(to[e]) == level[u] + 1):
+                    tried[u] += 1
+                if tried[u] < len(graph[u]):
+                    path.append(graph[u][tried[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                else:
+                    break
+    return [{to[e] - n_p: cap[e ^ 1] for e in graph[i] if not e & 1 and n_p <= to[e] < start and cap[e ^ 1]} for i in range(n_p)]
 
 
 def _sizes(batches):
@@ -107,59 +127,84 @@ def _sizes(batches):
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of the whole text."""
+    """doc_id, source, ver (a hash of the text), size: words of the whole text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_sizes, "doc_id long, source string, size long")
-
-
-def mix(rows: DataFrame, names: list, quotas: list[int], seed: int = 0, most: int = 3, max_patterns: int = 100_000) -> DataFrame:
-    """rows: doc_id, size, sources (array of names, sorted). Adds taken: the words that the mix takes.
+    return docs.select("doc_id", "source", F.xxhash64("text").alias("ver"), "text").mapInArrow(c.tidy(_sizes), "doc_id long, source string, ver long, size long")
+
+
+def _solve(most: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One connected network. A row is a pattern and one of its sources."""
+        quotas = pdf.drop_duplicates("source").assign(key=lambda x: x["source"].fillna("")).sort_values("key", kind="stable")
+        place = {s if isinstance(s, str) else None: i for i, s in enumerate(quotas["source"])}
+        sets = [(tuple(None if x is None else str(x) for x in r.sources), int(r.words)) for r in pdf.drop_duplicates("pattern").sort_values("pattern").itertuples()]
+        flow = route([(tuple(place[x] for x in names), words) for names, words in sets], [int(q) for q in quotas["quota"]], most)
+        names = [None if not isinstance(s, str) else s for s in quotas["source"]]
+        rows = [(list(key), names[j], n) for (key, _), f in zip(sets, flow, strict=True) for j, n in sorted(f.items())]
+        return pd.DataFrame(rows, columns=["sources", "source", "got"])
+
+    return run
+
+
+def _plans(sums: DataFrame, quotas: DataFrame, most: int) -> DataFrame:
+    """sums: sources, words. quotas: source, quota. sources, words, shares: for each pattern its sources and the words they get."""
+    each = sums.withColumn("source", F.explode("sources"))
+    each = each.join(quotas.select(F.col("source").alias("name"), "quota"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # Sources that some document shares with another one.
+    shared = each.where(F.size("sources") > 1).select(F.col("source").alias("other")).distinct().withColumn("shared", F.lit(True))
+    each = each.join(shared, F.col("source").eqNullSafe(F.col("other")), "left").drop("other").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    each = c.cut(each, "mix_network")
+    single = each.where("not shared").select("sources", "source", F.least("quota", F.lit(most) * F.col("words")).alias("got"))
+    network = each.where("shared").withColumn("pattern", F.xxhash64("sources", F.lit("pattern"))).withColumn("node", F.xxhash64("source", F.col("source").isNull(), F.lit("source")))
+    if network.isEmpty():
+        flow = single
+    else:
+        joined = components(network.select(F.col("pattern").alias("a"), F.col("node").alias("b")))
+        network = network.join(joined.withColumnRenamed("node", "pattern"), "pattern").select("component", "pattern", "sources", "source", "words", "quota")
+        flow = single.union(network.groupBy("component").applyInPandas(_solve(most), "sources array<string>, source string, got long"))
+    shares = flow.where("got > 0").groupBy("sources").agg(F.array_sort(F.collect_list(F.struct("source", "got"))).alias("shares"))  # a source of the pattern each
+    return c.cut(sums.join(shares, "sources"), "mix_plans")
+
+
+def mix(rows: DataFrame, quotas: DataFrame, seed: int = 0, most: int = 3) -> DataFrame:
+    """rows: doc_id, ver, size, sources (array of names, sorted). quotas: source, quota. Adds taken, the words that the
+    mix takes, and used_for, the source that each copy goes to.
 
     A document is taken whole, a number of times that differs by one at most within its pattern."""
-    spark = rows.sparkSession
-    sums = rows.groupBy("sources").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    place = {n: i for i, n in enumerate(names)}
-    sums.sort(key=lambda r: [place[s] for s in r["sources"]])
-    flow = route([(tuple(place[s] for s in r["sources"]), r["words"]) for r in sums], quotas, most)
-    plan = [(r["sources"], *divmod(sum(f.values()), r["words"])) for r, f in zip(sums, flow, strict=True) if r["words"]]
-    plan = spark.createDataFrame(plan, "sources array<string>, whole long, part long")
-    order = F.xxhash64("doc_id", F.lit(seed), F.lit("mix"))
-    rows = rows.join(F.broadcast(plan), "sources", "left").withColumn("at", order).withColumn("range", F.pmod(F.shiftright("at", 24), F.lit(RANGES)))
-    by_range = rows.groupBy("sources", "range").agg(F.sum("size").alias("words"), F.first("part").alias("part"))
-    return _select(rows, by_range)
-
-
-def _select(rows: DataFrame, by_range: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("sources").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = by_range.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).where("base < part")
-    cuts = ranges.groupBy("sources").agg(F.max(F.struct("range", "base")).alias("cut")).select("sources", "cut.*")
-    cuts = cuts.withColumnRenamed("range", "cut_range")
-    rows = rows.join(F.broadcast(cuts), "sources", "left")  # as many rows as patterns
-    inside = F.col("range") == F.col("cut_range")
-    split = Window.partitionBy("sources", "range").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.where(inside).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(split), F.lit(0)))
-    # The document that the cut goes through is in if at least half of it is.
-    cut = cut.withColumn("more", F.col("before") + F.col("size") / 2 <= F.col("part")).drop("before")
-    rest = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("more", F.coalesce(F.col("range") < F.col("cut_range"), F.lit(False)))
-    out = rest.unionByName(cut).withColumn("taken", F.coalesce(F.col("size") * (F.col("whole") + F.col("more").cast("int")), F.lit(0)))
-    return out.drop("at", "range", "whole", "part", "base", "cut_range", "more")
+    rows = rows.withColumn("at", F.xxhash64("doc_id", "ver", F.lit(seed), F.lit("mix"))).withColumn("range", F.pmod(F.shiftright("at", 24), F.lit(RANGES)))
+    by_range = c.cut(rows.groupBy("sources", "range").agg(F.sum("size").alias("in_range")), "mix_by_range")
+    plans = _plans(by_range.groupBy("sources").agg(F.sum("in_range").alias("words")).where("words > 0"), quotas, most)
+    before = Window.partitionBy("sources").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # up to RANGES rows
+    ranges = by_range.withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0))).join(plans, "sources")
+    # A pattern's uses stand one behind the other, and its sources share them in turn: their ends are the cuts.
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["got"])
+    ranges = ranges.withColumn("ends", F.transform("shares", lambda x, i: F.struct(x["source"].alias("source"), total(F.slice("shares", F.lit(1), i + 1)).alias("stop"))))
+    place = lambda e: F.pmod(e["stop"], F.col("words"))
+    inside = F.exists("ends", lambda e: (place(e) > F.col("base")) & (place(e) < F.col("base") + F.col("in_range")))
+    ranges = c.cut(ranges.select("sources", "range", "words", "base", "ends", inside.alias("cut")), "mix_cuts")
+
+    rows = rows.join(ranges, ["sources", "range"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    order = Window.partitionBy("sources", "range").orderBy("at", "doc_id", "ver", "size").rowsBetween(Window.unboundedPreceding, -1)
+    split = rows.where("cut").withColumn("base", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    # A copy goes to the source that its middle lies in; without a cut in its range, any place there says the same.
+    rows = rows.where("not cut").withColumn("middle", F.col("base").cast("double")).unionByName(split.withColumn("middle", F.col("base") + F.col("size") / 2))
+    copies = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.filter("ends", lambda e: k * F.col("words") + F.col("middle") < e["stop"])),
+        lambda left: F.size(left) > 0,
+    )
+    used = F.when((F.col("size") > 0) & F.col("ends").isNotNull(), F.transform(copies, lambda left: left[0]["source"])).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("used_for", used).withColumn("taken", F.col("size") * F.size("used_for"))
+    return rows.drop("at", "range", "words", "base", "ends", "cut", "middle")
 
 
 def mix_by_source(docs: DataFrame, seed: int = 0, most: int = 3) -> DataFrame:
     """Mix documents of single sources with weights 1, 2, 3, repeating, in the order of the sources.
 
     doc_id, source, size, source_size, target, taken."""
-    spark = docs.sparkSession
     rows = c.cut(with_sizes(docs), "mix_sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    names = sorted((r["source"] for r in sums), key=lambda s: (s is None, s or ""))
-    size = {r["source"]: r["size"] for r in sums}
-    sizes = [size[s] for s in names]
-    targets = targets_for(sizes, [1 + i % 3 for i in range(len(names))], most)
-    mixed = mix(rows.withColumn("sources", F.array("source")), names, [round(t) for t in targets], seed, most)
-    per = spark.createDataFrame([([s], a, t) for s, a, t in zip(names, sizes, targets, strict=True)], "sources array<string>, source_size long, target double")
-    return mixed.join(F.broadcast(per), "sources", "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+    sums = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    sums = ranked(sums, F.col("source").isNull(), F.col("source")).withColumn("weight", 1 + F.col("rank") % 3)
+    per = c.cut(targets(c.cut(sums, "mix_sources"), most), "mix_targets")
+    mixed = mix(rows.withColumn("sources", F.array("source")), per, seed, most)
+    per = per.select(F.array("source").alias("sources"), F.col("size").alias("source_size"), "target")
+    return mixed.join(per, "sources", "left").select("doc_id", "source", "size", "source_size", "target", "taken")
