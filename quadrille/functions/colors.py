@@ -38,7 +38,8 @@ def density(count: Column) -> Column:
 
 def category(index: Column) -> Column:
     """Hex colour of a category index; an unknown category is grey."""
-    return F.coalesce(F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), F.pmod(index, F.lit(len(CATEGORIES))) + 1), F.lit(UNKNOWN))
+    at = F.pmod(index, F.lit(len(CATEGORIES))) + 1
+    return F.when(index.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), at)).otherwise(UNKNOWN)
 
 
 def scaled(value: Column, low: Column, high: Column) -> Column:
