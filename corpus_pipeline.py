@@ -2,72 +2,88 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a data frame; all but the last return the
 columns of documents, in their order. Between stages the rows are written and read again.
+
+Rows, not doc_ids, are what the stages decide on: a row is named by a hash of all its columns, and travels as one
+value, so that a doc_id may be null or stand for several texts, rows may be repeated, and columns beside those
+of documents may have any names; these are handed on as they are. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
 from quadrille.llm import op03_decontaminate, op04_tokens, op05_language, op07_jaccard, op10_mixing
 
 
+def _key(docs: DataFrame) -> Column:
+    """A hash of all columns, nulls included. Rows with one key are the same row, repeated. The key has
+    64 bits: of 15 million rows, two differ and share one with a chance of 6 in a million."""
+    own = [docs[f"`{x}`"] for x in docs.columns]
+    return F.xxhash64(*own, *[x.isNull() for x in own])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key, a hash of all columns, nulls included. Rows with one key are the same row, repeated;
-    a doc_id may be null, or stand for several texts. The key has 64 bits: of 15 million rows, two differ
-    and share one with a chance of 6 in a million."""
-    return docs.withColumn("row_key", F.xxhash64(*docs.columns, *[F.col(x).isNull() for x in docs.columns]))
+    """row_key, row."""
+    return docs.select(_key(docs).alias("row_key"), F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"))
 
 
 def _as_ids(docs: DataFrame) -> DataFrame:
     """The rows for an operator, with their keys as doc_id."""
-    return _keyed(docs).withColumn("doc_id", F.col("row_key")).drop("row_key")
+    return docs.select(_key(docs).alias("doc_id"), "text", "lang", "source")
+
 
+def _left_out(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows that are not marked (by doc_id, the row's key)."""
+    return _keyed(docs).join(marks.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select("row.*")
 
-def _whose(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return _keyed(docs).join(marks.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", how).select(*docs.columns)
+
+def _once(docs: DataFrame) -> DataFrame:
+    """row_key, row: repeated rows once. They are combined in their tasks before rows move."""
+    return _keyed(docs).groupBy("row_key").agg(F.first("row").alias("row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out the documents whose language stays undetermined. The model learns from the input's own labels."""
-    langs, logp = op05_language.train(docs)
+    """Leaves out the documents whose language stays undetermined. The model learns from the input's own labels.
+
+    Texts without words are judged by their source alone; if nothing is labelled, nothing is left out."""
+    langs, logp = op05_language.train(_as_ids(docs))
+    if not langs:
+        return docs
     found = op05_language.identify(op05_language.from_documents(_as_ids(docs)), langs, logp)
-    return _whose(docs, found.where("not kept"), "left_anti")
+    return _left_out(docs, found.where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component, that with the smallest doc_id, nulls last; one of a row that is repeated."""
+    """Keeps one row of each component, that with the smallest doc_id, nulls last; one of a row that is repeated.
+
+    Texts without words are no copies of each other."""
     rows, _ = op07_jaccard.jaccard_join(_as_ids(docs))
-    ids = _keyed(docs).groupBy("row_key").agg(F.first("doc_id").alias("id"), F.count("*").alias("rows"))
+    ids = docs.select(_key(docs).alias("row_key"), F.col("doc_id").alias("id")).distinct()
     nodes = rows.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(ids, "row_key")
-    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key", "rows"))
-    kept = c.cut(nodes.groupBy("component_id").agg(best.alias("best")).select("best.row_key", "best.rows"), "near_kept")
-    keyed = _keyed(docs)
-    once = keyed.join(kept.where("rows = 1").select("row_key"), "row_key", "left_semi").select(*docs.columns)
-    again = keyed.join(kept.where("rows > 1").select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return once.union(again.select("row.*"))
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row_key"))
+    kept = c.cut(nodes.groupBy("component_id").agg(best.alias("best")).select("best.row_key"), "near_kept")
+    return _once(docs).join(kept, "row_key", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out the rows that hold a benchmark item. Null and empty texts stay."""
     found = op03_decontaminate.find_overlaps(_as_ids(docs).select("doc_id", "text"), c.table(spark, sf_dir, "benchmark"))
-    return _whose(docs, found, "left_anti")
+    return _left_out(docs, found)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; what the mix does not take goes."""
-    mixed = op10_mixing.mix_by_source(_as_ids(docs)).where("size > 0")
-    times = mixed.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times"), F.count("*").alias("rows"))
-    rows = _keyed(docs).join(times.where("times > 0"), "row_key")
-    # Of a row that is repeated the mix may take some: then one stands for all.
-    even = rows.where("times % rows = 0").select(*docs.columns, (F.col("times") / F.col("rows")).cast("int").alias("times"))
-    odd = rows.where("times % rows > 0").groupBy("row_key").agg(F.first(F.struct(*docs.columns)).alias("row"), F.first("times").cast("int").alias("times"))
-    rows = even.union(odd.select("row.*", "times"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*docs.columns)
+    """Repeats each row as often as the mix takes it, or, of a row that is repeated, all its rows together; what the
+    mix does not take goes, texts without words among it."""
+    mixed = op10_mixing.mix_by_source(_as_ids(docs)).where("taken > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("row_key")).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    rows = _once(docs).join(times, "row_key")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the ids and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the ids and returns what the files hold: doc_id, start, n_tokens, ids_crc32; a row for each row."""
     return op04_tokens.token_digests(docs)
 
 
