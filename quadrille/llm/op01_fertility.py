@@ -1,10 +1,12 @@
 """Tokeniser fertility: how public vocabularies cut a text, with rejection bands per language or script.
 
-Each distinct word of a slice of documents is cut by two public vocabularies, once, and each
-document's figures are summed from its words: characters per token (both), the share of tokens
-that stand for single bytes (byte fallback) and the entropy of its token distribution. A group's
-bands come from all its documents that pass the base rules: quartiles, widened by a multiple of
-the distance between them. The fewer documents a group has, the more its bands open towards those of
+Two public vocabularies cut each text: a byte-level one the whole text with its white space, a piece one the
+words of the text joined by single spaces (it would show line breaks as byte fallback). Each distinct word
+of a slice is cut into pieces once. A document's figures are characters per token (both), the share of
+tokens that stand for single bytes (byte fallback) and the entropy of its token distribution. A
+group's bands come from all its documents that pass the base rules: quartiles, widened by a multiple of
+the distance between them, from counts of values in steps of 1 / `STEPS`, so that they are the same in any
+order and partitioning. The fewer documents a group has, the more its bands open towards those of
 all documents in the same script, where these reach further, and very few reject next to nothing. So
 no group is judged by the figures of another script, and nothing jumps at a group size. A group is the
 declared language, or the main script of the letters where none is declared.
@@ -20,7 +22,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
@@ -29,6 +31,8 @@ from quadrille.llm import common as c
 MIN_GROUP, FEW = 100, 20
 #: Distances between the quartiles that a band reaches beyond them, and the least such distance as a share of the median.
 REACH, LEAST = 4.0, 0.08
+#: Steps of 1 in which values are counted.
+STEPS = 10_000
 _loaded: dict = {}
 
 #: First code points of scripts, ascending; letters below the first are Latin.
@@ -98,7 +102,7 @@ def _duplicate_lines(text: bytes) -> int:
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_FIELDS = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, piece_tokens long, byte_tokens long, fallback_share double, entropy double"
+_FIELDS = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_chars long, piece_tokens long, byte_tokens long, fallback_share double, entropy double"
 
 
 def _measure(piece_file: str, byte_file: str):
@@ -110,12 +114,11 @@ def _measure(piece_file: str, byte_file: str):
             codes, distinct = c.word_codes(words)
             names = distinct.to_pylist()
             flat, woff = c.ragged(sp.encode(names, num_threads=1))
-            byte_n = np.array([len(x) for x in (enc.encode_ordinary(w) for w in names)], np.int64)
             chars = np.asarray(pc.utf8_length(distinct), np.int64)
             fall = np.concatenate(([0], np.cumsum(is_byte[flat])))
             total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v[codes])))[off])
             columns = [np.diff(off), total(chars)]
-            symbols, dup, rep, entropy, group, scripts = [], [], [], [], [], []
+            symbols, dup, rep, entropy, group, scripts, byte_n = [], [], [], [], [], [], []
             langs = b.column("lang").to_pylist()
             for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                 raw = texts[i].as_buffer()
@@ -130,11 +133,13 @@ def _measure(piece_file: str, byte_file: str):
                     entropy.append(float(np.log2(len(ids)) - (n * np.log2(n)).sum() / len(ids)))
                 else:
                     entropy.append(0.0)
-                scripts.append(_script(raw.to_pybytes().decode()))
+                text = texts[i].as_py()
+                byte_n.append(len(enc.encode_ordinary(text)))
+                scripts.append(_script(text))
                 group.append(langs[i] if langs[i] is not None else f"script:{scripts[-1]}")
             pieces = total(np.diff(woff))
             share = total(np.diff(fall[woff])) / np.maximum(pieces, 1)
-            columns += [symbols, dup, rep, pieces, total(byte_n), share, entropy]
+            columns += [symbols, dup, rep, np.asarray(pc.utf8_length(texts), np.int64), pieces, byte_n, share, entropy]
             yield pa.record_batch([b.column("doc_id"), pa.array(group, pa.string()), pa.array(scripts, pa.string()), *(pa.array(x) for x in columns)], names=[f.split()[0] for f in _FIELDS.split(", ")])
 
     return run
@@ -150,24 +155,30 @@ def fertility(docs: DataFrame, piece_file: str = "piece_bpe_32k.model", byte_fil
     piece_chars, byte_chars: characters per token; entropy_share: token entropy in bits, as a share
     of the most that so many tokens could have."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    m = c.cut(docs.mapInArrow(_measure(piece_file, byte_file), _FIELDS), "fertility")
+    m = c.cut(docs.mapInArrow(c.tidy(_measure(piece_file, byte_file)), _FIELDS), "fertility")
     m = (
         m.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .withColumn("piece_chars", F.col("word_chars") / F.greatest("piece_tokens", F.lit(1)))
-        .withColumn("byte_chars", F.col("word_chars") / F.greatest("byte_tokens", F.lit(1)))
+        .withColumn("byte_chars", F.col("text_chars") / F.greatest("byte_tokens", F.lit(1)))
         .withColumn("entropy_share", F.when(F.col("piece_tokens") > 1, F.col("entropy") / F.log2("piece_tokens")).otherwise(0.0))
     )
-    # Quartiles of all good documents, by group and by script: mergeable sketches, a row a group.
-    good = m.where("not base_failed")
+    # Counts of all good documents' values, a row a group and value.
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(name) * STEPS).cast("long").alias("v")) for i, (name, _, _) in enumerate(MEASURES)])
+    counts = m.where("not base_failed").select("lang", "script", F.explode(values).alias("x")).groupBy("lang", "script", "x.i", "x.v").agg(F.count("*").alias("n"))
+    counts = c.cut(counts, "fertility_counts")
 
     def bands(by: str) -> DataFrame:
-        """Both ends of each measure's band."""
-        q = good.groupBy(by).agg(F.count("*").alias(f"{by}_docs"), *[F.percentile_approx(name, [0.25, 0.5, 0.75], 10000).alias(name) for name, _, _ in MEASURES])
-        reach = REACH * F.greatest(F.lit(1.0), FEW / F.col(f"{by}_docs"))
-        wide = {n: reach * F.greatest(F.col(n)[2] - F.col(n)[0], F.lit(LEAST) * F.col(n)[1], F.lit(0.01)) for n, _, _ in MEASURES}
-        return q.select(by, f"{by}_docs", *[x for n, w in wide.items() for x in ((F.col(n)[0] - w).alias(f"{by}_low_{n}"), (F.col(n)[2] + w).alias(f"{by}_high_{n}"))])
-
-    m = m.join(bands("lang"), "lang", "left").join(F.broadcast(bands("script")), "script", "left")  # a row a script
+        """Both ends of each measure's band. The written table is small, or joined by a shuffle where it is not."""
+        up = Window.partitionBy(by, "i").orderBy("v")
+        own = counts.groupBy(by, "i", "v").agg(F.sum("n").alias("n")).select(by, "i", "v", F.sum("n").over(up).alias("upto"), F.sum("n").over(Window.partitionBy(by, "i")).alias("docs"))
+        q = own.groupBy(by, "i").agg(F.first("docs").alias("docs"), *[(F.min(F.when(4 * F.col("upto") >= k * F.col("docs"), F.col("v"))) / STEPS).alias(f"q{k}") for k in (1, 2, 3)])
+        wide = REACH * F.greatest(F.lit(1.0), FEW / F.col("docs")) * F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST) * F.col("q2"), F.lit(0.01))
+        q = q.select(by, "i", "docs", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
+        pick = lambda x, i: F.max(F.when(F.col("i") == i, F.col(x)))
+        ends = [pick(x, i).alias(f"{by}_{x}_{name}") for i, (name, _, _) in enumerate(MEASURES) for x in ("low", "high")]
+        return c.cut(q.groupBy(by).agg(F.first("docs").alias(f"{by}_docs"), *ends), "fertility_bands")
+
+    m = m.join(bands("lang"), "lang", "left").join(bands("script"), "script", "left")
     lacks = F.greatest(1 - F.col("lang_docs") / MIN_GROUP, F.lit(0.0))
     out = F.lit(False)
     for name, low, high in MEASURES:
