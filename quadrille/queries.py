@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.functions import colors
 from quadrille.functions import coords as C
 from quadrille.operators import cells as K
 from quadrille.operators import de as D
@@ -308,14 +309,147 @@ def cardinality_guard(s, d):
     return P.cardinality(a.cells, ["priority", "status", "price"], 100)
 
 
+def transform_params(s, d):
+    names = ("min_x", "max_x", "range_x", "min_y", "max_y", "range_y", "scale")
+    return Atlas(s, d).params.select(*[F.round(n, 6).alias(n) for n in names], "n_dropped")
+
+
+def denormalize_coords(s, d):
+    a = Atlas(s, d)
+    return C.denormalize(a.points.select("coord_key", "cell_id", "nx", "ny"), a.params).select("cell_id", F.round("x", 3).alias("x"), F.round("y", 1).alias("y"))
+
+
+def group_expression(s, d):
+    a = Atlas(s, d)
+    return B.group_expression(a.expr, a.cells.select(F.col("status").alias("group"), "cell_id")).withColumns(r6("mean"))
+
+
+def tile_one(s, d):
+    return L.tile_bins(Atlas(s, d).counts, 2, FINEST, 128, (1, 2)).select("bin_x", "bin_y", "local_x", "local_y", "cell_count")
+
+
+def tile_index(s, d):
+    rows = L.tile_index(L.tile_bins(Atlas(s, d).counts, 2, FINEST, 128))
+    return rows.select("tile_x", "tile_y", F.array_join(F.transform("bins", lambda b: F.concat_ws(":", b["bin_x"].cast("string"), b["bin_y"].cast("string"))), ",").alias("bins"))
+
+
+def tile_grid(s, d):
+    """All tiles of a map zoom with their bins and cells, also where there are none."""
+    tiles = L.tile_bins(Atlas(s, d).counts, 3, FINEST, 128).groupBy("tile_x", "tile_y").agg(F.count("*").alias("bins"), F.sum("cell_count").alias("cells"))
+    return L.tile_grid(s, C.SIDE, 3).join(tiles, ["tile_x", "tile_y"], "left").select("tile_x", "tile_y", F.coalesce("bins", F.lit(0)).alias("bins"), F.coalesce("cells", F.lit(0)).alias("cells"))
+
+
+def tile_colors_density(s, d):
+    return L.pixels(L.tile_bins(Atlas(s, d).counts, 0, 4, 128), 128).select("bin_x", "bin_y", "density_color.*")
+
+
+def tile_colors_expression(s, d):
+    a = Atlas(s, d)
+    rows = L.expression_pixels(L.pixels(L.tile_bins(a.counts, 0, ZOOM, 128), 128), a.vector("max"), cmap="magma")
+    return rows.select("bin_x", "bin_y", "color.*")
+
+
+def tile_colors_category(s, d):
+    a = Atlas(s, d)
+    return L.category_pixels(L.tile_bins(a.counts, 1, ZOOM, 256), a.dominant, HIGH).select("bin_x", "bin_y", "category_index", "color")
+
+
+def cell_colors(s, d):
+    """Single cells coloured by a gene (a missing value is 0) and by a category."""
+    a = Atlas(s, d)
+    values = a.expr.where(F.col("gene") == BRAND).select("cell_id", "value")
+    names = a.categories.select(F.col("category").alias("priority"), "category_index")
+    rows = a.cells.join(values, "cell_id", "left").join(names, "priority", "left")
+    t = colors.scaled(F.col("value"), F.lit(0.0), F.lit(60.0))
+    return rows.select("cell_id", colors.ramp(t, "seurat").alias("rgb"), colors.category(F.when(F.col("status") != "P", F.col("category_index"))).alias("category_color")).select("cell_id", "rgb.*", "category_color")
+
+
+def polygons_join(s, d):
+    """A triangle of the map for each nation, joined with the cells inside."""
+    a = Atlas(s, d)
+    n = F.col("n_nationkey")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    regions = a.read("nation").select(n.alias("region_id"), F.array(corner(n * 8, n * 6), corner(n * 8 + 40, n * 6 + 10), corner(n * 8 + 5, n * 6 + 60)).alias("vertices"))
+    return K.join_polygons(a.points, regions).groupBy("region_id").agg(F.count("*").alias("n"))
+
+
+def cells_scan(s, d):
+    a = Atlas(s, d)
+    return K.scan_cells(a.expr, a.cells.where("status = 'P'")).select("cell_id", "gene", "value")
+
+
+def category_of_cells(s, d):
+    a = Atlas(s, d)
+    return K.read_category(a.cells, "priority", a.cells.where("price > 300000"))
+
+
+def column_values(s, d):
+    return K.column_values(Atlas(s, d).cells, "status")
+
+
+def _parts(s, d):
+    return s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("part"), F.col("p_partkey")).alias("gene"), F.col("p_partkey").alias("gene_id"), (F.col("p_size") < 9).alias("highly_variable"), F.when(F.col("p_size") != 4, F.col("p_size")).alias("highly_variable_rank"))
+
+
+def gene_search(s, d):
+    return G.search(_parts(s, d), "PART19", 20).select("gene")
+
+
+def gene_range(s, d):
+    return G.gene_range(_parts(s, d))
+
+
+def genes_flagged(s, d):
+    return G.flagged_genes(_parts(s, d), 40).select("gene", "highly_variable_rank")
+
+
+def genes_random(s, d):
+    return G.random_genes(_parts(s, d), 25, 5).select("gene")
+
+
+def genes_all_expressed(s, d):
+    """Genes of at least 30 cells, and the markers."""
+    a = Atlas(s, d, "part")
+    return G.select_genes(a.expr, a.cells, markers=["part7", "part11"], use_all_expressed=True, min_cells=30)
+
+
+def _given_p(s, d):
+    """Real effects with p-values that SQL can express: a falling function of the t statistic stands for them."""
+    p = F.round(1 / (1 + F.abs("t")), 6)
+    return _de(s, d)[2].select("gene", "pct1", "pct2", F.round("log2fc", 6).alias("log2fc"), p.alias("fdr_ranksum"), p.alias("p_ttest"))
+
+
+def de_page(s, d):
+    return D.page(_given_p(s, d), "fdr_ranksum", 3, 12).select("gene", "log2fc", "fdr_ranksum")
+
+
+def volcano_classes(s, d):
+    return D.volcano(_given_p(s, d), "p_ttest", 0.02, 0.6, True).withColumns(r6("x", "y"))
+
+
+def hits_page(s, d):
+    hits, databases, genes = _hits(s, d)
+    return H.page(H.expand(hits, databases, genes), "bitscore", 40, 60).withColumns(r6("pident", "bitscore")).select("dataset_id", "gene", "pident", "length", "bitscore")
+
+
+def distinct_databases(s, d):
+    return H.distinct_databases(_hits(s, d)[1])
+
+
+def cell_summary(s, d):
+    a = Atlas(s, d)
+    return catalog.summary(a.cells, a.genes, a.expr, ["priority", "status"]).withColumn("columns", F.array_join("columns", ","))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_coords, bin_assign, bin_counts_all_zooms, bin_expression, bin_expression_coarse, bin_category_counts, dominant_category, bin_numeric_mean, bin_cell_lists, bin_index,
+        transform_params, normalize_coords, denormalize_coords, bin_assign, group_expression, tile_one, tile_index, tile_grid, tile_colors_density, tile_colors_expression, tile_colors_category, cell_colors, bin_counts_all_zooms, bin_expression, bin_expression_coarse, bin_category_counts, dominant_category, bin_numeric_mean, bin_cell_lists, bin_index,
         gene_vector, gene_stats, bins_expressing_gene, category_legend, category_centroids, gene_category_means, tile_bins, tile_pixels_expression, tile_pixels_category,
-        cells_in_box, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, expression_lookup_sparse, expression_lookup_dense,
+        cells_in_box, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, polygons_join, cells_scan, category_of_cells, column_values, expression_lookup_sparse, expression_lookup_dense,
         expressed_genes, gene_variance_top, gene_selection, normalize_log1p, hvg_scores, de_moments, de_welch_t_df, de_ranksum_u_z, de_one_vs_rest, de_full, volcano, bh_fdr,
         hits_expand_topk, gene_dataset_lookup, atlas_profile, category_top10, percentile_range, cardinality_guard,
+        gene_search, gene_range, genes_flagged, genes_random, genes_all_expressed, de_page, volcano_classes, hits_page, distinct_databases, cell_summary,
     )
 }
 
@@ -362,7 +496,59 @@ uz AS (SELECT gene, r1, ties, n1::DOUBLE AS n1, n2::DOUBLE AS n2, least(r1 - n1:
     hits = """WITH h AS (SELECT 'db' || (l_suppkey % 3) AS db_path, p_brand AS gene, l_discount * 1000 AS pident, l_quantity AS length, l_tax * 1e-6 AS evalue, l_extendedprice / 100 AS bitscore FROM lineitem JOIN part ON l_partkey = p_partkey),
 t AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY db_path ORDER BY bitscore DESC, evalue, gene, pident, length, evalue) <= 200),
 dg AS (SELECT DISTINCT 'd' || r_regionkey AS dataset_id, r_regionkey AS position, p_brand AS gene FROM region JOIN part ON p_size % 5 = r_regionkey WHERE p_size < 12)"""
+    given = de + """,
+gp AS (SELECT gene, pct1, pct2, round(CASE WHEN mean1 <= 1e-9 AND mean2 <= 1e-9 THEN 0 ELSE log2((mean1 + 1e-9) / (mean2 + 1e-9)) END, 6) AS log2fc, round(1 / (1 + abs((mean1 - mean2) / sqrt(var1 / n1 + var2 / n2))), 6) AS fdr FROM w)"""
+    parts = "WITH pt AS (SELECT 'part' || p_partkey AS gene, p_partkey AS gene_id, p_size < 9 AS hv, CASE WHEN p_size <> 4 THEN p_size END AS rnk FROM part)\n"
+
+    def rgb(t: str, name: str) -> str:
+        """Columns r, g, b of the ramp at t."""
+        stops = colors.MAPS[name]
+        held = f"(least(greatest({t}, 0.0::DOUBLE), 1.0::DOUBLE) * {len(stops) - 1})"
+        low = f"least(floor({held})::INT, {len(stops) - 2})"
+        at = lambda k, i: f"({[float(x[k]) for x in stops]}::DOUBLE[])[{low} + {i}]"
+        return ", ".join(f"floor({at(k, 1)} + ({at(k, 2)} - {at(k, 1)}) * ({held} - {low}))::INT AS {c}" for k, c in enumerate("rgb"))
+
+    palette = f"({colors.CATEGORIES}::VARCHAR[])"
+    triangle = "(SELECT n_nationkey AS region_id, [n_nationkey * 8.0, n_nationkey * 8.0 + 40, n_nationkey * 8.0 + 5]::DOUBLE[] AS vx, [n_nationkey * 6.0, n_nationkey * 6.0 + 10, n_nationkey * 6.0 + 60]::DOUBLE[] AS vy FROM nation)"
+    ends = [(1, 3), (2, 1), (3, 2)]
+    in_triangle = " + ".join(f"CASE WHEN ((vy[{i}] > ny) <> (vy[{j}] > ny)) AND nx < (vx[{j}] - vx[{i}]) * (ny - vy[{i}]) / (vy[{j}] - vy[{i}]) + vx[{i}] THEN 1 ELSE 0 END" for i, j in ends)
     return {
+        "transform_params": q("SELECT round(lx, 6) AS min_x, round(hx, 6) AS max_x, round(rx, 6) AS range_x, round(ly, 6) AS min_y, round(hy, 6) AS max_y, round(ry, 6) AS range_y, round(scale, 6) AS scale, 0::BIGINT AS n_dropped FROM p1, p"),
+        "denormalize_coords": q("SELECT cell_id, round(nx / scale + ox, 3) AS x, round(ny / scale + oy, 1) AS y FROM n, p"),
+        "group_expression": q(
+            """SELECT "group", gene, round(s / n, 6) AS mean, CASE WHEN nnz < n THEN greatest(m, 0.0) ELSE m END AS max FROM (SELECT status AS "group", gene, sum(value) AS s, max(value) AS m, count(*) AS nnz FROM e JOIN c USING (cell_id) GROUP BY ALL)
+JOIN (SELECT status AS "group", count(*) AS n FROM c GROUP BY status) USING ("group")"""
+        ),
+        "tile_one": q(f"SELECT bin_x, bin_y, (bin_x % {tile_n})::INT AS local_x, (bin_y % {tile_n})::INT AS local_y, cell_count FROM k WHERE zoom = {FINEST} AND bin_x // {tile_n} = 1 AND 3 - bin_y // {tile_n} = 2"),
+        "tile_index": q(f"SELECT (bin_x // {tile_n})::INT AS tile_x, (3 - bin_y // {tile_n})::INT AS tile_y, string_agg(bin_x || ':' || bin_y, ',' ORDER BY bin_x, bin_y) AS bins FROM k WHERE zoom = {FINEST} GROUP BY 1, 2"),
+        "tile_grid": q(
+            f"""SELECT x::INT AS tile_x, y::INT AS tile_y, count(cell_count) AS bins, coalesce(sum(cell_count), 0)::BIGINT AS cells FROM range(8) a(x), range(8) b(y)
+LEFT JOIN (SELECT bin_x // {2 ** (FINEST - 3)} AS tx, 7 - bin_y // {2 ** (FINEST - 3)} AS ty, cell_count FROM k WHERE zoom = {FINEST}) ON x = tx AND y = ty GROUP BY ALL"""
+        ),
+        "tile_colors_density": q(f"SELECT bin_x, bin_y, {rgb('cell_count::DOUBLE / 1000', 'viridis')} FROM k WHERE zoom = 4"),
+        "tile_colors_expression": q(f"SELECT bin_x, bin_y, {rgb('max / (SELECT max(max) FROM v)', 'magma')} FROM v"),
+        "tile_colors_category": q(
+            f"""SELECT bin_x, bin_y, (CASE WHEN category IN ({high}) THEN i ELSE -1 END)::INT AS category_index, CASE WHEN category IN ({high}) THEN {palette}[i + 1] END AS color
+FROM dom JOIN (SELECT category, row_number() OVER (ORDER BY category) - 1 AS i FROM cats) USING (category) WHERE zoom = {ZOOM}"""
+        ),
+        "cell_colors": q(
+            f"""SELECT cell_id, {rgb('coalesce(value, 0.0) / 60', 'seurat')}, CASE WHEN status <> 'P' THEN {palette}[i + 1] ELSE '{colors.UNKNOWN}' END AS category_color
+FROM c LEFT JOIN (SELECT cell_id, value FROM e WHERE gene = '{BRAND}') USING (cell_id) JOIN (SELECT category AS priority, row_number() OVER (ORDER BY category) - 1 AS i FROM cats) USING (priority)"""
+        ),
+        "polygons_join": q(f"SELECT region_id, count(*) AS n FROM n JOIN {triangle} ON ({in_triangle}) % 2 = 1 GROUP BY region_id"),
+        "cells_scan": q("SELECT cell_id, gene, value FROM e SEMI JOIN (SELECT * FROM c WHERE status = 'P') USING (cell_id)"),
+        "category_of_cells": q("SELECT cell_id, priority AS category FROM c WHERE price > 300000 AND priority <> ''"),
+        "column_values": "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus <> ''",
+        "gene_search": f"{parts}SELECT gene FROM pt WHERE lower(gene) LIKE '%part19%' ORDER BY gene LIMIT 20",
+        "gene_range": f"{parts}SELECT count(*) AS n, min(gene_id) AS low, max(gene_id) AS high FROM pt WHERE gene <> ''",
+        "genes_flagged": f"{parts}SELECT gene, rnk AS highly_variable_rank FROM pt WHERE hv ORDER BY rnk NULLS LAST, gene LIMIT 40",
+        "genes_random": f"{parts}SELECT gene FROM pt ORDER BY md5('5:' || gene), gene LIMIT 25",
+        "genes_all_expressed": q("SELECT gene, (row_number() OVER (ORDER BY gene) - 1)::INT AS selected_index FROM tot WHERE n_cells >= 30 OR gene IN ('part7', 'part11')", tot),
+        "de_page": q("SELECT gene, log2fc, fdr AS fdr_ranksum FROM gp ORDER BY fdr, abs(log2fc) DESC, gene LIMIT 12 OFFSET 3", given),
+        "volcano_classes": q("SELECT gene, log2fc AS x, round(-log10(fdr), 6) AS y, CASE WHEN -log10(fdr) >= -log10(0.6) AND log2fc >= 0.02 THEN 'up' WHEN -log10(fdr) >= -log10(0.6) AND log2fc <= -0.02 THEN 'down' ELSE 'ns' END AS class FROM gp WHERE pct1 > 0 OR pct2 > 0", given),
+        "hits_page": f"{hits}\nSELECT dataset_id, gene, round(pident, 6) AS pident, length, round(bitscore, 6) AS bitscore FROM h JOIN (SELECT 'd' || r_regionkey AS dataset_id, 'db' || (r_regionkey % 3) AS db_path FROM region) USING (db_path) SEMI JOIN dg USING (dataset_id, gene) ORDER BY h.bitscore DESC, evalue, dataset_id, gene, h.pident, length LIMIT 60 OFFSET 40",
+        "distinct_databases": "SELECT DISTINCT 'db' || (r_regionkey % 3) AS db_path FROM region",
+        "cell_summary": q("SELECT (SELECT count(*) FROM c) AS n_cells, (SELECT count(DISTINCT p_brand) FROM part) AS n_genes, (SELECT count(*) FROM e) AS nnz, 'priority,status' AS columns"),
         "normalize_coords": q("SELECT cell_id, round(nx, 6) AS nx, round(ny, 6) AS ny FROM n"),
         "bin_assign": q("SELECT cell_id, fx AS bin_x, fy AS bin_y FROM b"),
         "bin_counts_all_zooms": q("SELECT * FROM k"),
