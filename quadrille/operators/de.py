@@ -12,8 +12,8 @@ from quadrille.functions.stats import normal_p, t_p
 from quadrille.operators.cells import sample_groups
 
 
-#: Ranges of a gene's values that are ranked apart.
-RANGES = 64
+#: Ranges that a doubling of the value is cut into; the values of a range are ranked apart.
+RANGES = 16
 
 
 def label_groups(cells: DataFrame, groupby: str, group1: list[str], group2: list[str] | None = None, max_cells: int | None = None, seed: int = 0) -> DataFrame:
@@ -36,7 +36,7 @@ def _moments(rows: DataFrame) -> list[Column]:
     for g in (1, 2):
         v = F.when(F.col("group") == g, F.col("value"))
         out += [F.coalesce(F.sum(v), F.lit(0.0)).alias(f"sum{g}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"sumsq{g}"), F.count(v).alias(f"nnz{g}")]
-    return [*out, F.min("value").alias("low"), F.max("value").alias("high")]
+    return out
 
 
 def moments(expr: DataFrame, labels: DataFrame, genes: DataFrame) -> DataFrame:
@@ -68,33 +68,43 @@ def welch(m: DataFrame) -> DataFrame:
     return m.withColumn("df", F.when(ok, F.greatest(df, F.lit(1.0))))
 
 
-def rank_sum(expr: DataFrame, labels: DataFrame, m: DataFrame) -> DataFrame:
-    """gene, r1, ties (sum of t^3 - t), u, z: Mann-Whitney with average ranks over counted values.
+def rank_moments(expr: DataFrame, labels: DataFrame, genes: DataFrame) -> DataFrame:
+    """The moments of each gene, and r1 and ties (sum of t^3 - t) of average ranks over counted values, in one pass over the matrix.
 
-    A gene's values are ranked in RANGES ranges of equal width, each behind the counts of those before it, so
-    no task has to order all values of a gene."""
+    Values are ranked inside ranges, then each range behind the counts of those before it, so no task has to
+    order all values of a gene. Zeros, which are not stored, stand as one counted value between the signs."""
     rows = expr.where(F.col("value") != 0).join(labels, "cell_id")
     counts = rows.groupBy("gene", "value").agg(F.count_if(F.col("group") == 1).alias("t1"), F.count_if(F.col("group") == 2).alias("t2"))
-    zeros = m.select("gene", F.lit(0.0).alias("value"), (F.col("n1") - F.col("nnz1")).alias("t1"), (F.col("n2") - F.col("nnz2")).alias("t2"))
-    counts = counts.unionByName(zeros).withColumn("t", (F.col("t1") + F.col("t2")).cast("double"))
-    ends = m.select("gene", F.least("low", F.lit(0.0)).alias("low"), F.greatest("high", F.lit(0.0)).alias("high"), F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"))
-    part = F.least(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * RANGES), F.lit(RANGES - 1))
-    counts = counts.join(ends, "gene").withColumn("part", F.coalesce(part, F.lit(0)))
+    v, t = F.col("value"), F.col("t")
+    part = F.signum(v) * (F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0)) * RANGES) + 2000 * RANGES)
+    counts = counts.withColumn("t", (F.col("t1") + F.col("t2")).cast("double")).withColumn("part", part)
     before = Window.partitionBy("gene", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    t, rank = F.col("t"), F.coalesce(F.sum("t").over(before), F.lit(0.0)) + (F.col("t") + 1) / 2
-    # Ranks inside a range first; what stands before the range is added to all of its ranks at once.
-    parts = counts.withColumn("rank", rank).groupBy("gene", "part").agg(
-        F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"), F.sum("t1").alias("t1"), F.sum("t").alias("t"), F.first("n1").alias("n1"), F.first("n2").alias("n2")
-    )
-    below = F.coalesce(F.sum("t").over(Window.partitionBy("gene").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    counts = counts.withColumn("rank", F.coalesce(F.sum("t").over(before), F.lit(0.0)) + (t + 1) / 2)
+    sums = [F.sum(F.col(f"t{g}") * x).alias(f"{n}{g}") for g in (1, 2) for x, n in ((v, "sum"), (v * v, "sumsq"))]
+    parts = counts.groupBy("gene", "part").agg(F.sum(F.col("t1") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("ties"), F.sum("t1").alias("t1"), F.sum("t2").alias("t2"), F.sum("t").alias("t"), *sums)
+    below = F.coalesce(F.sum("t").over(Window.partitionBy("gene").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # a row a range
     parts = parts.withColumn("r1", F.col("r1") + F.col("t1") * below)
-    out = parts.groupBy("gene").agg(F.sum("r1").alias("r1"), F.sum("ties").alias("ties"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    n1, n2, n = F.col("n1"), F.col("n2"), F.col("n1") + F.col("n2")
-    out = out.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("u", F.least("u1", n1 * n2 - F.col("u1")))
+    total = [F.sum(x).alias(x) for x in ("sum1", "sumsq1", "sum2", "sumsq2", "r1", "ties")]
+    got = parts.groupBy("gene").agg(F.sum("t1").alias("nnz1"), F.sum("t2").alias("nnz2"), F.sum(F.when(F.col("part") > 0, F.col("t1")).otherwise(0)).alias("above1"), F.sum(F.when(F.col("part") < 0, t).otherwise(0.0)).alias("under"), *total)
+    out = genes.select("gene").join(got, "gene", "left").na.fill(0).crossJoin(F.broadcast(group_sizes(labels)))  # one row
+    zeros1, zeros = F.col("n1") - F.col("nnz1"), (F.col("n1") + F.col("n2") - F.col("nnz1") - F.col("nnz2")).cast("double")
+    r1 = F.col("r1") + F.col("above1") * zeros + zeros1 * (F.col("under") + (zeros + 1) / 2)
+    return out.withColumns({"r1": r1, "ties": F.col("ties") + zeros * zeros * zeros - zeros}).drop("above1", "under")
+
+
+def _mann_whitney(m: DataFrame) -> DataFrame:
+    """Adds u and z from r1 and ties; z is null where nothing varies."""
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    m = m.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("u", F.least("u1", n1 * n2 - F.col("u1"))).drop("u1")
     var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     sigma = F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0)))
-    out = out.withColumn("z", F.when(sigma >= 1e-10, (F.col("u") + 0.5 - n1 * n2 / 2) / sigma))
-    return out.select("gene", "r1", "ties", "u", "z")
+    return m.withColumn("z", F.when(sigma >= 1e-10, (F.col("u") + 0.5 - n1 * n2 / 2) / sigma))
+
+
+def rank_sum(expr: DataFrame, labels: DataFrame, genes: DataFrame) -> DataFrame:
+    """gene, r1, ties (sum of t^3 - t), u, z: Mann-Whitney with average ranks."""
+    return _mann_whitney(rank_moments(expr, labels, genes)).select("gene", "r1", "ties", "u", "z")
 
 
 def bh(rows: DataFrame, p: str, out: str, group: str = "comparison_id") -> DataFrame:
@@ -110,13 +120,13 @@ def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: s
     if max_cells is not None:
         max_cells = max(1, min(max_cells, 20_000))
     labels = label_groups(cells, groupby, group1, group2, max_cells, seed)
-    m = welch(effect(moments(expr, labels, genes)))
+    ranks = "ranksum" in tests
+    m = welch(effect((rank_moments if ranks else moments)(expr, labels, genes)))
     flat = F.when((F.col("n1") < 2) | (F.col("n2") < 2) | (F.col("nnz1") + F.col("nnz2") == 0), 1.0).when(F.col("mean1") == F.col("mean2"), 1.0).otherwise(0.0)
     null = F.lit(None).cast("double")
     m = m.withColumn("p_ttest", F.when(F.col("t").isNotNull(), t_p("t", "df")).otherwise(flat) if "ttest" in tests else null)
-    if "ranksum" in tests:
-        r = rank_sum(expr, labels, m).select("gene", "z")
-        m = m.join(r, "gene").withColumn("p_ranksum", F.when(F.col("z").isNull(), 1.0).otherwise(F.least(normal_p("z"), F.lit(1.0))))
+    if ranks:
+        m = _mann_whitney(m).withColumn("p_ranksum", F.when(F.col("z").isNull(), 1.0).otherwise(F.least(normal_p("z"), F.lit(1.0))))
     else:
         m = m.withColumn("p_ranksum", null)
     m = m.withColumn("comparison_id", F.lit(comparison_id))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import colors
@@ -22,23 +22,22 @@ def gene_vector(counts: DataFrame, bin_expr: DataFrame, gene: str, zoom: int, ho
     return bins_at(counts, zoom).join(values, BIN, "left").select(*BIN, "cell_count", F.coalesce("v", F.lit(0.0)).alias("expression"))
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, percent: int = 80) -> DataFrame:
-    """keys, p: the value at rank ceil(percent * n / 100), counted in integers."""
-    k, n = F.row_number().over(Window.partitionBy(*keys).orderBy(value)), F.count("*").over(Window.partitionBy(*keys))
-    ranked = rows.select(*keys, F.col(value).alias("p"), k.alias("k"), n.alias("n"))
-    return ranked.where(F.col("k") == F.floor((F.lit(percent) * F.col("n") + 99) / 100)).select(*keys, "p")
+def at_nearest_rank(keys: list[str], value: str, keep: Column, percent: int = 80) -> Column:
+    """Whether a row is at rank ceil(percent * n / 100), counted in integers, among the n rows of its group that `keep` holds for."""
+    own = Window.partitionBy(*keys)
+    k, n = F.row_number().over(own.orderBy(keep.desc(), value)), F.sum(keep.cast("int")).over(own)
+    return keep & (k == F.floor((F.lit(percent) * n + 99) / 100))
 
 
 def gene_stats(counts: DataFrame, bin_expr: DataFrame, zoom: int, how: str = "mean") -> DataFrame:
     """For each gene: expressing_bins, total_bins, total_cells, mean over expressing bins, max, p80, range and auto_max."""
     totals = bins_at(counts, zoom).groupBy("coord_key").agg(F.count("*").alias("total_bins"), F.sum("cell_count").alias("total_cells"))
-    rows = bin_expr.where(F.col("zoom") == zoom)
-    pos = rows.where(F.col(how) > 0)
-    stats = rows.groupBy("coord_key", "gene").agg(
-        F.count_if(F.col(how) > 0).alias("expressing_bins"), F.avg(F.when(F.col(how) > 0, F.col(how))).alias("mean"), F.max(how).alias("top"), F.min(how).alias("low"), F.count("*").alias("stored")
+    keys, value = ["coord_key", "gene"], F.col(how)
+    rows = bin_expr.where(F.col("zoom") == zoom).withColumn("at_p80", at_nearest_rank(keys, how, value > 0))
+    stats = rows.groupBy(*keys).agg(
+        F.count_if(value > 0).alias("expressing_bins"), F.avg(F.when(value > 0, value)).alias("mean"), F.max(how).alias("top"), F.min(how).alias("low"), F.count("*").alias("stored"), F.max(F.when(F.col("at_p80"), value)).alias("p80")
     )
-    p = nearest_rank(pos, ["coord_key", "gene"], how).withColumnRenamed("p", "p80")
-    out = stats.join(F.broadcast(totals), "coord_key").join(p, ["coord_key", "gene"], "left")
+    out = stats.join(F.broadcast(totals), "coord_key")  # a row a coordinate system
     absent = F.col("stored") < F.col("total_bins")
     top = F.when(absent, F.greatest("top", F.lit(0.0))).otherwise(F.col("top"))
     return out.select(

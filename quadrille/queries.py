@@ -244,8 +244,8 @@ def de_welch_t_df(s, d):
 
 
 def de_ranksum_u_z(s, d):
-    a, labels, m = _de(s, d)
-    return D.rank_sum(a.expr, labels, m).select("gene", "r1", "ties", "u", F.round("z", 6).alias("z"))
+    a = Atlas(s, d)
+    return D.rank_sum(a.expr, D.label_groups(a.cells, "priority", HIGH, LOW), a.genes).select("gene", "r1", "ties", "u", F.round("z", 6).alias("z"))
 
 
 def de_one_vs_rest(s, d):

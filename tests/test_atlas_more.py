@@ -110,9 +110,11 @@ def test_rank_sum_over_ranges(spark):
     v[::5] = 0
     expr = spark.createDataFrame([(i, "x", float(y)) for i, y in enumerate(v) if y] + [(0, "one", 1e300), (1, "one", -1e300)], "cell_id long, gene string, value double")
     genes, labels = spark.createDataFrame([("x",), ("none",), ("one",)], "gene string"), D.label_groups(cells, "g", ["a"])
-    got = {r["gene"]: r for r in D.rank_sum(expr, labels, D.moments(expr, labels, genes)).collect()}
+    got = {r["gene"]: r for r in D.rank_sum(expr, labels, genes).collect()}
     rank = np.array([(v < y).sum() + ((v == y).sum() + 1) / 2 for y in v])
     assert got["x"]["r1"] == pytest.approx(rank[:70].sum()) and got["x"]["ties"] == sum(int((v == y).sum()) ** 3 - int((v == y).sum()) for y in set(v))
+    both = D.rank_moments(expr, labels, genes).orderBy("gene").select("gene", "n1", "n2", F.round("sum1", 9).alias("sum1"), F.round("sum2", 9).alias("sum2"), "nnz1", "nnz2").collect()
+    assert both == D.moments(expr, labels, genes).orderBy("gene").select("gene", "n1", "n2", F.round("sum1", 9).alias("sum1"), F.round("sum2", 9).alias("sum2"), "nnz1", "nnz2").collect()
     assert got["none"]["z"] is None and got["one"]["r1"] == pytest.approx(70 * 60.5)
 
 
