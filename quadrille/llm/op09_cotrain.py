@@ -1,11 +1,13 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata.
 
 Each view is a logistic regression. In each round a view labels the pool rows of which it is surest, and
-the other view learns from them. On held-out labelled rows each view's score is calibrated, and a small
+the other view learns from them; rows that were used leave the pool. A fifth of the labelled rows is held
+out from the choice of words and from the fit: on it each view's score is calibrated, and a small
 regression combines the calibrated views. Two targets are learnt: quality and toxicity.
 
-Training uses seeded samples of about `max_labelled` labelled and `max_pool` other rows, features
-included; every row is scored, over its whole text. If more rows have labels, they are drawn for each
+Training uses seeded samples of about `max_labelled` labelled and `max_pool` other rows, whose words are
+counted on Spark; the driver gets these rows with the chosen words only (`WORDS` a target at most), however long
+the texts are. Every row is scored, over its whole text. If more rows have labels, they are drawn for each
 target and kind, rare kinds first, and weigh as many rows as they stand for.
 
 Defined results: null or empty texts have no words; null metadata is a value of its own; rows of
@@ -33,7 +35,7 @@ ROUNDS, SURE = 3, 100
 LEAST_LABELS = 10
 META = 160
 _STATS = 8
-_FIELDS = "doc_id long, words array<bigint>, stats array<float>, meta array<int>"
+_FIELDS = "doc_id long, quality int, toxic int, stands double, words array<bigint>, stats array<float>, meta array<int>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>@{}[]\\^~_=+")] = True
 
@@ -75,7 +77,7 @@ def _collect(batches):
     for b in c.text_slices(batches):
         h, codes, off, stats, meta = _features(b)
         words = [c.as_long(np.unique(h[codes[x:y]])) for x, y in zip(off[:-1], off[1:], strict=True)]
-        yield pa.record_batch([b.column("doc_id"), pa.array(words, pa.list_(pa.int64())), pa.array(list(stats), pa.list_(pa.float32())), pa.array([list(m) for m in meta], pa.list_(pa.int32()))], names=[f.split()[0] for f in _FIELDS.split(", ")])
+        yield pa.record_batch([*(b.column(x) for x in ("doc_id", *TARGETS, "stands")), pa.array(words, pa.list_(pa.int64())), pa.array(list(stats), pa.list_(pa.float32())), pa.array([list(m) for m in meta], pa.list_(pa.int32()))], names=[f.split()[0] for f in _FIELDS.split(", ")])
 
 
 class Sparse:
@@ -122,25 +124,30 @@ def _column(*z):
     return Sparse([(np.arange(len(z)), np.array(r)) for r in zip(*z, strict=True)], len(z))
 
 
-def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, seed: int = 0, weight: np.ndarray | None = None) -> dict:
+def _folds(y: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(held, base): the places of labelled rows, a fifth of each kind held out; both sides hold both kinds."""
+    rng, held, base = np.random.default_rng(seed), [], []
+    for kind in (0, 1):
+        order = rng.permutation(np.flatnonzero(y == kind))
+        n = max(len(order) // 5, 1)
+        held.append(order[:n])
+        base.append(order[n:])
+    return np.concatenate(held), np.concatenate(base)
+
+
+def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, held: np.ndarray, base: np.ndarray, weight: np.ndarray | None = None) -> dict:
     """y: 0, 1, or -1 for rows of the pool. weight: the rows that each row stands for."""
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    weight = np.ones(len(y)) if weight is None else weight / weight[known].mean()
-    rng = np.random.default_rng(seed)
-    held, base = [], []
-    for kind in (0, 1):  # both sides hold both kinds
-        order = rng.permutation(known[y[known] == kind])
-        held.append(order[: max(len(order) // 5, 1)])
-        base.append(order[max(len(order) // 5, 1) :])
-    held, base = np.concatenate(held), np.concatenate(base)
+    pool = np.flatnonzero(y < 0)
+    weight = np.ones(len(y)) if weight is None else weight / weight[y >= 0].mean()
     learn = {v: (base, y[base].astype(float), weight[base]) for v in ("text", "meta")}
     views, weights = {"text": text, "meta": meta}, {}
-    for _ in range(ROUNDS + 1):
+    for turn in range(ROUNDS + 1):
         for v, x in views.items():
             rows, target, how = learn[v]
             weights[v] = _fit(x.take(rows), target, how)
-        if not len(pool) or _ == ROUNDS:
+        if not len(pool) or turn == ROUNDS:
             break
+        used = []
         for v, other in (("text", "meta"), ("meta", "text")):
             z = views[v].take(pool).dot(weights[v][:-1]) + weights[v][-1]
             by = np.argsort(z, kind="stable")
@@ -150,6 +157,8 @@ def cotrain(text: Sparse, meta: Sparse, y: np.ndarray, seed: int = 0, weight: np
             new = np.concatenate((np.zeros(len(low)), np.ones(len(high))))
             rows, target, how = learn[other]
             learn[other] = np.concatenate((rows, picked)), np.concatenate((target, new)), np.concatenate((how, np.full(len(picked), 0.3)))
+            used.append(picked)
+        pool = np.setdiff1d(pool, np.concatenate(used))
     z = {v: views[v].take(held).dot(weights[v][:-1]) + weights[v][-1] for v in views}
     scale = {v: _fit(_column(z[v]), y[held].astype(float), weight[held], 1e-4) for v in views}
     flat = [scale[v][0] * z[v] + scale[v][1] for v in views]
@@ -180,54 +189,40 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool
     share = _rates({(t, k): n[f"{t}{k}"] for t, k in strata}, n["rows"], max_labelled)
     # One draw a row: it is in if any of its kinds takes it, so its chance is the largest of theirs.
     chance = F.greatest(*[F.when(F.col(t) == k, limit(share[t, k])).otherwise(F.lit(0).cast("long")) for t, k in strata])
-    some = labels.withColumn("chance", chance).where(at < F.col("chance"))
+    some = labels.withColumn("chance", chance).where(at < F.col("chance")).select("doc_id", *TARGETS, ((1 << 40) / F.col("chance")).alias("stands"))
     known = docs.join(F.broadcast(some), "doc_id")  # about max_labelled rows
     pool = docs.where(at < limit(min(1.0, max_pool / max(docs.count(), 1)))).join(labels, "doc_id", "left_anti")
-    tables = [known.select(*docs.columns).mapInArrow(_collect, _FIELDS).toArrow(), pool.mapInArrow(_collect, _FIELDS).toArrow()]
-    drawn = some.collect()
-    truth = {r["doc_id"]: [r[t] for t in TARGETS] for r in drawn}
-    stands = {r["doc_id"]: (1 << 40) / r["chance"] for r in drawn}
-    ids, words, stats, meta = [], [], [], []
-    for t in tables:
-        order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        ids += t.column("doc_id").to_pylist()
-        words += [np.asarray(x.values) for x in t.column("words")]
-        stats += t.column("stats").to_pylist()
-        meta += t.column("meta").to_pylist()
-    y = {t: np.array([v if (v := truth.get(d, [None] * 2)[k]) is not None else -1 for d in ids]) for k, t in enumerate(TARGETS)}
-    weight = np.array([stands.get(d, 1.0) for d in ids])
-    vocab, chosen, model = np.unique(np.concatenate(words)) if words else np.zeros(0, np.int64), [], {}
-    rows = [np.searchsorted(vocab, w) for w in words]
-    for t in TARGETS:
-        # Shares of the rows that the drawn ones stand for, and the number of equal rows that would be as exact.
-        docs_of, part, like = np.zeros(len(vocab)), [], []
-        for kind in (0, 1):
-            own = np.flatnonzero(y[t] == kind)
-            w, total = weight[own], max(weight[own].sum(), 1e-9)
-            shares = np.zeros(len(vocab))
-            for i in own:  # the words of a row are distinct
-                shares[rows[i]] += weight[i]
-                docs_of[rows[i]] += 1
-            part.append(shares / total)
-            like.append(max(total**2 / max((w**2).sum(), 1e-9), 1))
-        p = (part[0] * like[0] + part[1] * like[1]) / (like[0] + like[1])
-        z = np.abs(part[1] - part[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * (1 / like[0] + 1 / like[1]))
-        z[docs_of < LEAST_DOCS] = 0
-        best = np.argsort(-z, kind="stable")[:WORDS]
-        chosen.append(best[z[best] >= LEAST_Z])
-    keep = np.unique(np.concatenate(chosen)) if len(vocab) else np.zeros(0, np.int64)
-    kept = vocab[keep]
-    text_rows = []
-    for w, s in zip(words, stats, strict=True):
-        at = np.searchsorted(kept, w)
-        at = at[(at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == w)] if len(kept) else np.zeros(0, np.int64)
-        text_rows.append((np.concatenate((at, len(kept) + np.arange(_STATS))), np.concatenate((np.ones(len(at)), s))))
-    text, page = Sparse(text_rows, len(kept) + _STATS), Sparse([(np.array(m), np.ones(3)) for m in meta], META)
-    for k, t in enumerate(TARGETS):
-        fixed = _constant(t, n[f"{t}0"], n[f"{t}1"])
-        model[t] = cotrain(text, page, y[t], seed + k, weight) if fixed is None else fixed
-    return {"words": kept, "targets": model}
+    pool = pool.select("*", *[F.lit(None).cast("int").alias(t) for t in TARGETS], F.lit(1.0).alias("stands"))
+    sample = c.cut(known.union(pool.select(*known.columns)).mapInArrow(c.tidy(_collect), _FIELDS).withColumn("row", F.monotonically_increasing_id()), "cotrain_sample")
+    light = sample.select("row", "doc_id", *TARGETS, "stands").toPandas().sort_values(["doc_id", "row"], kind="stable")  # numbers only, a row a drawn one
+    y = {t: light[t].fillna(-1).to_numpy().astype(int) for t in TARGETS}
+    weight, place = light["stands"].to_numpy(), {r: i for i, r in enumerate(light["row"].tolist())}
+    fixed = {t: _constant(t, n[f"{t}0"], n[f"{t}1"]) for t in TARGETS}
+    fixed |= {t: n[f"{t}1"] / max(n[f"{t}0"] + n[f"{t}1"], 1) for t in TARGETS if fixed[t] is None and min((y[t] == k).sum() for k in (0, 1)) < 2}
+    folds = {t: _folds(y[t], seed + k) for k, t in enumerate(TARGETS) if fixed[t] is None}
+    kept = np.unique(np.array([w for t, (_, base) in folds.items() for w in _choose(sample, light["row"].to_numpy()[base], y[t][base], weight[base])], np.int64))
+    text_rows, meta_rows = [None] * len(place), [None] * len(place)
+    mine = F.array_intersect("words", F.split(F.lit(",".join(map(str, kept.tolist()))), ",").cast("array<bigint>")) if len(kept) else F.array().cast("array<bigint>")
+    for r in sample.select("row", mine.alias("words"), "stats", "meta").toLocalIterator():
+        at = np.searchsorted(kept, np.sort(np.array(r["words"], np.int64)))
+        text_rows[place[r["row"]]] = np.concatenate((at, len(kept) + np.arange(_STATS))), np.concatenate((np.ones(len(at)), r["stats"]))
+        meta_rows[place[r["row"]]] = np.array(r["meta"]), np.ones(3)
+    text, page = Sparse(text_rows, len(kept) + _STATS), Sparse(meta_rows, META)
+    return {"words": kept, "targets": {t: cotrain(text, page, y[t], *folds[t], weight) if t in folds else fixed[t] for t in TARGETS}}
+
+
+def _choose(sample: DataFrame, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[int]:
+    """The words whose share differs most between the two kinds, over the rows that the given ones stand for."""
+    marks = sample.sparkSession.createDataFrame(list(zip(rows.tolist(), y.tolist(), weight.tolist(), strict=True)), "row long, y int, w double")
+    total = [max(weight[y == k].sum(), 1e-9) for k in (0, 1)]
+    like = [max(t**2 / max((weight[y == k] ** 2).sum(), 1e-9), 1) for k, t in enumerate(total)]  # equal rows that would be as exact
+    words = sample.select("row", "words").join(F.broadcast(marks), "row").select("y", "w", F.explode("words").alias("word"))
+    part = [F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0.0)) / total[k] for k in (0, 1)]
+    words = words.groupBy("word").agg(F.count("*").alias("docs"), part[0].alias("p0"), part[1].alias("p1")).where(F.col("docs") >= LEAST_DOCS)
+    p = (F.col("p0") * like[0] + F.col("p1") * like[1]) / (like[0] + like[1])
+    z = F.abs(F.col("p1") - F.col("p0")) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-6)) * (1 / like[0] + 1 / like[1]))
+    best = words.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS)
+    return [r["word"] for r in best.collect()]
 
 
 def _scores(shared):
@@ -262,5 +257,5 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, for each target its score and both calibrated views, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(x).cast("string").alias(x) for x in ("text", "source", "lang")], F.col("n_chars").cast("long").alias("n_chars"))
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **how))
-    scored = docs.mapInArrow(_scores(shared), "doc_id long, " + ", ".join(f"{t}{v} double" for t in TARGETS for v in ("", "_text", "_meta")))
+    scored = docs.mapInArrow(c.tidy(_scores(shared)), "doc_id long, " + ", ".join(f"{t}{v} double" for t in TARGETS for v in ("", "_text", "_meta")))
     return scored.withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
