@@ -7,7 +7,11 @@ domain, host, by grouped sums of the texts' posteriors; a row's own text is left
 prior. One more class, `und`, has a uniform text model and stands for none of the languages.
 
 The trigram counts come from a seeded sample of labelled rows, about `max_rows` a language
-at most; there are at most `max_languages` (the most frequent). All rows are scored whole.
+at most. Every labelled language is a class; the model takes 256 KB a language in the driver and in a
+task, and no plan grows with their number. All rows are scored whole.
+
+Where a row's label is what the model learns from, as with documents, it is not also read as a
+declaration: `from_documents` leaves it out unless asked.
 
 Defined results: null or empty texts have no text evidence; null declarations, suffixes and hosts
 say nothing (their rows share one host); repeated rows each count; a null doc_id is a row like any
@@ -28,14 +32,16 @@ from pyspark.sql import functions as F
 from quadrille.llm import common as c
 
 BITS = 16
+#: Languages that a task holds counts of at one time.
+HELD = 64
 #: Trigrams that a text counts for at most.
 TEXT_WEIGHT = 40.0
 #: Share of trigrams that no language explains: numbers, keys, names.
 ODD = 0.3
 #: Chance that a declaration, or a country suffix, is wrong; rows that a parent's prior counts for.
 DECLARED_WRONG, SUFFIX_WRONG, PRIOR_ROWS = 0.1, 0.3, 20.0
-#: Least posterior of a row that is kept.
-LEAST = 0.5
+#: Least posterior of a row that is kept; share of a row below which it adds nothing to its host's prior.
+LEAST, LEAST_MASS = 0.5, 1e-6
 #: Country suffixes and the main language there. Fixed values.
 SUFFIX_LANGUAGE = {"at": "de", "ar": "es", "au": "en", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "de": "de", "es": "es", "fr": "fr", "gb": "en", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "mx": "es", "nl": "nl", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
@@ -59,16 +65,22 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(place: dict):
+    def rows(total: dict):
+        for k, n in total.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["k", "counts"])
+
     def run(batches):
-        total = np.zeros((len(place), 1 << BITS), np.int64)
+        total = {}
         for b in c.text_slices(batches, limit=4 << 20):
             code, off = _trigrams(b.column("text"))
             for lang, x, y in zip(b.column("lang").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                if lang in place and y - x > 2:
-                    total[place[lang]] += np.bincount(code[x : y - 2], minlength=1 << BITS)
-        for k in range(len(place)):
-            if total[k].any():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([total[k].astype("<i8").tobytes()], pa.binary())], names=["k", "counts"])
+                if y - x > 2:
+                    if place[lang] not in total and len(total) == HELD:
+                        yield from rows(total)
+                        total = {}
+                    n = total.setdefault(place[lang], np.zeros(1 << BITS, np.int64))
+                    n += np.bincount(code[x : y - 2], minlength=1 << BITS)
+        yield from rows(total)
 
     return run
 
@@ -82,29 +94,28 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([k, pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["k", "counts"])
 
 
-def train(labelled: DataFrame, max_rows: int = 5000, max_languages: int = 200, seed: int = 0) -> tuple[list[str], np.ndarray]:
-    """labelled: doc_id, text, lang. Returns the languages and log probabilities (bucket, language)."""
+def train(labelled: DataFrame, max_rows: int = 5000, seed: int = 0) -> tuple[list[str], np.ndarray]:
+    """labelled: doc_id, text, lang. Returns the languages and log probabilities (language, bucket), the last for `und`."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", _tag("lang").alias("lang")).where("lang <> ''")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    out = np.full((1 << BITS, len(langs) + 1), -BITS * math.log(2), np.float32)
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    langs = sorted(sizes)
+    out = np.full((len(langs) + 1, 1 << BITS), -BITS * math.log(2), np.float32)
     if not langs:
         return langs, out
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, max_rows / r["count"]) * (1 << 20))))])
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("lang")), F.lit(1 << 20)) < F.try_element_at(share, "lang")
+    share = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(int(min(1.0, max_rows / n) * (1 << 20))))])
+    pick = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed), F.lit("lang")), F.lit(1 << 20)) < F.try_element_at(share, "lang")
     place = {x: i for i, x in enumerate(langs)}
-    counts = np.zeros((len(langs), 1 << BITS))
-    for r in labelled.where(pick).select("text", "lang").mapInArrow(_count(place), "k int, counts binary").groupBy("k").applyInArrow(_add_counts, "k int, counts binary").toLocalIterator():  # a row a language
-        counts[r["k"]] = np.frombuffer(r["counts"], "<i8")
-    counts += 0.1
-    known = counts / counts.sum(axis=1, keepdims=True)
-    out[:, :-1] = np.log((1 - ODD) * known + ODD / (1 << BITS)).T
+    counted = labelled.where(pick).select("text", "lang").mapInArrow(c.tidy(_count(place)), "k int, counts binary").groupBy("k").applyInArrow(_add_counts, "k int, counts binary")
+    out[:-1] = math.log((1 - ODD) / (1 << BITS) + ODD / (1 << BITS))  # a language whose texts have no trigrams
+    for r in counted.toLocalIterator():  # a row a language
+        n = np.frombuffer(r["counts"], "<i8") + 0.1
+        out[r["k"]] = np.log((1 - ODD) * n / n.sum() + ODD / (1 << BITS))
     return langs, out
 
 
 def _score(model, n_classes: int, extra: list[str]):
     def run(batches):
-        logp = np.ascontiguousarray(model.value.T)
+        logp = model.value
         for b in c.text_slices(batches, limit=4 << 20):
             code, off = _trigrams(b.column("text"))
             n = np.maximum(np.diff(off) - 2, 0)
@@ -138,49 +149,53 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, keys: str = "d
     rows = rows.select(*names, F.col("text").cast("string").alias("text"), _tag("declared").alias("declared"), *[blank(x).alias(x) for x in extra[-3:]])
     kinds = f"{keys}, declared string, suffix string, domain string, host string, n_trigrams long, text_log array<double>, text_post array<double>"
     model = spark.sparkContext.broadcast(logp)
-    scored = c.cut(rows.mapInArrow(_score(model, len(classes), extra), kinds), "language_text")
-
-    # Sums of posteriors at each level, from the level below; empty texts know nothing.
-    site = ["suffix", "domain", "host"]
-    sums = [F.sum(F.when(F.col("n_trigrams") > 0, F.get("text_post", F.lit(k))).otherwise(0.0)).alias(f"s{k}") for k in range(len(classes))]
-    hosts = c.cut(scored.groupBy(*site).agg(*sums), "language_hosts")
-    up = [F.sum(f"s{k}").alias(f"s{k}") for k in range(len(classes))]
-    domains, suffixes, every = hosts.groupBy("suffix", "domain").agg(*up), hosts.groupBy("suffix").agg(*up), hosts.agg(*up)
-    priors = F.array(*[(F.coalesce(f"s{k}", F.lit(0.0)) + 1) for k in range(len(classes))])
+    scored = c.cut(rows.mapInArrow(c.tidy(_score(model, len(classes), extra)), kinds), "language_text")
+
+    # Sums of posteriors at each level, from the level below, a row a class; empty texts know nothing.
+    n_classes, site = len(classes), ["suffix", "domain", "host"]
+    mass = scored.where("n_trigrams > 0").select(*site, F.posexplode("text_post").alias("k", "p")).where(F.col("p") > LEAST_MASS)
+    hosts = c.cut(mass.groupBy(*site, "k").agg(F.sum("p").alias("s")), "language_hosts")
+    vector = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
+
+    def sums(*keys: str) -> DataFrame:
+        """A vector of sums for each key: an entry a class."""
+        return hosts.groupBy(*keys, "k").agg(F.sum("s").alias("s")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("m")).select(*keys, vector("m").alias("sums"))
+
     norm = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda s, y: s + y))
-    counts = F.array(*[F.col(f"s{k}") for k in range(len(classes))])
     smooth = lambda s, p: norm(F.zip_with(s, p, lambda x, y: F.greatest(x, F.lit(0.0)) + PRIOR_ROWS * y))
-    top = every.select(norm(priors).alias("p")).first()
-    level = F.array(*[F.lit(x) for x in (top["p"] if top else [1.0])])
-    suffixes = suffixes.select("suffix", smooth(counts, level).alias("p"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", smooth(counts, F.col("p")).alias("p"))
-    hosts = hosts.join(domains, ["suffix", "domain"]).select(*site, counts.alias("host_sum"), F.col("p").alias("domain_prior"))
-    j = scored.join(hosts, site)
-    own = F.when(F.col("n_trigrams") > 0, F.col("text_post")).otherwise(F.transform("text_post", lambda x: F.lit(0.0)))
-    j = j.withColumn("prior", smooth(F.zip_with("host_sum", own, lambda a, b: a - b), F.col("domain_prior")))
-
-    def says(column: Column, wrong: float, name: str) -> Column:
-        """Log likelihood of a statement about the language; one that names no known class says nothing."""
-        if name == "und":
-            return F.when(column.isin(*langs), math.log(wrong / max(len(langs), 1))).otherwise(0.0) if langs else F.lit(0.0)
-        hit = F.when(column == name, math.log(1 - wrong)).when(column.isin(*langs), math.log(wrong / max(len(langs), 1)))
-        return hit.otherwise(0.0)
-
-    country = F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("suffix"))
-    country = F.coalesce(country, F.lit(""))
-    total = [F.get("text_log", F.lit(k)) + F.log(F.get("prior", F.lit(k))) + says(F.col("declared"), DECLARED_WRONG, n) + says(country, SUFFIX_WRONG, n) for k, n in enumerate(classes)]
-    j = j.withColumn("total", F.array(*total))
+    words = lambda names: F.split(F.lit("\n".join(names)), "\n")
+    every = np.ones(n_classes)
+    for r in hosts.groupBy("k").agg(F.sum("s").alias("s")).collect():  # a row a class
+        every[r["k"]] += r["s"]
+    level = words([repr(float(x)) for x in every / every.sum()]).cast("array<double>")
+    suffixes = sums("suffix").select("suffix", smooth(F.col("sums"), level).alias("p"))
+    domains = sums("suffix", "domain").join(suffixes, "suffix").select("suffix", "domain", smooth(F.col("sums"), F.col("p")).alias("p"))
+    known = sums(*site).join(domains, ["suffix", "domain"]).select(*site, F.col("sums").alias("host_sum"), F.col("p").alias("domain_prior"))
+    j = scored.join(known, site, "left")  # a host of empty texts only has the prior of all
+    none = F.array_repeat(F.lit(0.0), n_classes)
+    own = F.when(F.col("n_trigrams") > 0, F.col("text_post")).otherwise(none)
+    j = j.withColumn("prior", smooth(F.zip_with(F.coalesce("host_sum", none), own, lambda a, b: a - b), F.coalesce("domain_prior", level)))
+
+    def says(place: Column, wrong: float, k: Column) -> Column:
+        """Log likelihood of a statement about the language, for class k; one that names no known class says nothing."""
+        return F.when(place == 0, 0.0).when(place == k + 1, math.log(1 - wrong)).otherwise(math.log(wrong / max(len(langs), 1)))
+
+    country = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv]), F.col("suffix")), F.lit(""))
+    place = lambda x: F.array_position(words(langs), x).cast("int") if langs else F.lit(0)
+    j = j.withColumn("says", F.struct(place(F.col("declared")).alias("declared"), place(country).alias("country")))
+    total = F.transform(F.arrays_zip("text_log", "prior"), lambda x, k: x["text_log"] + F.log(x["prior"]) + says(F.col("says.declared"), DECLARED_WRONG, k) + says(F.col("says.country"), SUFFIX_WRONG, k))
+    j = j.withColumn("total", total)
     best = F.array_position("total", F.array_max("total")).cast("int")
     weight = F.aggregate(F.transform("total", lambda x: F.exp(x - F.array_max("total"))), F.lit(0.0), lambda s, x: s + x)
-    labels = F.array(*[F.lit(x) for x in classes])
-    out = j.select(*names, F.element_at(labels, best).alias("language"), (1 / weight).alias("confidence"), F.element_at(labels, F.array_position("text_post", F.array_max("text_post")).cast("int")).alias("text_language"), "n_trigrams")
+    named = lambda at: F.element_at(words(classes), at)
+    out = j.select(*names, named(best).alias("language"), (1 / weight).alias("confidence"), named(F.array_position("text_post", F.array_max("text_post")).cast("int")).alias("text_language"), "n_trigrams")
     return out.withColumn("kept", (F.col("language") != "und") & (F.col("confidence") >= LEAST))
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Documents as rows: their language column is the declaration, their source the host."""
+def from_documents(docs: DataFrame, declared: bool = False) -> DataFrame:
+    """Documents as rows: their source is the host; their language column is a declaration only if asked, as it is also the label."""
     null = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("declared"), null.alias("suffix"), F.lit("documents").alias("domain"), F.col("source").alias("host"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("lang") if declared else null).alias("declared"), null.alias("suffix"), F.lit("documents").alias("domain"), F.col("source").alias("host"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
