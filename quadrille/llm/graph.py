@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links are contracted in their tasks, then star by star until a turn changes nothing, which takes about as
     many turns as the logarithm of the longest road. A turn counts its edges as it writes them."""
-    edges, last = links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long"), None
+    edges, last = links.where("a <> b").select("a", "b").mapInArrow(c.tidy(_contract), "a long, b long"), None
     table = None
     while True:
         seen = Observation()

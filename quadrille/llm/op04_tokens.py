@@ -34,7 +34,10 @@ BLOCK_IDS = 1 << 19
 #: way, as normal form C and lower case are settled for them one by one. All others go to the library whole.
 _SPACE = "\t-\r \x85\xa0"
 _PIECES = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Pieces whose ids a worker keeps, about 100 bytes each.
+KEPT = 300_000
 _loaded: dict = {}
+_known: dict = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,13 +66,26 @@ def _simple(words: pa.Array) -> np.ndarray:
     return np.asarray(pc.and_not(pc.match_substring_regex(words, r"^[\x{0}-\x{12F}]*$"), pc.match_substring(words, "<|")))
 
 
+def _piece_ids(pieces: list[str], file: str) -> list:
+    """The ids of pieces; a worker keeps those that it has seen, up to KEPT."""
+    model, known = tokenizer(file).model, _known.setdefault(file, {})
+    if len(known) > KEPT:
+        known.clear()
+    out = []
+    for p in pieces:
+        ids = known.get(p)
+        if ids is None:
+            ids = known[p] = np.array([t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS))], np.uint32).tobytes() if p != "\n" else b""
+        out.append(ids)
+    return out
+
+
 def _cut(words: list[str], file: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of words of simple characters, lower-cased already."""
-    model = tokenizer(file).model
     pieces = pa.array(_PIECES.findall("\n".join(words)), pa.string()).dictionary_encode()
     seen = pieces.dictionary.to_pylist()
-    ids = [[] if p == "\n" else [t.id for t in model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS))] for p in seen]
-    flat, off = c.ragged(ids)
+    ids = _piece_ids(seen, file)
+    flat, off = np.frombuffer(b"".join(ids), np.uint32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
     codes = np.asarray(pieces.indices, np.int64)
     got, ends = c.gather(flat, off, codes)
     breaks = ends[codes == seen.index("\n")] if len(words) > 1 else ends[:0]
@@ -104,7 +120,7 @@ def _encode(file: str, end_id: int):
     def run(batches):
         size = max(tokenizer(file).get_vocab_size(), end_id + 1)
         kind, total = ("<u2", 2) if size <= 1 << 16 else ("<u4", 4), np.zeros(size, np.int64)
-        for b in c.text_slices(batches, limit=3 * c.SLICE_BYTES):
+        for b in c.text_slices(batches):
             off, words = c.split_words(b.column("text"))
             codes, distinct = c.word_codes(words)
             flat, woff = encode_words(distinct, file)
@@ -204,15 +220,15 @@ def write_tokens(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", en
     """Encode the texts of docs (doc_id, text) and write the ids to the folder `path`."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = c.cut(docs.mapInArrow(_encode(file, end_id), _ENCODED), "token_ids")
-    ranked = encoded.where("counts is not null").select("counts").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = c.cut(docs.mapInArrow(c.tidy(_encode(file, end_id)), _ENCODED), "token_ids")
+    ranked = encoded.where("counts is not null").select("counts").mapInArrow(c.tidy(_count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     encoded_rows = encoded.where("counts is null").select("doc_id", "ids", "width")
     order = [r["id"] for r in ranked.orderBy(F.desc("n"), "id").collect()]  # at most the vocabulary
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame(list(enumerate(order)), "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     ordered = encoded_rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
-    c.write(ordered.mapInArrow(_write(spark.sparkContext.broadcast(rank)), _BLOCKS), f"{path}/blocks")
+    c.write(ordered.mapInArrow(c.tidy(_write(spark.sparkContext.broadcast(rank))), _BLOCKS), f"{path}/blocks")
     c.drop_table(encoded)
 
 
@@ -245,7 +261,7 @@ def read_tokens(spark: SparkSession, path: str, each: Callable[[np.ndarray], obj
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = blocks.select("part", "block", "n_ids").withColumn("in_file", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(files, "part")
     at = at.select("part", "block", (F.col("file_base") + F.col("in_file")).alias("base"))
-    return blocks.join(at, ["part", "block"]).select("base", "doc_ids", "lens", "control", "data").mapInArrow(run, f"doc_id long, start long, n_tokens long, {sql}")
+    return blocks.join(at, ["part", "block"]).select("base", "doc_ids", "lens", "control", "data").mapInArrow(c.tidy(run), f"doc_id long, start long, n_tokens long, {sql}")
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -242,7 +242,7 @@ def _rows(docs: DataFrame, first: DataFrame, k: int, percent: int) -> tuple[Data
     several = classes.groupBy("class_id").agg(F.count("*").alias("sets")).where("sets > 1")
     row_id = F.when(F.col("sets").isNull(), F.col("class_id")).otherwise(F.xxhash64("d1", "d2", "class_id"))
     classes = c.cut(classes.join(several, "class_id", "left").select("d1", "d2", "n", row_id.alias("row_id"), "class_id"), "jaccard_classes")
-    rare = c.cut(_texts(docs, classes).mapInArrow(_rare(k, percent, shared), _RARE), "jaccard_rare")
+    rare = c.cut(_texts(docs, classes).mapInArrow(c.tidy(_rare(k, percent, shared)), _RARE), "jaccard_rare")
     shared.unpersist()
     return rare, classes
 
@@ -260,7 +260,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     them to connect every component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = c.cut(docs.mapInArrow(_digests(k), _FIRST), "jaccard_digests")
+    first = c.cut(docs.mapInArrow(c.tidy(_digests(k)), _FIRST), "jaccard_digests")
     rare, classes = _rows(docs, first, k, percent)
     labels, links = _linked(docs, classes, rare, k, percent)
 
@@ -295,18 +295,19 @@ def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, classes: DataFrame, rare: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(row_id, label; a, b): the component of each row that has a link, and links that join them."""
     cells = rare.select("row_id", "n", F.posexplode("prefix").alias("pos", "h")).select("row_id", "n", "h", (F.col("n") - F.col("pos")).alias("left"))
-    columns = cells.groupBy("h").agg(F.count("*").alias("len")).where("len > 1")  # columns with a single row make no pair
+    columns = c.cut(cells.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "jaccard_columns")  # columns with a single row make no pair
+    cells = c.join_counted(cells.withColumnRenamed("n", "size"), columns, ["h"], ["row_id"]).select("row_id", F.col("size").alias("n"), "h", "left", F.col("n").alias("len"))
     seen = Observation()
-    cells = c.cut(cells.join(columns, "h").observe(seen, F.count("*").alias("n")), "jaccard_cells")
+    cells = c.cut(cells.observe(seen, F.count("*").alias("n")), "jaccard_cells")
     live = c.cut(cells.select("row_id").distinct(), "jaccard_live")
     bins = c.cut(rare.join(live, "row_id", "left_semi").select("row_id", "n", "bins"), "jaccard_bins")
     c.drop_table(rare)
-    matrix = c.cut(_texts(docs, classes.join(live, "row_id", "left_semi")).mapInArrow(_blocks(k), _ROWS), "jaccard_matrix")
+    matrix = c.cut(_texts(docs, classes.join(live, "row_id", "left_semi")).mapInArrow(c.tidy(_blocks(k)), _ROWS), "jaccard_matrix")
     long = cells.where(F.col("len") > SHORT)
     lead = long.groupBy("row_id").agg(F.max(F.col("left") / F.col("n")).alias("lead"), F.count("*").alias("long"))
     short = cells.where(F.col("len") <= SHORT).join(lead, "row_id", "left").withColumn("long", F.coalesce("long", F.lit(0))).withColumn("label", F.col("row_id"))
     rest = long.join(lead, "row_id").withColumn("label", F.col("row_id"))
-    pairs, labels, links, tables = _multiply(short, percent), None, [], [cells, live, bins]
+    pairs, labels, links, tables = _multiply(short, percent), None, [], [columns, cells, live, bins]
     crossing, falling, total = float("inf"), True, seen.get.get("n", 0)
     for turn in range(PIVOT_PASSES + 1):
         last = turn and (turn == PIVOT_PASSES or not falling or crossing <= total // 8 + 20_000)

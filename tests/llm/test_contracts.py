@@ -161,7 +161,7 @@ def test_language_labels_are_tags(spark):
     df = spark.createDataFrame([*rows, (900, "", "pt_BR"), (901, "that was his", "")], "doc_id long, text string, lang string").selectExpr("*", "'h' as source")
     langs, logp = op05_language.train(df)
     assert langs == ["en", "pt"]
-    got = rows_of(op05_language.identify(op05_language.from_documents(df), langs, logp))
+    got = rows_of(op05_language.identify(op05_language.from_documents(df, declared=True), langs, logp))
     assert all(got[i]["language"] == tag[:2].lower() for i, _, tag in rows) and got[900]["language"] == "pt"
 
 
@@ -243,9 +243,9 @@ def test_cotraining_draws_rare_kinds(spark):
 
 
 def test_mixing(table, docs, empty):
-    sizes, w = [100, 10, 50, 0], [1, 2, 3, 1]
-    t = op10_mixing.targets_for(sizes, w)
-    assert sum(t) == pytest.approx(160) and t[1] == 30 and t[3] == 0
+    sums = table.sparkSession.createDataFrame([(100, 1), (10, 2), (50, 3), (0, 1)], "size long, weight long")
+    t = [r["target"] for r in op10_mixing.targets(sums).orderBy("size", ascending=False).collect()]
+    assert sum(t) == pytest.approx(160) and t[2] == 30 and t[3] == 0
     # Two sources share a pattern; the cheapest flow uses every word once before any twice.
     flow = op10_mixing.route([((0,), 100), ((0, 1), 100), ((1,), 20)], [150, 60])
     assert sum(f.get(0, 0) for f in flow) == 150 and sum(f.get(1, 0) for f in flow) == 60 and all(sum(f.values()) <= n for f, (_, n) in zip(flow, [((0,), 100), ((0, 1), 100), ((1,), 20)], strict=True))
