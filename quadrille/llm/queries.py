@@ -104,4 +104,50 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id"""
 
 
-ORACLE_SQL = {"op6_chat": _chat_sql()}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+_LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
+d AS (SELECT doc_id, i FROM u WHERE unit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, true AS gone FROM d UNION SELECT doc_id, i + 1, true FROM d),
+k AS (SELECT doc_id, count(*) AS n_lines, count(gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept_sha256 FROM documents LEFT JOIN k USING (doc_id)"""
+
+#: Items of 13 words and more have four words in a row right in each window that agrees; shorter ones are met by single words.
+_OVERLAP_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT row_number() OVER (ORDER BY item_id, text) AS item, item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+i AS (SELECT item, item_id, ws, len(ws) AS n, least(13, len(ws)) AS width, CASE WHEN len(ws) >= 13 THEN 4 ELSE 1 END AS run FROM iw WHERE len(ws) > 0),
+ig AS (SELECT item, p, array_to_string(ws[p:p + run - 1], ' ') AS g, run FROM (SELECT *, unnest(range(1, n - run + 2)) AS p FROM i)),
+dg AS (SELECT doc_id, p, run, array_to_string(ws[p:p + run - 1], ' ') AS g FROM (SELECT doc_id, ws, run, unnest(range(1, len(ws) - run + 2)) AS p FROM dw, (SELECT DISTINCT run FROM i))),
+c AS (SELECT DISTINCT doc_id, item, dg.p - ig.p AS shift FROM dg JOIN ig USING (g, run)),
+o AS (SELECT c.*, dw.ws AS a, i.ws AS b, n, width, item_id, greatest(shift, 0) + 1 AS lo, least(len(dw.ws), shift + n) AS hi FROM c JOIN dw USING (doc_id) JOIN i USING (item)),
+m AS (SELECT doc_id, item, item_id, shift, width, q FROM (SELECT *, unnest(range(lo, hi + 1)) AS q FROM o WHERE hi - lo + 1 >= width) WHERE a[q] = b[q - shift]),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS near, count(*) OVER (PARTITION BY doc_id, item, shift) AS n_matched FROM m),
+f AS (SELECT DISTINCT doc_id, item_id, n_matched FROM k WHERE near * 100 >= width * 80),
+r AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max({'n': n_matched, 'i': item_id}) AS best FROM f GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, best.i AS item_id, best.n AS n_matched FROM documents LEFT JOIN r USING (doc_id)"""
+
+_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS class_id FROM n),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
+t AS (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, coalesce(component_id, d.doc_id) AS component_id FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_REPEATS_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+u AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+d AS (SELECT doc_id, i FROM u QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+x AS (SELECT DISTINCT doc_id, i + j AS i, true AS gone FROM d, range(20) t(j)),
+o AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept FROM o LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+ORACLE_SQL = {"op2_line_dedup": _LINES_SQL, "op3_decontaminate": _OVERLAP_SQL, "op6_chat": _chat_sql(), "op7_jaccard_join": _JACCARD_SQL, "op8_substring_dedup": _REPEATS_SQL}
