@@ -113,11 +113,21 @@ def tidy(run):
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice has at most `limit` bytes of text, or one row."""
+    """Join and cut batches so that a slice has about `limit` bytes of text, or one row."""
+    held, size = [], 0
     for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield from _cut_rows(held, column, limit)
+            held, size = [], 0
+    yield from _cut_rows(held, column, limit)
+
+
+def _cut_rows(held: list[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    held = [b for b in held if b.num_rows]
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held:
         n = batch.num_rows
-        if not n:
-            continue
         size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64).cumsum()
         start = 0
         while start < n:

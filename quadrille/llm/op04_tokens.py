@@ -120,7 +120,7 @@ def _encode(file: str, end_id: int):
     def run(batches):
         size = max(tokenizer(file).get_vocab_size(), end_id + 1)
         kind, total = ("<u2", 2) if size <= 1 << 16 else ("<u4", 4), np.zeros(size, np.int64)
-        for b in c.text_slices(batches):
+        for b in c.text_slices(batches, limit=4 * c.SLICE_BYTES):
             off, words = c.split_words(b.column("text"))
             codes, distinct = c.word_codes(words)
             flat, woff = encode_words(distinct, file)
