@@ -52,13 +52,13 @@ def seed_masks(lengths: list[int], window: int, percent: int) -> list[tuple[int,
     return out
 
 
-def _seeds(words: str, n: Column, masks: list[tuple[int, list[int]]]) -> Column:
-    """The hashes of all masks at all places, mask by mask inside a place; null where a mask does not fit."""
+def _seeds(hashes: str, n: Column, masks: list[tuple[int, list[int]]]) -> Column:
+    """From the words' hashes, those of all masks at all places, mask by mask inside a place; null where a mask does not fit."""
 
     def at(i: Column) -> Column:
-        return F.array(*[F.when(i + places[-1] < n, F.xxhash64(F.lit(k), *[F.get(words, i + o) for o in places])) for k, (_, places) in enumerate(masks)])
+        return F.array(*[F.when(i + places[-1] < n, F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in places])) for k, (_, places) in enumerate(masks)])
 
-    return F.flatten(F.transform(words, lambda w, i: at(i)))
+    return F.flatten(F.transform(hashes, lambda w, i: at(i)))
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = PERCENT, max_broadcast: int = 2_000_000) -> DataFrame:
@@ -67,17 +67,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, perce
     items = items.select("item_id", F.xxhash64("item_id", "text", F.col("item_id").isNull()).alias("item"), words_of("text").alias("item_words")).withColumn("item_n", F.size("item_words")).where("item_n > 0")
     # At most `window` rows: lengths from there on are one.
     lengths = [r[0] for r in items.select(F.least("item_n", F.lit(window))).distinct().collect()]
-    docs = docs.select("doc_id", F.xxhash64("text").alias("ver"), words_of("text").alias("words")).where("words is not null").withColumn("n", F.size("words"))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    docs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("ver"), words_of("text").alias("words")).withColumn("n", F.size("words"))
     masks = seed_masks(lengths, window, percent) or [(1, [0])]
     per = F.lit(len(masks))
-    seeds = items.select("item", "item_n", F.posexplode(_seeds("item_words", F.col("item_n"), masks)).alias("i", "h")).withColumn("item_at", F.floor(F.col("i") / per).cast("int")).where("h is not null")
+    seeds = items.withColumn("hashes", hashed("item_words")).select("item", "item_n", F.posexplode(_seeds("hashes", F.col("item_n"), masks)).alias("i", "h")).withColumn("item_at", F.floor(F.col("i") / per).cast("int")).where("h is not null")
     mine = F.get(F.array(*[F.lit(n) for n, _ in masks]), F.pmod("i", per))
     seeds = seeds.where(F.when(F.col("item_n") < window, (mine == F.col("item_n")) & (F.col("item_at") == 0)).otherwise(mine == window)).select("h", "item", "item_n", "item_at").distinct()
     if seeds.count() <= max_broadcast:
         seeds = F.broadcast(seeds)
     # A column of its own, so that the explode is compiled and carries no copy of the hashes to each row; the outer
     # form, and no filter on n, as Spark would push a filter below these steps and run them all twice.
-    places = docs.withColumn("all_seeds", _seeds("words", F.col("n"), masks)).select("doc_id", "ver", "words", "n", F.posexplode_outer("all_seeds").alias("i", "h"))
+    places = docs.withColumn("hashes", hashed("words")).withColumn("all_seeds", _seeds("hashes", F.col("n"), masks)).select("doc_id", "ver", "words", "n", F.posexplode_outer("all_seeds").alias("i", "h"))
     hits = places.join(seeds, "h").withColumn("shift", F.floor(F.col("i") / per).cast("int") - F.col("item_at"))
     start = F.greatest("shift", F.lit(0))
     stop = F.least(F.col("n"), F.col("shift") + F.col("item_n"))

@@ -71,7 +71,7 @@ def _count(place: dict):
 
     def run(batches):
         total = {}
-        for b in c.text_slices(batches, limit=4 << 20):
+        for b in c.text_slices(batches, limit=1 << 20):
             code, off = _trigrams(b.column("text"))
             for lang, x, y in zip(b.column("lang").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 if y - x > 2:
@@ -116,7 +116,7 @@ def train(labelled: DataFrame, max_rows: int = 5000, seed: int = 0) -> tuple[lis
 def _score(model, n_classes: int, extra: list[str]):
     def run(batches):
         logp = model.value
-        for b in c.text_slices(batches, limit=4 << 20):
+        for b in c.text_slices(batches, limit=1 << 20):
             code, off = _trigrams(b.column("text"))
             n = np.maximum(np.diff(off) - 2, 0)
             full = np.flatnonzero(n)
@@ -125,7 +125,7 @@ def _score(model, n_classes: int, extra: list[str]):
             inside = np.zeros(len(code) + 1, np.int8)
             inside[off[:-1][full]] += 1
             inside[ends[full]] -= 1
-            live = code[np.cumsum(inside[:-1]).astype(bool)]
+            live = code[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
             if len(full):
                 at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
                 for k in range(n_classes):
@@ -171,7 +171,9 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, keys: str = "d
     suffixes = sums("suffix").select("suffix", smooth(F.col("sums"), level).alias("p"))
     domains = sums("suffix", "domain").join(suffixes, "suffix").select("suffix", "domain", smooth(F.col("sums"), F.col("p")).alias("p"))
     known = sums(*site).join(domains, ["suffix", "domain"]).select(*site, F.col("sums").alias("host_sum"), F.col("p").alias("domain_prior"))
-    j = scored.join(known, site, "left")  # a host of empty texts only has the prior of all
+    # Hosts of empty texts only have the prior of all. A host may hold a third of all rows.
+    sizes = scored.groupBy(*site).agg(F.count("*").alias("n"))
+    j = c.join_counted(scored, c.cut(sizes.join(known, site, "left"), "language_priors"), site, [*names, "n_trigrams"])
     none = F.array_repeat(F.lit(0.0), n_classes)
     own = F.when(F.col("n_trigrams") > 0, F.col("text_post")).otherwise(none)
     j = j.withColumn("prior", smooth(F.zip_with(F.coalesce("host_sum", none), own, lambda a, b: a - b), F.coalesce("domain_prior", level)))
