@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -30,10 +29,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='quadrille-')}"  # one machine, as in tests
-        spark.conf.set("spark.checkpoint.dir", top)
+        raise ValueError("spark.checkpoint.dir must name, when the session starts, a folder that the driver and all executors share")
     path = f"{top.rstrip('/')}/{re.sub('[^A-Za-z0-9]+', '_', name)}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import op01_fertility, op02_lines, op04_tokens, op05_language, op06_chat, op07_jaccard, op08_substrings, op09_cotrain
+from quadrille.llm import op01_fertility, op02_lines, op04_tokens, op05_language, op06_chat, op07_jaccard, op08_substrings, op09_cotrain, op11_repair, op12_trie, op13_sketch
 from quadrille.llm import op03_decontaminate as decontamination
 from quadrille.llm import op10_mixing as mixing
 from quadrille.llm.common import table
@@ -72,13 +72,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, sf_dir, "documents"))
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = op11_repair.digest(op11_repair.repair(op11_repair.damage(rows)))
+    ids = rows.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    out = ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").withColumn("conv_id", F.col("id")).drop("id")
+    return out.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).withColumns({"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs, turns = op12_trie.rebuild(op12_trie.ordered(table(spark, sf_dir, "conversations")))
+    nodes, members = op12_trie.trie(convs, turns)
+    out = nodes.join(op12_trie.ends_digest(members), op12_trie.KEY, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+    return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: cells_edited and cells_next, the sizes of the sketches that held the differences."""
+    rows = op13_sketch.with_next(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    out = op13_sketch.compare(rows, "text", ["edited", "next_text"], "doc_id long, n_chars long, edited_sha256 string")
+    near = {f"near_{x}": op13_sketch.likeness("text", y) for x, y in (("edited", "edited"), ("next", "next_text"))}
+    sizes = {"cells_edited": F.col("edited_cells"), "cells_next": F.col("next_text_cells")}
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("text_fingerprint").alias("fingerprint"), "edited_fingerprint", *[v.alias(k) for k, v in (near | sizes).items()])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_decontaminate, op4_tokens, op5_language, op6_chat, op7_jaccard_join, op8_substring_dedup, op9_cotraining, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_line_dedup, op3_decontaminate, op4_tokens, op5_language, op6_chat, op7_jaccard_join, op8_substring_dedup, op9_cotraining, op10_mixing, op11_repair_turns, op12_prefix_trie, op13_fingerprint, pipeline)}
 
 
 def _chat_sql() -> str:
@@ -150,4 +177,65 @@ o AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w)
 k AS (SELECT doc_id, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept FROM o LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
-ORACLE_SQL = {"op2_line_dedup": _LINES_SQL, "op3_decontaminate": _OVERLAP_SQL, "op6_chat": _chat_sql(), "op7_jaccard_join": _JACCARD_SQL, "op8_substring_dedup": _REPEATS_SQL}
+def _crc(text: str) -> str:
+    """crc32 of an ASCII text, by bytes, where the table `crc` is joined."""
+    step = "xor(crc_of_byte[(xor(s, ascii(x)) & 255)::INT + 1], s >> 8)"
+    return f"xor(list_reduce(string_split({text}, ''), lambda s, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+#: The remainder of each byte by the polynomial of crc32.
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY i) AS crc_of_byte FROM (SELECT i, list_reduce(range(8), lambda s, x: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, i) AS v FROM range(256) t(i)))"
+
+
+def _repair_sql() -> str:
+    """One row a conversation walks over its rows; a survivor is (cost, audit, repaired), the least of its candidates."""
+    much, tr = 10**9, "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    add = lambda v, cost, op, text: f"{{'c': {v}.c + {cost}, 'a': {v}.a || '{op}', 'r': {v}.r || {text}}}"
+    user, helper = "['user:']", "['assistant:']"
+    never = f"{{'c': {much}, 'a': '', 'r': []::VARCHAR[]}}"
+    as_user = [add(v, 5, "I", user) for v in ("s0", "s1", "s3")]
+    with_insert = f"least(s2, {', '.join(as_user)})"
+    closed = f"SELECT w.* EXCLUDE (s0, s1, s2, s3), s0, s1, least(s2, {', '.join(as_user)}) AS s2, least(s3, {add('s2', 5, 'I', helper)}, {add(f'({with_insert})', 5, 'I', helper)}) AS s3"
+    move = lambda v, to, ok: f"CASE WHEN fault IN ('blank', 'duplicate') OR NOT ({ok}) THEN {never} ELSE {to} END"
+    keep = lambda v, ini: move(v, add(v, tr, "K", "[role || ':' || text]"), f"role[1] = '{ini}'")
+    role = lambda v, name: move(v, add(v, f"1 + {tr}", "R", f"['{name}:' || text]"), "true")
+    to_user = ", ".join(f for v in ("s0", "s1", "s3") for f in (keep(v, "u"), role(v, "user")))
+    drop = lambda v: add(v, 2, "D", "[]::VARCHAR[]")
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM o WHERE kind <> 0)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen FROM d),
+n AS (SELECT *, row_number() OVER t AS i, lag(role[1]) OVER t || role[1] AS pair,
+  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e WINDOW t AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen)),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+w AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, {drop('s0')} AS s0, least({drop('s1')}, {keep('s0', 's')}) AS s1, least({drop('s2')}, {to_user}) AS s2, least({drop('s3')}, {keep('s2', 'a')}, {role('s2', 'assistant')}) AS s3
+  FROM ({closed}, role, text, fault FROM (SELECT w.* REPLACE (f.i AS i), f.role, f.text, f.fault FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1) w)),
+l AS (SELECT conv_id, least(s0, s3) AS b FROM ({closed} FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1) w)),
+g AS (SELECT conv_id AS id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.r, chr(10))) AS repaired_sha256 FROM l LEFT JOIN g ON id IS NOT DISTINCT FROM conv_id"""
+
+
+#: Paths are compared as whole lists of turns; what lies below a node shares a conversation with it.
+_TRIE_SQL = f"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY k) AS ds, list(strlen(text) ORDER BY k) AS bs FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, ds, bs, {_crc("conv_id::VARCHAR")} % 9 AS h FROM t, crc),
+r AS (SELECT h.conv_id, coalesce(b.ds[1:h], []) || h.ds[h + 1:] AS ds, coalesce(b.bs[1:h], []) || h.bs[h + 1:] AS bs FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(ds) AS n, CASE WHEN d = 0 THEN '' ELSE md5(array_to_string(ds[:d], ',')) END AS node, CASE WHEN d = 1 THEN '' WHEN d > 1 THEN md5(array_to_string(ds[:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b
+  FROM (SELECT *, unnest(range(len(ds) + 1)) AS d FROM r)),
+v AS (SELECT node, any_value(up) AS up, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '') AS ends FROM p GROUP BY node, d),
+k AS (SELECT up AS node, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT DISTINCT x.node AS top, y.node FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.d >= x.d),
+s AS (SELECT top AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM a JOIN v USING (node) LEFT JOIN k USING (node) GROUP BY top)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN v u ON u.node = v.up"""
+
+ORACLE_SQL = {"op2_line_dedup": _LINES_SQL, "op3_decontaminate": _OVERLAP_SQL, "op6_chat": _chat_sql(), "op7_jaccard_join": _JACCARD_SQL, "op8_substring_dedup": _REPEATS_SQL, "op11_repair_turns": _repair_sql(), "op12_prefix_trie": _TRIE_SQL}
