@@ -1,68 +1,70 @@
-"""Tail probabilities for a row a gene: Spark has neither erf nor the incomplete beta function."""
+"""Tail probabilities as column expressions: Spark has neither erf nor the incomplete beta function."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+#: Terms of a continued fraction or a series. The fraction of the t distribution needs 120 at most for a relative error of 1e-13
+#: (degrees of freedom from 1 to 1e8), that of the normal distribution 80 beyond FAR, its series 60 below.
+STEPS = 200
+#: From here on the normal tail is a continued fraction.
+FAR = 2.0
+#: log(Gamma(a + 1/2) / Gamma(a)) is log(a) / 2 plus these, by the odd powers of 1 / a. Fixed values.
+HALF_STEP = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
+#: The ratio is taken so far up, where five terms give all digits.
+SHIFT = 16
 
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, by the modified Lentz method."""
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            c = 1 + num / c
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return h
 
+def gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a), without the cancellation of two logarithms of Gamma."""
+    near = F.aggregate(F.sequence(F.lit(0), F.lit(SHIFT - 1)), F.lit(1.0), lambda s, k: s * (a + k) / (a + k + 0.5))
+    far = a + SHIFT
+    rest = F.lit(0.0)
+    for k, c in enumerate(HALF_STEP):
+        rest = rest + F.lit(c) / F.pow(far, F.lit(2 * k + 1))
+    return near * F.exp(F.log(far) / 2 + rest)
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
 
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its last term to its first."""
 
-def beta_cdf(a, b, x):
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
-    if not x.size:
-        return np.zeros(0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x))
-        left = x < (a + 1) / (a + b + 2)
-        out = np.where(left, front * _beta_fraction(a, b, np.where(left, x, 0.0)) / a, 1 - front * _beta_fraction(b, a, np.where(left, 0.0, 1 - x)) / b)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
+    def term(k: Column) -> Column:
+        m = F.floor(k / 2)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return F.when(k % 2 == 0, even).otherwise(odd)
 
+    return 1 / F.aggregate(F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1)), F.lit(1.0), lambda f, k: 1 + F.try_divide(term(k), f))
 
-def t_two_sided(t, df):
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return beta_cdf(df / 2, 0.5, df / (df + t * t))
 
+def t_p(t: str | Column, df: str | Column) -> Column:
+    """Two-sided tail of the t distribution: the incomplete beta function of df / 2 and 1/2 at df / (df + t^2)."""
+    t, df = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in (t, df)]
+    a, half = df / 2, F.lit(0.5)
+    square = t * t
+    x, y = df / (df + square), square / (df + square)
+    front = F.exp(-a * F.log1p(square / df)) * F.sqrt(y) * gamma_ratio(a) / math.sqrt(math.pi)
+    return F.when(t == 0, 1.0).when(x < (a + 1) / (a + 2.5), front * _fraction(a, half, x) / a).otherwise(1 - 2 * front * _fraction(half, a, y))
 
-def normal_two_sided(z):
-    return _erfc(np.abs(np.asarray(z, float)) / math.sqrt(2)) if len(z) else np.zeros(0)
 
+def erfc(x: Column) -> Column:
+    """For x >= 0. A series of positive terms near 0, a continued fraction beyond."""
+    begin = F.struct(x.alias("term"), x.alias("sum"))
 
-@F.pandas_udf(T.DoubleType())
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    ok = t.notna() & df.notna()
-    out = pd.Series(np.nan, index=t.index)
-    out[ok] = t_two_sided(t[ok], df[ok])
-    return out
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * 2 * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
+    bell = F.exp(-x * x) / math.sqrt(math.pi)
+    near = 1 - 2 * bell * F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, add, lambda s: s["sum"])
+    far = bell / F.aggregate(F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1)), x, lambda f, k: x + F.try_divide(k / 2, f))
+    return F.when(x < FAR, near).otherwise(far)
 
-@F.pandas_udf(T.DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    ok = z.notna()
-    out = pd.Series(np.nan, index=z.index)
-    out[ok] = normal_two_sided(z[ok].to_numpy())
-    return out
+
+def normal_p(z: str | Column) -> Column:
+    """Two-sided tail of the normal distribution."""
+    z = F.col(z) if isinstance(z, str) else z
+    return erfc(F.abs(z.cast("double")) / math.sqrt(2))

@@ -126,7 +126,7 @@ def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: s
     null = F.lit(None).cast("double")
     m = m.withColumn("p_ttest", F.when(F.col("t").isNotNull(), t_p("t", "df")).otherwise(flat) if "ttest" in tests else null)
     if ranks:
-        m = _mann_whitney(m).withColumn("p_ranksum", F.when(F.col("z").isNull(), 1.0).otherwise(F.least(normal_p("z"), F.lit(1.0))))
+        m = _mann_whitney(m).withColumn("p_ranksum", F.when(F.col("z").isNull(), 1.0).otherwise(normal_p("z")))
     else:
         m = m.withColumn("p_ranksum", null)
     m = m.withColumn("comparison_id", F.lit(comparison_id))

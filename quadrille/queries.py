@@ -256,11 +256,12 @@ def de_one_vs_rest(s, d):
 
 def de_full(s, d):
     a = Atlas(s, d, "part")
-    return D.differential(a.cells, a.expr, a.genes, "priority", HIGH, LOW, max_cells=None)
+    rows = D.differential(a.cells, a.expr, a.genes, "priority", HIGH, LOW, max_cells=None)
+    return rows.withColumns({x: F.round(x, 9) + F.lit(0.0) for x in rows.columns[2:]})
 
 
 def volcano(s, d):
-    return D.volcano(de_full(s, d), "p_ttest", 0.5, 0.05, True)
+    return D.volcano(de_full(s, d), "p_ttest", 0.5, 0.05, True).withColumns(r6("y"))
 
 
 def bh_fdr(s, d):
@@ -478,18 +479,43 @@ v AS (SELECT k.*, coalesce(mean, 0.0) AS mean, coalesce(max, 0.0) AS max FROM k
     edges = list(zip(POLYGON, [POLYGON[-1], *POLYGON[:-1]], strict=True))
     inside = " + ".join(f"CASE WHEN (({a[1]} > ny) <> ({b[1]} > ny)) AND nx < ({b[0]} - {a[0]}) * (ny - {a[1]}) / ({b[1]} - {a[1]}) + {a[0]} THEN 1 ELSE 0 END" for a, b in edges if a[1] != b[1])
     inside = f"({inside}) % 2 = 1"
-    de = f""",
+    both = f""",
 g AS (SELECT cell_id, CASE WHEN priority IN ({high}) THEN 1 ELSE 2 END AS grp FROM c WHERE priority IN ({high}, {low})),
-nn AS (SELECT count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 2) AS n2 FROM g),
+nn AS (SELECT count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 2) AS n2 FROM g),"""
+    def moments(expr: str, genes: str) -> str:
+        """Moments, Welch's terms and rank sums of both groups, by gene."""
+        return f"""{both}
 gm AS (SELECT gene, coalesce(sum(value) FILTER (grp = 1), 0) AS sum1, coalesce(sum(value) FILTER (grp = 2), 0) AS sum2, coalesce(sum(value * value) FILTER (grp = 1), 0) AS sumsq1,
-  coalesce(sum(value * value) FILTER (grp = 2), 0) AS sumsq2, count(*) FILTER (grp = 1) AS nnz1, count(*) FILTER (grp = 2) AS nnz2 FROM e JOIN g USING (cell_id) GROUP BY gene),
-m AS (SELECT p_brand AS gene, n1, n2, coalesce(sum1, 0) AS sum1, coalesce(sum2, 0) AS sum2, coalesce(sumsq1, 0) AS sumsq1, coalesce(sumsq2, 0) AS sumsq2, coalesce(nnz1, 0) AS nnz1, coalesce(nnz2, 0) AS nnz2
-  FROM (SELECT DISTINCT p_brand FROM part) LEFT JOIN gm ON p_brand = gene, nn),
+  coalesce(sum(value * value) FILTER (grp = 2), 0) AS sumsq2, count(*) FILTER (grp = 1) AS nnz1, count(*) FILTER (grp = 2) AS nnz2 FROM {expr} JOIN g USING (cell_id) GROUP BY gene),
+m AS (SELECT gs.gene, n1, n2, coalesce(sum1, 0) AS sum1, coalesce(sum2, 0) AS sum2, coalesce(sumsq1, 0) AS sumsq1, coalesce(sumsq2, 0) AS sumsq2, coalesce(nnz1, 0) AS nnz1, coalesce(nnz2, 0) AS nnz2
+  FROM ({genes}) gs LEFT JOIN gm USING (gene), nn),
 w AS (SELECT *, sum1 / n1 AS mean1, sum2 / n2 AS mean2, nnz1 / n1 AS pct1, nnz2 / n2 AS pct2, greatest((sumsq1 / n1 - (sum1 / n1) ** 2) * n1 / (n1 - 1), 0) AS var1, greatest((sumsq2 / n2 - (sum2 / n2) ** 2) * n2 / (n2 - 1), 0) AS var2 FROM m),
-vc AS (SELECT gene, value, count(*) FILTER (grp = 1) AS t1, count(*) FILTER (grp = 2) AS t2 FROM e JOIN g USING (cell_id) GROUP BY ALL UNION ALL SELECT gene, 0.0, n1 - nnz1, n2 - nnz2 FROM m),
+vc AS (SELECT gene, value, count(*) FILTER (grp = 1) AS t1, count(*) FILTER (grp = 2) AS t2 FROM {expr} JOIN g USING (cell_id) GROUP BY ALL UNION ALL SELECT gene, 0.0, n1 - nnz1, n2 - nnz2 FROM m),
 rk AS (SELECT *, (t1 + t2)::DOUBLE AS t, coalesce(sum(t1 + t2) OVER (PARTITION BY gene ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t1 + t2 + 1) / 2 AS r FROM vc),
 rs AS (SELECT gene, sum(t1 * r) AS r1, sum(t * t * t - t) AS ties FROM rk GROUP BY gene),
 uz AS (SELECT gene, r1, ties, n1::DOUBLE AS n1, n2::DOUBLE AS n2, least(r1 - n1::DOUBLE * (n1 + 1) / 2, n1::DOUBLE * n2 - (r1 - n1::DOUBLE * (n1 + 1) / 2)) AS u FROM rs JOIN m USING (gene))"""
+
+    de = moments("e", "SELECT DISTINCT p_brand AS gene FROM part")
+    # Tails: the fractions of the incomplete beta and of the complementary error function from the last term to the first, as lists.
+    odd_even = lambda a, b, x: f"CASE WHEN k % 2 = 0 THEN (k // 2) * ({b} - (k // 2)) * {x} / (({a} + 2 * (k // 2) - 1) * ({a} + 2 * (k // 2))) ELSE -({a} + (k // 2)) * ({a} + {b} + (k // 2)) * {x} / (({a} + 2 * (k // 2)) * ({a} + 2 * (k // 2) + 1)) END"
+    fraction = lambda a, b, x: f"(1 / list_reduce(range(200, 0, -1), lambda f, k: 1 + ({odd_even(a, b, x)}) / f, 1.0::DOUBLE))"
+    ratio = "list_reduce(range(16), lambda s, k: s * (a + k) / (a + k + 0.5::DOUBLE), 1.0::DOUBLE) * exp(ln(a + 16) / 2 - 1 / (8 * (a + 16)) + 1 / (192 * (a + 16) ** 3) - 1 / (640 * (a + 16) ** 5) + 17 / (14336 * (a + 16) ** 7) - 31 / (18432 * (a + 16) ** 9))"
+    tails = f"""{moments("ep", "SELECT 'part' || p_partkey AS gene FROM part")},
+tt AS (SELECT *, n1 > 1 AND n2 > 1 AND nnz1 + nnz2 > 0 AND (var1 > 0 OR var2 > 0) AS ok FROM w),
+td AS (SELECT *, CASE WHEN ok THEN (mean1 - mean2) ** 2 / (var1 / n1 + var2 / n2) END AS t2, CASE WHEN ok THEN greatest((var1 / n1 + var2 / n2) ** 2 / ((var1 / n1) ** 2 / (n1 - 1) + (var2 / n2) ** 2 / (n2 - 1)), 1) END AS df FROM tt),
+ta AS (SELECT *, df / 2 AS a, df / (df + t2) AS x, t2 / (df + t2) AS y FROM td),
+tf AS (SELECT *, exp(-a * ln(1 + t2 / df)) * sqrt(y) * {ratio} / sqrt(pi()) AS front FROM ta),
+tp AS (SELECT *, CASE WHEN NOT ok THEN CASE WHEN n1 < 2 OR n2 < 2 OR nnz1 + nnz2 = 0 OR mean1 = mean2 THEN 1.0 ELSE 0.0 END WHEN t2 = 0 THEN 1.0
+  WHEN x < (a + 1) / (a + 2.5) THEN front * {fraction("a", "0.5::DOUBLE", "x")} / a ELSE 1 - 2 * front * {fraction("0.5::DOUBLE", "a", "y")} END AS p_ttest FROM tf),
+zs AS (SELECT gene, u, n1, n2, sqrt(greatest(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1))), 0)) AS sigma FROM uz),
+zx AS (SELECT *, CASE WHEN sigma >= 1e-10 THEN abs((u + 0.5 - n1 * n2 / 2) / sigma) / sqrt(2) END AS v FROM zs),
+zp AS (SELECT gene, CASE WHEN v IS NULL THEN 1.0 WHEN v < 2 THEN 1 - 2 * exp(-v * v) / sqrt(pi()) * list_reduce(range(1, 201), lambda s, k: {{'t': s.t * 2 * v * v / (2 * k + 1), 'r': s.r + s.t * 2 * v * v / (2 * k + 1)}}, {{'t': v, 'r': v}}).r
+  ELSE exp(-v * v) / sqrt(pi()) / list_reduce(range(200, 0, -1), lambda f, k: v + k / 2 / f, v) END AS p_ranksum FROM zx),
+rp AS (SELECT *, row_number() OVER (ORDER BY p_ttest, gene) AS kt, row_number() OVER (ORDER BY p_ranksum, gene) AS kr, count(*) OVER () AS n FROM tp JOIN zp USING (gene)),
+full_de AS (SELECT '0' AS comparison_id, gene, round(mean1, 9) AS mean1, round(mean2, 9) AS mean2, round(pct1, 9) AS pct1, round(pct2, 9) AS pct2,
+  round(CASE WHEN mean1 <= 1e-9 AND mean2 <= 1e-9 THEN 0 ELSE log2((mean1 + 1e-9) / (mean2 + 1e-9)) END, 9) AS log2fc, round(p_ttest, 9) AS p_ttest,
+  round(least(min(p_ttest * n / kt) OVER (ORDER BY kt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 9) AS fdr_ttest, round(p_ranksum, 9) AS p_ranksum,
+  round(least(min(p_ranksum * n / kr) OVER (ORDER BY kr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 9) AS fdr_ranksum FROM rp)"""
     tot = ", tot AS (SELECT gene, sum(value) AS total, count(*) FILTER (value > 0) AS n_cells, sum(value * value) / (SELECT count(*) FROM c) - (sum(value) / (SELECT count(*) FROM c)) ** 2 AS variance FROM ep GROUP BY gene)"
     order_n, tile_n = 2 ** (ZOOM - 0), 2 ** (FINEST - 2)
     dot = 128 / order_n
@@ -546,6 +572,12 @@ FROM c LEFT JOIN (SELECT cell_id, value FROM e WHERE gene = '{BRAND}') USING (ce
         "genes_all_expressed": q("SELECT gene, (row_number() OVER (ORDER BY gene) - 1)::INT AS selected_index FROM tot WHERE n_cells >= 30 OR gene IN ('part7', 'part11')", tot),
         "de_page": q("SELECT gene, log2fc, fdr AS fdr_ranksum FROM gp ORDER BY fdr, abs(log2fc) DESC, gene LIMIT 12 OFFSET 3", given),
         "volcano_classes": q("SELECT gene, log2fc AS x, round(-log10(fdr), 6) AS y, CASE WHEN -log10(fdr) >= -log10(0.6) AND log2fc >= 0.02 THEN 'up' WHEN -log10(fdr) >= -log10(0.6) AND log2fc <= -0.02 THEN 'down' ELSE 'ns' END AS class FROM gp WHERE pct1 > 0 OR pct2 > 0", given),
+        "de_full": q("SELECT * FROM full_de", tails),
+        "volcano": q(
+            """SELECT gene, log2fc AS x, round(y, 6) + 0.0 AS y, CASE WHEN y >= -log10(0.05) AND log2fc >= 0.5 THEN 'up' WHEN y >= -log10(0.05) AND log2fc <= -0.5 THEN 'down' ELSE 'ns' END AS class
+FROM (SELECT gene, log2fc, -log10(least(greatest(p_ttest, 1e-300), 1.0)) AS y FROM full_de WHERE pct1 > 0 OR pct2 > 0)""",
+            tails,
+        ),
         "hits_page": f"{hits}\nSELECT dataset_id, gene, round(pident, 6) AS pident, length, round(bitscore, 6) AS bitscore FROM h JOIN (SELECT 'd' || r_regionkey AS dataset_id, 'db' || (r_regionkey % 3) AS db_path FROM region) USING (db_path) SEMI JOIN dg USING (dataset_id, gene) ORDER BY h.bitscore DESC, evalue, dataset_id, gene, h.pident, length LIMIT 60 OFFSET 40",
         "distinct_databases": "SELECT DISTINCT 'db' || (r_regionkey % 3) AS db_path FROM region",
         "cell_summary": q("SELECT (SELECT count(*) FROM c) AS n_cells, (SELECT count(DISTINCT p_brand) FROM part) AS n_genes, (SELECT count(*) FROM e) AS nnz, 'priority,status' AS columns"),
