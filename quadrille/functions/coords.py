@@ -55,7 +55,8 @@ def denormalize(points: DataFrame, params: DataFrame) -> DataFrame:
     """Adds x, y from nx, ny."""
     out = points.join(params.select("coord_key", "scale", "origin_x", "origin_y"), "coord_key")
     for a in "xy":
-        out = out.withColumn(a, F.col(f"n{a}") / F.col("scale") + F.col(f"origin_{a}"))
+        # Equal points have no scale; they stood at the origin, half of no range away.
+        out = out.withColumn(a, F.coalesce(F.col(f"n{a}") / F.col("scale"), F.lit(0.0)) + F.col(f"origin_{a}"))
     return out.drop("scale", "origin_x", "origin_y")
 
 
@@ -98,6 +99,62 @@ def bin_id(zoom: int) -> Column:
     return F.col("bin_x").cast("long") * F.lit(2**zoom) + F.col("bin_y")
 
 
+def _spread(v: Column) -> Column:
+    """The low 16 bits of v, each followed by a zero."""
+    v = v.cast("long")
+    for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def z_key(x: str | Column = "bin_x", y: str | Column = "bin_y") -> Column:
+    """The place of a bin on the curve that goes through each quarter of the map, and of a quarter, before it leaves it."""
+    x, y = [F.col(v) if isinstance(v, str) else v for v in (x, y)]
+    return F.shiftleft(_spread(x), 1).bitwiseOR(_spread(y))
+
+
+def z_ranges(box: tuple[float, float, float, float], zoom: int, side: float = SIDE, most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of z keys of a zoom (both ends belong to them) that hold all bins of a box, by descent; at most about `most`.
+
+    Where more were needed, the last quarters that the box only touches count as a whole."""
+    x0, y0, x1, y1 = box
+    whole, touched = [], [(0, 0, 0)]
+    for level in range(zoom + 1):
+        size, cells = side / 2**level, touched
+        touched = []
+        for key, i, j in cells:
+            # Points beyond the map are in the bins at its sides.
+            lo_x, hi_x = (-math.inf if i == 0 else i * size), (math.inf if i == 2**level - 1 else (i + 1) * size)
+            lo_y, hi_y = (-math.inf if j == 0 else j * size), (math.inf if j == 2**level - 1 else (j + 1) * size)
+            if x1 < lo_x or x0 >= hi_x or y1 < lo_y or y0 >= hi_y:
+                continue
+            span = 4 ** (zoom - level)
+            if level == zoom or (x0 <= lo_x and hi_x <= x1 and y0 <= lo_y and hi_y <= y1):
+                whole.append((key * span, (key + 1) * span - 1))
+            else:
+                touched.append((key, i, j))
+        if len(whole) + 2 * len(touched) > most:
+            span = 4 ** (zoom - level)
+            whole += [(key * span, (key + 1) * span - 1) for key, _, _ in touched]
+            break
+        touched = [(key * 4 + 2 * a + b, 2 * i + a, 2 * j + b) for key, i, j in touched for a in (0, 1) for b in (0, 1)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(whole):
+        if out and lo == out[-1][1] + 1:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def in_z_ranges(box: tuple[float, float, float, float], zoom: int, side: float = SIDE, key: str = "z_key", most: int = 64) -> Column:
+    """Whether a row's bin can meet a box: a few ranges of a column that Parquet has statistics of."""
+    out = F.lit(False)
+    for lo, hi in z_ranges(box, zoom, side, most):
+        out = out | F.col(key).between(lo, hi)
+    return out
+
+
 def source_zoom(map_zoom: int, finest: int, tile_size: int = 256) -> int:
     """The coarsest zoom with at most one pixel a bin, or the finest there is."""
     return min(finest, check_zoom(map_zoom) + int(math.log2(tile_size)))

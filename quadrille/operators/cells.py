@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.coords import in_polygon
+from quadrille.functions.coords import SIDE, in_polygon, in_z_ranges
 
 
 def parse_filter(given) -> list[str] | None:
@@ -46,36 +46,82 @@ def sample_groups(rows: DataFrame, group: str, k: int | None, seed: int = 0, id_
     return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
 
 
-def in_box(points: DataFrame, box: tuple[float, float, float, float], x: str = "nx", y: str = "ny") -> DataFrame:
+def in_box(points: DataFrame, box: tuple[float, float, float, float], x: str = "nx", y: str = "ny", finest: int | None = None, side: float = SIDE) -> DataFrame:
+    """Points in a box, its sides included. finest: points have z_key, the place of their bin at that zoom on the curve by
+    which they are laid out, so that row groups beyond the box are not read."""
     x0, y0, x1, y1 = box
-    return points.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
+    rows = points if finest is None else points.where(in_z_ranges(box, finest, side))
+    return rows.where(F.col(x).between(x0, x1) & F.col(y).between(y0, y1))
 
 
 def in_region(points: DataFrame, vertices: list[tuple[float, float]], x: str = "nx", y: str = "ny") -> DataFrame:
     return points.where(in_polygon(vertices, x, y))
 
 
-def join_boxes(points: DataFrame, boxes: DataFrame, cell: float = 8.0, x: str = "nx", y: str = "ny") -> DataFrame:
-    """boxes: box_id, x0, y0, x1, y1. Pairs of points and boxes around them: an equi-join on grid squares, then the exact test."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    grid = boxes.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
-    keyed = points.withColumn("gx", at(x)).withColumn("gy", at(y))
-    return keyed.join(grid, ["gx", "gy"]).where(F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))).drop("gx", "gy")
-
-
-def join_polygons(points: DataFrame, polygons: DataFrame, cell: float = 8.0, x: str = "nx", y: str = "ny") -> DataFrame:
-    """polygons: region_id, vertices (array of x, y). Pairs of points and polygons around them: their boxes first, then the even-odd rule."""
-    ends = lambda f, a: f(F.transform("vertices", lambda v: v[a]))
-    boxes = polygons.where(F.size("vertices") >= 3).select("region_id", "vertices", ends(F.array_min, "x").alias("x0"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "x").alias("x1"), ends(F.array_max, "y").alias("y1"))
-    near = join_boxes(points, boxes, cell, x, y)
+def _square(column: str, zoom: int, side: float) -> Column:
+    """The grid square of a coordinate; what lies beyond the map belongs to the squares at its sides."""
+    held = F.least(F.greatest(F.floor(F.col(column) / (side / 2**zoom)), F.lit(0)), F.lit(2**zoom - 1))
+    return held.cast("int")
+
+
+def join_boxes(points: DataFrame, boxes: DataFrame, zoom: int = 5, x: str = "nx", y: str = "ny", side: float = SIDE) -> DataFrame:
+    """boxes: box_id, x0, y0, x1, y1. Pairs of points and boxes around them: an equi-join on the squares of a zoom, then the exact test.
+
+    A box has no squares beyond the map, so at most 4^zoom copies; in squares that lie inside a box no point is tested."""
+    size = side / 2**zoom
+    each = lambda lo, hi: F.explode(F.sequence(_square(lo, zoom, side), _square(hi, zoom, side)))
+    grid = boxes.where((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).withColumn("gx", each("x0", "x1")).withColumn("gy", each("y0", "y1"))
+    within = lambda g, lo, hi: (F.col(g) > 0) & (F.col(g) < 2**zoom - 1) & (F.col(lo) <= F.col(g) * size) & ((F.col(g) + 1) * size <= F.col(hi))
+    grid = grid.withColumn("inside", within("gx", "x0", "x1") & within("gy", "y0", "y1"))
+    keyed = points.withColumn("gx", _square(x, zoom, side)).withColumn("gy", _square(y, zoom, side))
+    exact = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
+    return keyed.join(grid, ["gx", "gy"]).where(F.col("inside") | exact).drop("gx", "gy", "inside")
+
+
+def cover_polygons(polygons: DataFrame, zoom: int = 6, side: float = SIDE) -> DataFrame:
+    """polygons: region_id, vertices (array of x, y). The squares of a zoom that a polygon meets: region_id, gx, gy, odd, edges.
+
+    The map is cut into quarters again and again. A quarter hands on those edges that a ray to the right, from some of its points,
+    may or may not cross; edges that every such ray crosses are counted in odd, and others are forgotten. A quarter without edges is inside
+    (odd = 1) or gone, and is not cut further but laid out as squares at the end."""
+    point = lambda p: (p["x"], p["y"])
+
+    def edge(v: Column, i: Column) -> Column:
+        (x1, y1), (x2, y2) = point(F.element_at("vertices", F.when(i == 0, -1).otherwise(i))), point(v)
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    edges = F.filter(F.transform("vertices", edge), lambda e: e["y1"] != e["y2"])
+    cells = polygons.where(F.size("vertices") >= 3).select("region_id", F.lit(0).alias("level"), F.lit(0).alias("gx"), F.lit(0).alias("gy"), F.lit(0).alias("odd"), edges.alias("edges"))
+    part = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    quarters, same = F.array(*[part(a, b) for a in (0, 1) for b in (0, 1)]), F.array(part(0, 0))
+    for level in range(1, zoom + 1):
+        size, last, done = side / 2**level, 2**level - 1, F.size("edges") == 0
+        rows = cells.withColumn("q", F.explode(F.when(done, same).otherwise(quarters)))
+        rows = rows.withColumns({"level": F.when(done, F.col("level")).otherwise(level)} | {g: F.when(done, F.col(g)).otherwise(F.col(g) * 2 + F.col(f"q.{k}")) for g, k in (("gx", "a"), ("gy", "b"))})
+        # Squares at the sides reach as far as there are points.
+        low = {g: F.when(F.col(g) == 0, float("-inf")).otherwise(F.col(g) * size) for g in ("gx", "gy")}
+        high = {g: F.when(F.col(g) == last, float("inf")).otherwise((F.col(g) + 1) * size) for g in ("gx", "gy")}
+        rows = rows.withColumns({"lx": low["gx"], "hx": high["gx"], "ly": low["gy"], "hy": high["gy"]})
+        met = F.filter("edges", lambda e: (F.least(e["y1"], e["y2"]) < F.col("hy")) & (F.greatest(e["y1"], e["y2"]) > F.col("ly")) & (F.greatest(e["x1"], e["x2"]) > F.col("lx")))
+        sure = lambda e: (F.least(e["x1"], e["x2"]) >= F.col("hx")) & (F.least(e["y1"], e["y2"]) <= F.col("ly")) & (F.greatest(e["y1"], e["y2"]) >= F.col("hy"))
+        rows = rows.select("region_id", "level", "gx", "gy", "odd", "hx", "ly", "hy", met.alias("met"))
+        rows = rows.select("region_id", "level", "gx", "gy", ((F.col("odd") + F.size(F.filter("met", sure))) % 2).alias("odd"), F.filter("met", lambda e: ~sure(e)).alias("edges"))
+        cells = rows.where((F.size("edges") > 0) | (F.col("odd") == 1))
+    n = F.call_function("shiftleft", F.lit(1), F.lit(zoom) - F.col("level"))
+    for g in ("gx", "gy"):
+        cells = cells.withColumn(g, F.explode(F.sequence(F.col(g) * n, F.col(g) * n + n - 1)))
+    return cells.drop("level")
+
+
+def join_polygons(points: DataFrame, polygons: DataFrame, zoom: int = 6, x: str = "nx", y: str = "ny", side: float = SIDE) -> DataFrame:
+    """polygons: region_id, vertices (array of x, y). Pairs of points and polygons around them by the even-odd rule: an equi-join with the
+    squares that cover the polygons, where a square inside has no test and another one only its own edges."""
+    keyed = points.withColumn("gx", _square(x, zoom, side)).withColumn("gy", _square(y, zoom, side))
     px, py = F.col(x), F.col(y)
-
-    def crosses(v: Column, i: Column) -> Column:
-        u = F.element_at("vertices", F.when(i == 0, -1).otherwise(i))
-        return ((v["y"] > py) != (u["y"] > py)) & (px < F.try_divide((u["x"] - v["x"]) * (py - v["y"]), u["y"] - v["y"]) + v["x"])
-
-    inside = F.size(F.filter("vertices", lambda v, i: F.coalesce(crosses(v, i), F.lit(False)))) % 2 == 1
-    return near.where(inside).drop("vertices", "x0", "y0", "x1", "y1")
+    crosses = lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    near = keyed.join(cover_polygons(polygons, zoom, side), ["gx", "gy"])
+    odd = (F.col("odd") + F.size(F.filter("edges", crosses))) % 2 == 1
+    return near.where(odd).drop("gx", "gy", "odd", "edges")
 
 
 def lookup_sparse(expr: DataFrame, cells: DataFrame, gene: str) -> DataFrame:
@@ -103,10 +149,10 @@ def column_values(cells: DataFrame, column: str) -> DataFrame:
     return cells.where(F.col(column) != "").select(F.col(column).cast("string").alias("value")).distinct()
 
 
-def cells_in_box(points: DataFrame, box, cells: DataFrame, expr: DataFrame | None = None, gene: str | None = None, column: str | None = None, shown: list[str] | None = None, limit: int = 5000, seed: int = 0) -> DataFrame:
-    """Cells in a box with a gene and a category, a seeded sample of all that match; total_count, truncated."""
+def cells_in_box(points: DataFrame, box, cells: DataFrame, expr: DataFrame | None = None, gene: str | None = None, column: str | None = None, shown: list[str] | None = None, limit: int = 5000, seed: int = 0, finest: int | None = None) -> DataFrame:
+    """Cells in a box with a gene and a category, a seeded sample of all that match; total_count, truncated. finest: as for in_box()."""
     limit = max(0, min(limit, 50_000))
-    rows = in_box(points, box).select("cell_id", "nx", "ny")
+    rows = in_box(points, box, finest=finest).select("cell_id", "nx", "ny")
     if column:
         rows = rows.join(cells.select("cell_id", F.col(column).cast("string").alias("category")), "cell_id", "left").withColumn("category", F.coalesce("category", F.lit("")))
         rows = keep_categories(rows, "category", shown)

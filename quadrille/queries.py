@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille import sinks
 from quadrille.functions import colors
 from quadrille.functions import coords as C
 from quadrille.operators import cells as K
@@ -21,10 +22,12 @@ from quadrille.operators import profile as P
 from quadrille.operators import pyramid as B
 from quadrille.operators import query as Q
 from quadrille.operators import tiles as L
+from quadrille.sinks.scratch import scratch_path, written
 from quadrille.sources import catalog
 
 FINEST, ZOOM, BRAND = 7, 5, "Brand#23"
 BOX = (60.0, 40.0, 140.0, 120.0)
+SMALL_BOX = (100.0, 90.0, 125.5, 115.5)
 POLYGON = [(30.0, 20.0), (200.0, 60.0), (150.0, 180.0), (90.0, 110.0), (40.0, 200.0)]
 HIGH, LOW = ["1-URGENT", "2-HIGH"], ["5-LOW"]
 
@@ -173,6 +176,16 @@ def cells_in_box(s, d):
     return rows.select("cell_id", "category", "expression", "total_count", "truncated")
 
 
+def cells_in_box_by_place(s, d):
+    """The cells are laid out by place; the box reads the row groups near it."""
+    a = Atlas(s, d)
+    path = scratch_path(s, "places")
+    if path is None:
+        return K.in_box(a.points, SMALL_BOX).select("cell_id")
+    sinks.write_places(C.assign_bins(a.points, FINEST), FINEST, path)
+    return K.in_box(s.read.parquet(path), SMALL_BOX, "x_normalized", "y_normalized", FINEST).select("cell_id")
+
+
 def cells_in_polygon(s, d):
     return K.in_region(Atlas(s, d).points, POLYGON).select("cell_id")
 
@@ -447,7 +460,7 @@ QUERIES = {
     for f in (
         transform_params, normalize_coords, denormalize_coords, bin_assign, group_expression, tile_one, tile_index, tile_grid, tile_colors_density, tile_colors_expression, tile_colors_category, cell_colors, bin_counts_all_zooms, bin_expression, bin_expression_coarse, bin_category_counts, dominant_category, bin_numeric_mean, bin_cell_lists, bin_index,
         gene_vector, gene_stats, bins_expressing_gene, category_legend, category_centroids, gene_category_means, tile_bins, tile_pixels_expression, tile_pixels_category,
-        cells_in_box, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, polygons_join, cells_scan, category_of_cells, column_values, expression_lookup_sparse, expression_lookup_dense,
+        cells_in_box, cells_in_box_by_place, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, polygons_join, cells_scan, category_of_cells, column_values, expression_lookup_sparse, expression_lookup_dense,
         expressed_genes, gene_variance_top, gene_selection, normalize_log1p, hvg_scores, de_moments, de_welch_t_df, de_ranksum_u_z, de_one_vs_rest, de_full, volcano, bh_fdr,
         hits_expand_topk, gene_dataset_lookup, atlas_profile, category_top10, percentile_range, cardinality_guard,
         gene_search, gene_range, genes_flagged, genes_random, genes_all_expressed, de_page, volcano_classes, hits_page, distinct_databases, cell_summary,
@@ -622,6 +635,7 @@ FROM dom JOIN (SELECT category, row_number() OVER (ORDER BY category) - 1 AS i F
 FROM s LEFT JOIN (SELECT cell_id, value FROM e WHERE gene = '{BRAND}') USING (cell_id) ORDER BY md5('7:' || cell_id), cell_id LIMIT 200""",
             f", s AS (SELECT * FROM n WHERE nx BETWEEN {BOX[0]} AND {BOX[2]} AND ny BETWEEN {BOX[1]} AND {BOX[3]} AND priority IN ({high}))",
         ),
+        "cells_in_box_by_place": q(f"SELECT cell_id FROM n WHERE nx BETWEEN {SMALL_BOX[0]} AND {SMALL_BOX[2]} AND ny BETWEEN {SMALL_BOX[1]} AND {SMALL_BOX[3]}"),
         "cells_in_polygon": q(f"SELECT cell_id FROM n WHERE {inside}"),
         "region_category_counts": q(f"SELECT status AS category, count(*) AS n FROM n WHERE {inside} GROUP BY status"),
         "sample_cells": q("SELECT cell_id, priority FROM c QUALIFY row_number() OVER (PARTITION BY priority ORDER BY md5('3:' || cell_id), cell_id) <= 50"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.functions.coords import parent
+from quadrille.functions.coords import parent, z_key
+
+#: Parts of tables that are read by place or by gene, small enough for statistics to leave most out: bytes of a row group, rows of a page.
+FINE_PARTS = {"parquet.block.size": 4 << 20, "parquet.page.row.count.limit": 2000}
 
 
 def write_pyramid(df: DataFrame, path: str, sort: list[str], reuse: bool = False) -> None:
@@ -21,23 +24,29 @@ def write_matrix(expr: DataFrame, path: str, reuse: bool = False) -> None:
 
 
 def write_cells(cells: DataFrame, binned: DataFrame, finest: int, path: str, reuse: bool = False, default_key: str | None = None) -> None:
-    """Cells with normalised coordinates and their bin at every zoom, in the default coordinate system: a row a cell.
+    """Cells with normalised coordinates and their bin at every zoom, in the default coordinate system: a row a cell, laid out by place.
 
-    Without a default, it is the first in the order of names."""
+    Without a default, it is the first in the order of names. Cells without a place come first."""
     key = F.lit(default_key) if default_key is not None else F.col("first_key")
     one = binned.agg(F.min("coord_key").alias("first_key"))  # one row
     own = binned.crossJoin(F.broadcast(one)).where(F.col("coord_key") == key)
-    cells.join(_places(own, finest).drop("coord_key"), "cell_id", "left").write.mode("ignore" if reuse else "overwrite").parquet(path)
+    _by_place(cells.join(_places(own, finest).drop("coord_key"), "cell_id", "left"), []).mode("ignore" if reuse else "overwrite").parquet(path)
 
 
 def write_places(binned: DataFrame, finest: int, path: str, reuse: bool = False) -> None:
-    """The same places of the cells in all coordinate systems: a row a cell and system."""
-    _places(binned, finest).write.mode("ignore" if reuse else "overwrite").partitionBy("coord_key").parquet(path)
+    """The same places of the cells in all coordinate systems: a row a cell and system, laid out by place."""
+    _by_place(_places(binned, finest), ["coord_key"]).mode("ignore" if reuse else "overwrite").partitionBy("coord_key").parquet(path)
 
 
 def _places(binned: DataFrame, finest: int) -> DataFrame:
     zooms = [c for z in range(finest + 1) for c in (parent("bin_x", finest - z).alias(f"bin_z{z}_x"), parent("bin_y", finest - z).alias(f"bin_z{z}_y"))]
-    return binned.select("coord_key", "cell_id", F.col("nx").alias("x_normalized"), F.col("ny").alias("y_normalized"), *zooms)
+    return binned.select("coord_key", "cell_id", F.col("nx").alias("x_normalized"), F.col("ny").alias("y_normalized"), z_key().alias("z_key"), *zooms)
+
+
+def _by_place(rows: DataFrame, first: list[str]) -> DataFrameWriter:
+    """A writer of rows in ranges of z_key, in small row groups: a box is a few ranges of it."""
+    keys = [*first, "z_key", "cell_id"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**FINE_PARTS)
 
 
 def write_genes(genes: DataFrame, selected: DataFrame, path: str, reuse: bool = False) -> None:

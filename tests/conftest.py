@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", tmp)
+        .config("spark.checkpoint.dir", f"file://{tmp}/shared")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
