@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.coords import SIDE, in_polygon, in_z_ranges
 
+#: Cell ids of a block of the matrix by genes.
+BLOCK_CELLS = 1 << 16
+
 
 def parse_filter(given) -> list[str] | None:
     """None: no filter. A list, JSON array, comma-separated string or {"categories": [...]}: those; empty: nothing."""
@@ -135,6 +138,16 @@ def lookup_dense(expr: DataFrame, ids: DataFrame, gene: str) -> DataFrame:
     return ids.join(values, "cell_id", "left").select("position", "cell_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def gene_values(blocks: DataFrame, gene: str, cells: tuple[int, int] | None = None, block: int = BLOCK_CELLS) -> DataFrame:
+    """blocks: as sinks.write_gene_blocks() writes them. cell_id, gene, value of one gene, as lookups take them; cells: the least and
+    the largest id to read. Other genes and other ranges of cells are left out by the table's statistics."""
+    rows = blocks.where(F.col("gene") == gene)
+    if cells is not None:
+        rows = rows.where(F.col("block").between(cells[0] // block, cells[1] // block))
+    rows = rows.select("gene", F.inline(F.arrays_zip("cell_ids", "values"))).select(F.col("cell_ids").alias("cell_id"), "gene", F.col("values").alias("value"))
+    return rows if cells is None else rows.where(F.col("cell_id").between(*cells))
+
+
 def scan_cells(expr: DataFrame, cells: DataFrame) -> DataFrame:
     return expr.join(cells.select("cell_id"), "cell_id", "left_semi")
 

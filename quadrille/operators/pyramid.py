@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.coords import finite, parent
@@ -10,26 +12,40 @@ from quadrille.functions.coords import finite, parent
 BIN = ["coord_key", "zoom", "bin_x", "bin_y"]
 
 
-def coarsen(fine: DataFrame, finest: int, keys: list[str], *sums: Column) -> DataFrame:
-    """fine: bins of the finest zoom. Returns all zooms: each row goes to its bin at every zoom, then one grouping."""
-    every = fine.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(finest))))
-    up = F.lit(finest) - F.col("zoom")
-    every = every.withColumn("bin_x", parent("bin_x", up)).withColumn("bin_y", parent("bin_y", up))
-    return every.groupBy(*BIN, *keys).agg(*sums)
+def coarsen(fine: DataFrame, finest: int, keys: list[str], sums: dict[str, Callable]) -> DataFrame:
+    """fine: bins of the finest zoom with the columns that sums adds up. Returns all zooms.
+
+    Rows move once, to the square of a middle zoom that they lie in; below it all zooms are summed where the rows are. The zooms
+    above take one row a square and key, so what moves twice is small."""
+    top = (finest + 1) // 2
+    square, add = ["coord_key", "top_x", "top_y", *keys], [f(name).alias(name) for name, f in sums.items()]
+    rows = fine.withColumns({f"top_{a}": parent(f"bin_{a}", finest - top) for a in "xy"}).repartition(*square)
+
+    def every(df: DataFrame, low: int, high: int, names: tuple[str, str]) -> DataFrame:
+        """Each row at the zooms low to high; it is given at high."""
+        df = df.withColumn("zoom", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        return df.withColumns({f"bin_{a}": parent(name, F.lit(high) - F.col("zoom")) for a, name in zip("xy", names, strict=True)})
+
+    below = every(rows, top, finest, ("bin_x", "bin_y")).groupBy(*square, "zoom", "bin_x", "bin_y").agg(*add)
+    out = [*BIN, *keys, *sums]
+    if top == 0:
+        return below.select(*out)
+    above = every(rows.groupBy(*square).agg(*add).withColumns({f"top_{a}": parent(f"top_{a}") for a in "xy"}), 0, top - 1, ("top_x", "top_y"))
+    return below.select(*out).unionByName(above.groupBy(*BIN, *keys).agg(*add).select(*out))
 
 
 def bin_counts(binned: DataFrame, finest: int) -> DataFrame:
     """binned: coord_key, cell_id, bin_x, bin_y at the finest zoom. cell_count of every bin that has cells."""
-    fine = binned.groupBy("coord_key", "bin_x", "bin_y").agg(F.count("*").alias("c"))
-    return coarsen(fine, finest, [], F.sum("c").alias("cell_count"))
+    fine = binned.groupBy("coord_key", "bin_x", "bin_y").agg(F.count("*").alias("cell_count"))
+    return coarsen(fine, finest, [], {"cell_count": F.sum})
 
 
 def bin_expression(expr: DataFrame, binned: DataFrame, finest: int, counts: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """sum, max (not below 0) and mean over all cells of the bin, by gene; absent genes are 0 and have no row."""
     if genes is not None:
         expr = expr.join(genes.select("gene"), "gene", "left_semi")
-    fine = expr.join(binned, "cell_id").groupBy("coord_key", "bin_x", "bin_y", "gene").agg(F.sum("value").alias("s"), F.max("value").alias("m"))
-    out = coarsen(fine, finest, ["gene"], F.sum("s").alias("sum"), F.greatest(F.max("m"), F.lit(0.0)).alias("max"))
+    fine = expr.join(binned, "cell_id").groupBy("coord_key", "bin_x", "bin_y", "gene").agg(F.sum("value").alias("sum"), F.greatest(F.max("value"), F.lit(0.0)).alias("max"))
+    out = coarsen(fine, finest, ["gene"], {"sum": F.sum, "max": F.max})
     return out.join(counts, BIN).withColumn("mean", F.col("sum") / F.col("cell_count"))
 
 
@@ -43,16 +59,16 @@ def group_expression(expr: DataFrame, groups: DataFrame) -> DataFrame:
 def bin_categories(cells: DataFrame, binned: DataFrame, finest: int, column: str) -> DataFrame:
     """column, category, n: cells of a bin by category; null is the category `nan`."""
     rows = binned.join(cells.select("cell_id", F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("category")), "cell_id")
-    fine = rows.groupBy("coord_key", "bin_x", "bin_y", "category").agg(F.count("*").alias("c"))
-    return coarsen(fine, finest, ["category"], F.sum("c").alias("n")).withColumn("column", F.lit(column))
+    fine = rows.groupBy("coord_key", "bin_x", "bin_y", "category").agg(F.count("*").alias("n"))
+    return coarsen(fine, finest, ["category"], {"n": F.sum}).withColumn("column", F.lit(column))
 
 
 def bin_numbers(cells: DataFrame, binned: DataFrame, finest: int, column: str) -> DataFrame:
     """mean over the finite values of a bin, null if there are none."""
     value = F.col(column).cast("double")
     rows = binned.join(cells.select("cell_id", value.alias("v")), "cell_id").withColumn("v", F.when(finite("v"), F.col("v")))
-    fine = rows.groupBy("coord_key", "bin_x", "bin_y").agg(F.sum("v").alias("s"), F.count("v").alias("k"))
-    out = coarsen(fine, finest, [], F.sum("s").alias("sum"), F.sum("k").alias("n"))
+    fine = rows.groupBy("coord_key", "bin_x", "bin_y").agg(F.sum("v").alias("sum"), F.count("v").alias("n"))
+    out = coarsen(fine, finest, [], {"sum": F.sum, "n": F.sum})
     return out.withColumn("mean", F.try_divide("sum", "n")).withColumn("column", F.lit(column))
 
 

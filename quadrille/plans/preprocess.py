@@ -71,6 +71,7 @@ def preprocess(spark: SparkSession, atlas: dict, path: str, config: Config) -> N
     if config.cell_lists:
         sinks.write_pyramid(pyramid.bin_cells(at, finest, finest), f"{path}/bin_cells", ["bin_x", "bin_y"], config.reuse)
     sinks.write_matrix(expr, f"{path}/expr", config.reuse)
+    sinks.write_gene_blocks(expr, f"{path}/expr_by_gene", config.reuse)
     sinks.write_genes(atlas["genes"], selected, f"{path}/genes", config.reuse)
     default = config.default_key or (config.coord_keys[0] if config.coord_keys else None)
     sinks.write_cells(cells, binned, finest, f"{path}/cells", config.reuse, default)

@@ -27,7 +27,7 @@ from quadrille.sources import catalog
 
 FINEST, ZOOM, BRAND = 7, 5, "Brand#23"
 BOX = (60.0, 40.0, 140.0, 120.0)
-SMALL_BOX = (100.0, 90.0, 125.5, 115.5)
+SMALL_BOX = (100.0, 90.0, 128.0, 115.5)
 POLYGON = [(30.0, 20.0), (200.0, 60.0), (150.0, 180.0), (90.0, 110.0), (40.0, 200.0)]
 HIGH, LOW = ["1-URGENT", "2-HIGH"], ["5-LOW"]
 
@@ -218,6 +218,16 @@ def expression_lookup_dense(s, d):
     return K.lookup_dense(a.expr, a.cells.where("status = 'F'").select((F.col("cell_id") * 2).alias("position"), "cell_id"), BRAND)
 
 
+def gene_values_by_blocks(s, d):
+    """One of many genes for all cells, from the matrix laid out by genes."""
+    a = Atlas(s, d, "part")
+    path = scratch_path(s, "expr_by_gene")
+    if path is None:
+        return K.lookup_sparse(a.expr, a.cells, "part19")
+    sinks.write_gene_blocks(a.expr, path)
+    return K.lookup_sparse(K.gene_values(s.read.parquet(path), "part19"), a.cells, "part19")
+
+
 def expressed_genes(s, d):
     a = Atlas(s, d, "part")
     return G.gene_totals(a.expr, a.cells).select("gene", "total", "n_cells", F.round("variance", 6).alias("variance"))
@@ -460,7 +470,7 @@ QUERIES = {
     for f in (
         transform_params, normalize_coords, denormalize_coords, bin_assign, group_expression, tile_one, tile_index, tile_grid, tile_colors_density, tile_colors_expression, tile_colors_category, cell_colors, bin_counts_all_zooms, bin_expression, bin_expression_coarse, bin_category_counts, dominant_category, bin_numeric_mean, bin_cell_lists, bin_index,
         gene_vector, gene_stats, bins_expressing_gene, category_legend, category_centroids, gene_category_means, tile_bins, tile_pixels_expression, tile_pixels_category,
-        cells_in_box, cells_in_box_by_place, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, polygons_join, cells_scan, category_of_cells, column_values, expression_lookup_sparse, expression_lookup_dense,
+        cells_in_box, cells_in_box_by_place, cells_in_polygon, region_category_counts, sample_cells, cells_in_boxes, polygons_join, cells_scan, category_of_cells, column_values, expression_lookup_sparse, expression_lookup_dense, gene_values_by_blocks,
         expressed_genes, gene_variance_top, gene_selection, normalize_log1p, hvg_scores, de_moments, de_welch_t_df, de_ranksum_u_z, de_one_vs_rest, de_full, volcano, bh_fdr,
         hits_expand_topk, gene_dataset_lookup, atlas_profile, category_top10, percentile_range, cardinality_guard,
         gene_search, gene_range, genes_flagged, genes_random, genes_all_expressed, de_page, volcano_classes, hits_page, distinct_databases, cell_summary,
@@ -642,6 +652,7 @@ FROM s LEFT JOIN (SELECT cell_id, value FROM e WHERE gene = '{BRAND}') USING (ce
         "cells_in_boxes": q("SELECT n_nationkey AS box_id, count(*) AS n FROM n JOIN nation ON nx BETWEEN n_nationkey * 8.0 AND n_nationkey * 8.0 + 30 AND ny BETWEEN n_nationkey * 6.0 AND n_nationkey * 6.0 + 50 GROUP BY ALL"),
         "expression_lookup_sparse": q(f"SELECT cell_id, value FROM e SEMI JOIN (SELECT * FROM c WHERE status = 'F') USING (cell_id) WHERE gene = '{BRAND}'"),
         "expression_lookup_dense": q(f"SELECT cell_id * 2 AS position, cell_id, coalesce(value, 0.0) AS value FROM c LEFT JOIN (SELECT * FROM e WHERE gene = '{BRAND}') USING (cell_id) WHERE status = 'F'"),
+        "gene_values_by_blocks": q("SELECT cell_id, value FROM ep WHERE gene = 'part19'"),
         "expressed_genes": q("SELECT gene, total, n_cells, round(variance, 6) AS variance FROM tot", tot),
         "gene_variance_top": q("SELECT gene, round(variance, 6) AS variance FROM tot ORDER BY round(variance, 6) DESC, gene LIMIT 50", tot),
         "gene_selection": q(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.coords import parent, z_key
+from quadrille.operators.cells import BLOCK_CELLS
 
 #: Parts of tables that are read by place or by gene, small enough for statistics to leave most out: bytes of a row group, rows of a page.
 FINE_PARTS = {"parquet.block.size": 4 << 20, "parquet.page.row.count.limit": 2000}
@@ -23,6 +24,17 @@ def write_matrix(expr: DataFrame, path: str, reuse: bool = False) -> None:
     expr.repartitionByRange("cell_id").sortWithinPartitions("cell_id", "gene").write.mode("ignore" if reuse else "overwrite").parquet(path)
 
 
+def write_gene_blocks(expr: DataFrame, path: str, reuse: bool = False, cells: int = BLOCK_CELLS) -> None:
+    """The full matrix once more, by genes: a row holds a gene's values for a range of cell ids, as arrays in their order. A Bloom
+    filter and the order of genes let a reader of one gene leave the rest of the table out."""
+    pairs = F.sort_array(F.collect_list(F.struct("cell_id", "value")))  # a cell has one value a gene, so at most `cells`
+    blocks = expr.groupBy("gene", F.floor(F.col("cell_id") / cells).alias("block")).agg(pairs.alias("pairs"))
+    blocks = blocks.select("gene", "block", F.col("pairs.cell_id").alias("cell_ids"), F.col("pairs.value").alias("values"))
+    blocks = blocks.repartitionByRange("gene", "block").sortWithinPartitions("gene", "block")
+    fine = FINE_PARTS | {"parquet.page.row.count.limit": 20, "parquet.bloom.filter.enabled#gene": "true"}
+    blocks.write.options(**fine).mode("ignore" if reuse else "overwrite").parquet(path)
+
+
 def write_cells(cells: DataFrame, binned: DataFrame, finest: int, path: str, reuse: bool = False, default_key: str | None = None) -> None:
     """Cells with normalised coordinates and their bin at every zoom, in the default coordinate system: a row a cell, laid out by place.
 

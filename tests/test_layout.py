@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quadrille import sinks
 from quadrille.functions import coords as C
 from quadrille.operators import cells as K
+from quadrille.operators import pyramid as B
 
 
 def rows_read(df):
@@ -124,3 +125,59 @@ def test_zoom_is_checked():
     for zoom, levels in ((-1, None), (3, 3), (7, 3)):
         with pytest.raises(ValueError):
             C.check_zoom(zoom, levels)
+
+
+def test_genes_are_read_without_the_matrix(spark, tmp_path):
+    expr = spark.range(300_000).select((F.col("id") % 3001).alias("cell_id"), F.concat(F.lit("g"), F.col("id") % 200).alias("gene"), (F.col("id") % 17 + 1).cast("double").alias("value")).dropDuplicates(["cell_id", "gene"])
+    expr.write.parquet(f"{tmp_path}/expr")
+    expr = spark.read.parquet(f"{tmp_path}/expr")
+    sinks.write_gene_blocks(expr, f"{tmp_path}/blocks", cells=256)
+    blocks = spark.read.parquet(f"{tmp_path}/blocks")
+    n = blocks.count()
+    assert n >= 200 * 3001 // 256 and blocks.agg(F.max(F.size("cell_ids"))).first()[0] <= 256
+    for gene in ("g0", "g77", "g199"):
+        got = K.gene_values(blocks, gene)
+        assert rows_read(got) < 0.05 * n
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expr.where(F.col("gene") == gene).select("cell_id", "gene", "value").collect()))
+    part = K.gene_values(blocks, "g77", (300, 700), 256)
+    assert rows_read(part) <= 20 and sorted(r[0] for r in part.collect()) == sorted(r[0] for r in expr.where("gene = 'g77' and cell_id between 300 and 700").select("cell_id").collect())
+    assert K.gene_values(blocks, "none").count() == 0
+
+
+def shuffled_rows(df):
+    """Rows that all exchanges of an executed plan have written."""
+    df.collect()
+    todo, seen, total = [df._jdf.queryExecution().executedPlan()], set(), 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif name.startswith(("ShuffleQueryStage", "TableCacheQueryStage")):
+            todo.append(node.plan())
+        elif not name.startswith("ReusedExchange"):
+            if name == "Exchange" and node.hashCode() not in seen:
+                seen.add(node.hashCode())
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+    return total
+
+
+@pytest.mark.parametrize("finest", [0, 1, 2, 7])
+def test_pyramid_moves_rows_once(spark, tmp_path, finest):
+    n = 2**finest
+    rows = spark.range(60_000).select(F.lit("u").alias("coord_key"), F.floor(F.rand(3) * n).cast("int").alias("bin_x"), F.floor(F.rand(4) * n).cast("int").alias("bin_y"), (F.col("id") % 3).alias("gene"))
+    fine = rows.groupBy("coord_key", "bin_x", "bin_y", "gene").agg(F.count("*").alias("sum"), F.max("bin_x").alias("max"))
+    fine.write.parquet(f"{tmp_path}/fine")
+    fine = spark.read.parquet(f"{tmp_path}/fine")
+    got = B.coarsen(fine, finest, ["gene"], {"sum": F.sum, "max": F.max})
+    if finest == 7:
+        assert shuffled_rows(got) <= 1.4 * fine.count()
+    at = fine.toPandas()
+    want = set()
+    for z in range(finest + 1):
+        at["x"], at["y"] = at["bin_x"] // 2 ** (finest - z), at["bin_y"] // 2 ** (finest - z)
+        for (x, y, g), rows in at.groupby(["x", "y", "gene"]):
+            want.add(("u", z, int(x), int(y), int(g), int(rows["sum"].sum()), int(rows["max"].max())))
+    assert {tuple(r) for r in got.collect()} == want
