@@ -122,6 +122,8 @@ def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: s
     labels = label_groups(cells, groupby, group1, group2, max_cells, seed)
     ranks = "ranksum" in tests
     m = welch(effect((rank_moments if ranks else moments)(expr, labels, genes)))
+    # The tails are long expressions over few rows: these go to all cores.
+    m = m.repartition(cells.sparkSession.sparkContext.defaultParallelism, "gene")
     flat = F.when((F.col("n1") < 2) | (F.col("n2") < 2) | (F.col("nnz1") + F.col("nnz2") == 0), 1.0).when(F.col("mean1") == F.col("mean2"), 1.0).otherwise(0.0)
     null = F.lit(None).cast("double")
     m = m.withColumn("p_ttest", F.when(F.col("t").isNotNull(), t_p("t", "df")).otherwise(flat) if "ttest" in tests else null)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrille.operators.quantiles import percentiles
+
 
 def gene_profile(expr: DataFrame, cells: DataFrame) -> DataFrame:
     """For each gene over the given cells: nnz, min, mean and max of all values, zeros included."""
@@ -23,8 +25,7 @@ def value_counts(cells: DataFrame, column: str, k: int | None = None) -> DataFra
 
 def percentile_range(bin_expr: DataFrame, how: str = "mean", low: float = 0.0, high: float = 0.99) -> DataFrame:
     """For each gene the interpolated percentiles of its bin values over all zooms."""
-    p = F.percentile(how, F.array(F.lit(low), F.lit(high)))
-    return bin_expr.groupBy("gene").agg(p.alias("p")).select("gene", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return percentiles(bin_expr, ["gene"], how, {"low": low, "high": high})
 
 
 def cardinality(cells: DataFrame, columns: list[str], most: int = 2000) -> DataFrame:

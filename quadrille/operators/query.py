@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions import colors
 from quadrille.functions.coords import bin_bounds
 from quadrille.operators.pyramid import BIN
+from quadrille.operators.quantiles import nearest_rank, order_statistics
 
 
 def bins_at(counts: DataFrame, zoom: int, coord_key: str | None = None) -> DataFrame:
@@ -22,22 +23,17 @@ def gene_vector(counts: DataFrame, bin_expr: DataFrame, gene: str, zoom: int, ho
     return bins_at(counts, zoom).join(values, BIN, "left").select(*BIN, "cell_count", F.coalesce("v", F.lit(0.0)).alias("expression"))
 
 
-def at_nearest_rank(keys: list[str], value: str, keep: Column, percent: int = 80) -> Column:
-    """Whether a row is at rank ceil(percent * n / 100), counted in integers, among the n rows of its group that `keep` holds for."""
-    own = Window.partitionBy(*keys)
-    k, n = F.row_number().over(own.orderBy(keep.desc(), value)), F.sum(keep.cast("int")).over(own)
-    return keep & (k == F.floor((F.lit(percent) * n + 99) / 100))
-
-
 def gene_stats(counts: DataFrame, bin_expr: DataFrame, zoom: int, how: str = "mean") -> DataFrame:
     """For each gene: expressing_bins, total_bins, total_cells, mean over expressing bins, max, p80, range and auto_max."""
     totals = bins_at(counts, zoom).groupBy("coord_key").agg(F.count("*").alias("total_bins"), F.sum("cell_count").alias("total_cells"))
     keys, value = ["coord_key", "gene"], F.col(how)
-    rows = bin_expr.where(F.col("zoom") == zoom).withColumn("at_p80", at_nearest_rank(keys, how, value > 0))
+    rows = bin_expr.where(F.col("zoom") == zoom)
     stats = rows.groupBy(*keys).agg(
-        F.count_if(value > 0).alias("expressing_bins"), F.avg(F.when(value > 0, value)).alias("mean"), F.max(how).alias("top"), F.min(how).alias("low"), F.count("*").alias("stored"), F.max(F.when(F.col("at_p80"), value)).alias("p80")
+        F.count_if(value > 0).alias("expressing_bins"), F.avg(F.when(value > 0, value)).alias("mean"), F.max(how).alias("top"), F.min(how).alias("low"), F.count("*").alias("stored")
     )
-    out = stats.join(F.broadcast(totals), "coord_key")  # a row a coordinate system
+    ranks = stats.where("expressing_bins > 0").select(*keys, F.lit("p80").alias("name"), nearest_rank(F.col("expressing_bins"), 80).alias("rank"))
+    p80 = order_statistics(rows.where(value > 0), keys, how, ranks).select(*keys, F.col("value").alias("p80"))
+    out = stats.join(p80, keys, "left").join(F.broadcast(totals), "coord_key")  # a row a coordinate system
     absent = F.col("stored") < F.col("total_bins")
     top = F.when(absent, F.greatest("top", F.lit(0.0))).otherwise(F.col("top"))
     return out.select(

@@ -37,7 +37,7 @@ class Atlas:
 
     def __init__(self, spark: SparkSession, sf_dir: str, gene: str = "p_brand"):
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        self.spark, self.read = spark, read
+        self.spark, self.read, self.tables = spark, read, {}
         orders = read("orders")
         seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) / 1e6D")
         self.cells = orders.select(F.col("o_orderkey").alias("cell_id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
@@ -54,13 +54,19 @@ class Atlas:
         self.points = C.normalize(self.coords, self.params)
         self.binned = C.assign_bins(self.points, FINEST).select("coord_key", "cell_id", "bin_x", "bin_y")
 
+    def _kept(self, name: str, make) -> DataFrame:
+        """A table that a query may use several times, written at its first use."""
+        if name not in self.tables:
+            self.tables[name] = written(make(), name)
+        return self.tables[name]
+
     @property
     def counts(self):
-        return B.bin_counts(self.binned, FINEST)
+        return self._kept("counts", lambda: B.bin_counts(self.binned, FINEST))
 
     @property
     def bin_expr(self):
-        return B.bin_expression(self.expr, self.binned, FINEST, self.counts)
+        return self._kept("bin_expr", lambda: B.bin_expression(self.expr, self.binned, FINEST, self.counts))
 
     @property
     def bin_cat(self):
@@ -68,7 +74,7 @@ class Atlas:
 
     @property
     def categories(self):
-        return B.category_dictionary(self.cells, "priority")
+        return self._kept("categories", lambda: B.category_dictionary(self.cells, "priority"))
 
     @property
     def dominant(self):
