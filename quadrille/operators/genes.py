@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.operators.cells import sample
+from quadrille.functions.coords import finite
+from quadrille.operators.cells import sample, sample_key
+from quadrille.operators.quantiles import order_statistics
+from quadrille.sinks.scratch import written
 
-#: Places at which the mean-variance curve is fitted.
-KNOTS = 101
+#: Leaves of the tree on which the mean-variance curve is fitted, by shares of the genes and by lengths each.
+LEAVES = 128
+#: Cells that variable genes are computed from at most.
+HVG_CELLS = 200_000
 
 
 def gene_totals(expr: DataFrame, cells: DataFrame) -> DataFrame:
@@ -38,51 +43,86 @@ def random_genes(genes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return sample(genes, n, seed, "gene")
 
 
+def _vertices(points: DataFrame) -> DataFrame:
+    """v: the ends of the leaves of a tree over x, which is cut at equal shares of the points and at equal lengths."""
+    one = points.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = one.where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(LEAVES))))
+    ranks = at.select(F.lit(0).alias("all"), F.col("i").cast("string").alias("name"), F.floor(F.col("i") * (F.col("n") - 1) / LEAVES).alias("rank"))
+    shares = order_statistics(points.withColumn("all", F.lit(0)), ["all"], "x", ranks).select(F.col("value").alias("v"))
+    return shares.unionByName(at.select((F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / LEAVES).alias("v"))).distinct()
+
+
+def _solved(s: list[Column], t: list[Column]) -> tuple[Column, Column]:
+    """Value and slope at 0 of the weighted quadratic with moments s and t; a line or a mean where points are too few."""
+    det = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    full, line = det(s[0:3], s[1:4], s[2:5]), s[0] * s[2] - s[1] * s[1]
+    if_full, if_line = F.abs(full) > 1e-10 * s[0] * s[2] * s[4], F.abs(line) > 1e-10 * s[0] * s[2]
+    value = F.when(if_full, det([t[0], s[1], s[2]], [t[1], s[2], s[3]], [t[2], s[3], s[4]]) / full).when(if_line, (t[0] * s[2] - t[1] * s[1]) / line).otherwise(F.try_divide(t[0], s[0]))
+    slope = F.when(if_full, det([s[0], t[0], s[2]], [s[1], t[1], s[3]], [s[2], t[2], s[4]]) / full).when(if_line, (s[0] * t[1] - s[1] * t[0]) / line).otherwise(F.lit(0.0))
+    return value, slope
+
+
 def _curve(live: DataFrame, span: float) -> DataFrame:
     """live: gene, n, mean, var. Adds std, from a local quadratic fit of log variance on log mean.
 
-    The fit is made at KNOTS places, at equal shares of the genes in the order of their means: each weighs the nearest
-    share `span` of the genes (tricube) by grouped sums. Between two places it is a straight line."""
-    points = live.select("*", F.log10("mean").alias("x"), F.log10("var").alias("y"))
-    at = [i / (KNOTS - 1) for i in range(KNOTS)]
-    ends = [(q, min(max(q - span / 2, 0.0), 1 - span), min(max(q - span / 2, 0.0), 1 - span) + span) for q in at]
-    shares = sorted({v for e in ends for v in e})
-    place = {v: i for i, v in enumerate(shares)}
-    one = points.agg(F.percentile("x", F.array(*[F.lit(v) for v in shares])).alias("p"))  # a row a gene is read; a row comes out
-    near = F.array(*[F.struct(F.lit(i).alias("knot"), F.col("p")[place[q]].alias("x0"), F.col("p")[place[lo]].alias("lo"), F.col("p")[place[hi]].alias("hi")) for i, (q, lo, hi) in enumerate(ends)])
-    knots = one.where("p is not null").select(F.inline(near)).withColumn("h", F.greatest(F.col("x0") - F.col("lo"), F.col("hi") - F.col("x0"), F.lit(1e-12)))
-    near = points.join(F.broadcast(knots), F.col("x").between(F.col("lo"), F.col("hi")))  # KNOTS rows
-    d = F.col("x") - F.col("x0")
-    w = F.pow(F.greatest(1 - F.pow(F.abs(d) / F.col("h") * 0.999, 3), F.lit(0.0)), 3)
-    sums = near.groupBy("knot", "x0").agg(*[F.sum(w * F.pow(d, F.lit(k))).alias(f"s{k}") for k in range(5)], *[F.sum(w * F.pow(d, F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(3)])
-    s, t = [F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)]
-    three = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
-    full = three(s[0:3], s[1:4], s[2:5])
-    fit = F.when(F.abs(full) > 1e-12 * s[0] * s[2] * s[4], three([t[0], s[1], s[2]], [t[1], s[2], s[3]], [t[2], s[3], s[4]]) / full).otherwise(F.try_divide(t[0], s[0]))
-    line = sums.select("knot", "x0", fit.alias("y0"))
-    after = Window.orderBy("knot")  # KNOTS rows
-    line = line.select("x0", "y0", F.lead("x0").over(after).alias("x1"), F.lead("y0").over(after).alias("y1")).where("x1 is null or x1 > x0")
-    got = points.join(F.broadcast(line), (F.col("x") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("x") < F.col("x1"))))
-    y = F.col("y0") + F.coalesce((F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(0.0))
-    return got.select(*live.columns, F.pow(F.lit(10.0), y / 2).alias("std"))
-
-
-def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3) -> DataFrame:
-    """gene, score: variance of values standardised by the fitted mean-variance curve, clipped at sqrt(n).
-
-    If the largest value is over 100, values are first normalised to 1e4 a cell and log1p."""
-    top = expr.agg(F.max("value")).first()[0]
+    The fit is made at the vertices of a tree: each weighs the nearest share `span` of the genes (tricube) by grouped sums and gets a value and a
+    slope. Between two vertices the curve is the cubic that has both. A row a gene and vertex is counted, none is sorted in one task."""
+    points = written(live.select("*", F.log10("mean").alias("x"), F.log10("var").alias("y")), "log_means")
+    vertices = written(_vertices(points), "vertices")
+    near = points.crossJoin(F.broadcast(vertices)).select("v", "y", (F.col("x") - F.col("v")).alias("d"))  # 2 * LEAVES + 2 rows at most
+    wanted = F.greatest(F.floor(F.lit(span) * F.col("n_live") + 1e-5), F.lit(1)) - 1
+    ranks = vertices.crossJoin(F.broadcast(points.agg(F.count("*").alias("n_live")))).select("v", F.lit("h").alias("name"), wanted.alias("rank"))  # one row
+    width = order_statistics(near.withColumn("far", F.abs("d")), ["v"], "far", ranks).select("v", F.greatest("value", F.lit(1e-12)).alias("h"))
+    u = F.col("d") / F.col("h")
+    w = F.pow(1 - F.pow(F.abs(u), F.lit(3.0)), F.lit(3.0))
+    near = near.join(F.broadcast(width), "v").where(F.abs("d") <= F.col("h"))
+    powers = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
+    sums = near.groupBy("v", "h").agg(*[F.sum(w * k).alias(f"s{i}") for i, k in enumerate(powers)], *[F.sum(w * k * F.col("y")).alias(f"t{i}") for i, k in enumerate(powers[:3])])
+    value, slope = _solved([F.col(f"s{i}") for i in range(5)], [F.col(f"t{i}") for i in range(3)])
+    fit = sums.select("v", value.alias("f"), (slope / F.col("h")).alias("g"))
+    after = Window.orderBy("v")  # a row a vertex
+    cells = fit.select(F.col("v").alias("v0"), F.col("f").alias("f0"), F.col("g").alias("g0"), *[F.lead(x).over(after).alias(f"{x}1") for x in ("v", "f", "g")])
+    got = points.join(F.broadcast(cells), (F.col("x") >= F.col("v0")) & (F.col("v1").isNull() | (F.col("x") < F.col("v1"))))
+    length = F.col("v1") - F.col("v0")
+    z = (F.col("x") - F.col("v0")) / length
+    cubic = (1 + 2 * z) * (1 - z) * (1 - z) * F.col("f0") + z * (1 - z) * (1 - z) * length * F.col("g0") + z * z * (3 - 2 * z) * F.col("f1") + z * z * (z - 1) * length * F.col("g1")
+    return got.select(*live.columns, F.pow(F.lit(10.0), F.coalesce(cubic, F.col("f0")) / 2).alias("std"))
+
+
+def sample_cells(cells: DataFrame, most: int = HVG_CELLS, seed: int = 0) -> DataFrame:
+    """cell_id of `most` cells, those with the least keys; all cells if there are no more. The key that bounds them is selected, not sorted for."""
+    ids = cells.select("cell_id")
+    if ids.count() <= most:
+        return ids
+    key = F.conv(F.substring(sample_key(seed), 1, 13), 16, 10).cast("double")
+    keyed = written(ids.select(F.lit(0).alias("all"), "cell_id", key.alias("key")), "keys")
+    bound = order_statistics(keyed, ["all"], "key", keyed.sparkSession.createDataFrame([(0, "last", most - 1)], "all int, name string, rank long"))
+    return keyed.crossJoin(F.broadcast(bound.select("value"))).where(F.col("key") <= F.col("value")).select("cell_id")  # one row
+
+
+def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3, max_cells: int = HVG_CELLS, seed: int = 0) -> DataFrame:
+    """gene, score: variance of values standardised by the fitted mean-variance curve, clipped at sqrt(n); 0 for a gene that does not vary.
+
+    Over max_cells cells, a seeded sample of them is used. If the largest value is over 100, values are first normalised to 1e4 a cell and log1p.
+    If no curve can be fitted (under three genes vary, or a fitted value is not finite), the score is the variance over all cells."""
+    used = sample_cells(cells, max_cells, seed)
+    own = expr.join(used, "cell_id", "left_semi")
+    top = own.agg(F.max("value")).first()[0]
     if top is not None and top > 100:
-        expr = normalize_log1p(expr)
-    n = F.broadcast(cells.agg(F.count("*").cast("double").alias("n")))  # one row
-    sums = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(n)
-    stats = sums.select("gene", "n", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("var"))
-    fitted = _curve(stats.where("mean > 0 and var > 0"), span).select("gene", "n", "mean", "std")
-    rows = expr.join(fitted, "gene")
+        own = normalize_log1p(own)
+    n = F.broadcast(used.agg(F.count("*").cast("double").alias("n")))  # one row
+    sums = own.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(n)
+    stats = written(sums.select("gene", "n", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("var")), "gene_sums")
+    live = stats.where((F.col("mean") > 0) & (F.col("var") > 1e-12 * F.col("mean") * F.col("mean")))
+    fitted = written(_curve(live, span).select("gene", "n", "mean", "std"), "curve")
+    n_live, n_fit = live.count(), fitted.where(finite("std") & (F.col("std") > 0)).count()
+    if n_live < 3 or n_fit < n_live:
+        return gene_totals(expr, cells).select("gene", F.col("variance").alias("score"))
+    rows = own.join(fitted, "gene")
     clipped = F.least(F.col("value"), F.col("std") * F.sqrt("n") + F.col("mean"))
     agg = rows.groupBy("gene", "n", "mean", "std").agg(F.sum(clipped * clipped).alias("q"), F.sum(clipped).alias("s"))
-    score = (F.col("n") * F.col("mean") ** 2 + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((F.col("n") - 1) * F.col("std") ** 2)
-    return agg.select("gene", score.alias("score"))
+    score = (F.col("n") * F.col("mean") * F.col("mean") + F.col("q") - 2 * F.col("s") * F.col("mean")) / ((F.col("n") - 1) * F.col("std") * F.col("std"))
+    return stats.select("gene").join(agg.select("gene", score.alias("score")), "gene", "left").na.fill(0.0, ["score"])
 
 
 def ranked_genes(genes: DataFrame, expr: DataFrame, cells: DataFrame) -> DataFrame:

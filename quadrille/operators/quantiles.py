@@ -27,10 +27,12 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, targets: Data
 
     Values that are null or NaN do not count; a rank that the group does not have gives no row. Rows are read once a round: give a
     written table."""
+    given, keys = keys, [f"key_{i}" for i in range(len(keys))]  # names that no column of this function has
+    named = [F.col(x).alias(y) for x, y in zip(given, keys, strict=True)]
     v, group = F.col("v"), [*keys, "name"]
-    rows = rows.select(*keys, F.col(value).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    rows = rows.select(*named, F.col(value).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
     ends = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("c"))
-    live = written(targets.select(*group, F.col("rank").cast("long").alias("rank")).join(ends, keys).where("rank >= 0 and rank < c"), "ranks")
+    live = written(targets.select(*named, "name", F.col("rank").cast("long").alias("rank")).join(ends, keys).where("rank >= 0 and rank < c"), "ranks")
     wide = (F.col("c") > few) & (F.col("lo") < F.col("hi"))
     while not live.where(wide).isEmpty():
         near = rows.join(live.where(wide).drop("c"), keys).where(v.between(F.col("lo"), F.col("hi")))
@@ -39,7 +41,8 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, targets: Data
         live = written(live.where(~wide).unionByName(_reached(counts, group, "part").drop("part")), "ranks")
     one = F.col("lo") == F.col("hi")
     counts = rows.join(live.where(~one).drop("c"), keys).where(v.between(F.col("lo"), F.col("hi"))).groupBy(*group, "rank", "v").agg(F.count("*").alias("c"))
-    return live.where(one).select(*group, F.col("lo").alias("value")).unionByName(_reached(counts, group, "v").select(*group, v.alias("value")))
+    out = live.where(one).select(*group, F.col("lo").alias("value")).unionByName(_reached(counts, group, "v").select(*group, v.alias("value")))
+    return out.select(*[F.col(y).alias(x) for x, y in zip(given, keys, strict=True)], "name", "value")
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], few: int = FEW) -> DataFrame:

@@ -255,7 +255,7 @@ def normalize_log1p(s, d):
 
 def hvg_scores(s, d):
     a = Atlas(s, d, "part")
-    return G.variable_genes(a.expr, a.cells)
+    return G.variable_genes(written(a.expr, "expr"), a.cells).withColumns(r6("score"))
 
 
 def _de(s, d, gene="p_brand"):
@@ -546,6 +546,21 @@ full_de AS (SELECT '0' AS comparison_id, gene, round(mean1, 9) AS mean1, round(m
   round(least(min(p_ttest * n / kt) OVER (ORDER BY kt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 9) AS fdr_ttest, round(p_ranksum, 9) AS p_ranksum,
   round(least(min(p_ranksum * n / kr) OVER (ORDER BY kr DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 9) AS fdr_ranksum FROM rp)"""
     tot = ", tot AS (SELECT gene, sum(value) AS total, count(*) FILTER (value > 0) AS n_cells, sum(value * value) / (SELECT count(*) FROM c) - (sum(value) / (SELECT count(*) FROM c)) ** 2 AS variance FROM ep GROUP BY gene)"
+    leaves, det = G.LEAVES, lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+    hvg = f""",
+nc AS (SELECT count(*)::DOUBLE AS nn FROM c),
+mv AS (SELECT gene, nn, sum(value) / nn AS mean, (sum(value * value) - sum(value) * sum(value) / nn) / (nn - 1) AS var FROM ep, nc GROUP BY gene, nn),
+pt AS (SELECT *, log10(mean) AS x, log10(var) AS y, row_number() OVER (ORDER BY mean, gene) - 1 AS k, count(*) OVER () AS m FROM mv WHERE mean > 0 AND var > 1e-12 * mean * mean),
+vx AS (SELECT x AS v FROM pt, range({leaves + 1}) t(i) WHERE k = i * (m - 1) // {leaves} UNION SELECT lo + i * (hi - lo) / {leaves} FROM (SELECT min(x) AS lo, max(x) AS hi FROM pt), range({leaves + 1}) t(i)),
+dv AS (SELECT v, y, x - v AS d, row_number() OVER (PARTITION BY v ORDER BY abs(x - v)) AS r, m FROM pt, vx),
+hv AS (SELECT v, greatest(max(abs(d)) FILTER (r = greatest(floor(0.3 * m + 1e-5), 1)), 1e-12) AS h FROM dv GROUP BY v),
+wv AS (SELECT v, h, d / h AS u, (1 - abs(d / h) ** 3) ** 3 AS w, y FROM dv JOIN hv USING (v) WHERE abs(d) <= h),
+sv AS (SELECT v, h, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM wv GROUP BY v, h),
+fv AS (SELECT v, {det(["t0", "s1", "s2"], ["t1", "s2", "s3"], ["t2", "s3", "s4"])} / {det(["s0", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"])} AS f,
+  {det(["s0", "t0", "s2"], ["s1", "t1", "s3"], ["s2", "t2", "s4"])} / {det(["s0", "s1", "s2"], ["s1", "s2", "s3"], ["s2", "s3", "s4"])} / h AS g FROM sv),
+cv AS (SELECT v AS v0, f AS f0, g AS g0, lead(v) OVER o AS v1, lead(f) OVER o AS f1, lead(g) OVER o AS g1 FROM fv WINDOW o AS (ORDER BY v)),
+zv AS (SELECT pt.*, cv.*, v1 - v0 AS w, (x - v0) / (v1 - v0) AS z FROM pt JOIN cv ON x >= v0 AND (v1 IS NULL OR x < v1)),
+sd AS (SELECT gene, nn, mean, 10.0 ** (coalesce((1 + 2 * z) * (1 - z) * (1 - z) * f0 + z * (1 - z) * (1 - z) * w * g0 + z * z * (3 - 2 * z) * f1 + z * z * (z - 1) * w * g1, f0) / 2) AS std FROM zv)"""
     order_n, tile_n = 2 ** (ZOOM - 0), 2 ** (FINEST - 2)
     dot = 128 / order_n
     hits = """WITH h AS (SELECT 'db' || (l_suppkey % 3) AS db_path, p_brand AS gene, l_discount * 1000 AS pident, l_quantity AS length, l_tax * 1e-6 AS evalue, l_extendedprice / 100 AS bitscore FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -667,6 +682,11 @@ FROM s LEFT JOIN (SELECT cell_id, value FROM e WHERE gene = '{BRAND}') USING (ce
   UNION ALL (SELECT gene, 2, total FROM tot ORDER BY total DESC, gene LIMIT 60)) GROUP BY gene) ORDER BY b, gene LIMIT 60)""",
             tot,
         ),
+        "hvg_scores": q(
+            """SELECT gene, round(coalesce(score, 0), 6) AS score FROM mv LEFT JOIN (
+  SELECT gene, (nn * mean * mean + sum(least(value, std * sqrt(nn) + mean) ** 2) - 2 * sum(least(value, std * sqrt(nn) + mean)) * mean) / ((nn - 1) * std * std) AS score FROM ep JOIN sd USING (gene) GROUP BY gene, nn, mean, std) USING (gene)""",
+            hvg,
+        ),
         "normalize_log1p": q("SELECT cell_id, gene, round(ln(1 + value / sum(value) OVER (PARTITION BY cell_id) * 10000), 6) AS value FROM e"),
         "de_moments": q("SELECT gene, n1, n2, sum1, sum2, sumsq1, sumsq2, nnz1, nnz2 FROM m", de),
         "de_welch_t_df": q(
