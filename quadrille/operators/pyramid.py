@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.coords import finite, parent
+from quadrille.operators.index import dense_index
 
 BIN = ["coord_key", "zoom", "bin_x", "bin_y"]
 
@@ -81,13 +82,13 @@ def bin_cells(binned: DataFrame, finest: int, zoom: int) -> DataFrame:
 
 def bin_index(bins: DataFrame) -> DataFrame:
     """Adds bin_index: rank among the bins with cells of its coordinate system and zoom."""
-    return bins.withColumn("bin_index", F.row_number().over(Window.partitionBy("coord_key", "zoom").orderBy("bin_x", "bin_y")) - 1)
+    return dense_index(bins, ["bin_x", "bin_y"], ["coord_key", "zoom"], "bin_index").withColumn("bin_index", F.col("bin_index").cast("int"))
 
 
 def category_dictionary(cells: DataFrame, column: str) -> DataFrame:
     """category, category_index: the values in order, from 0; null is `nan`."""
     values = cells.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("category")).distinct()
-    return values.select(F.lit(column).alias("column"), "category", (F.row_number().over(Window.partitionBy(F.lit(column)).orderBy("category")) - 1).alias("category_index"))
+    return dense_index(values, ["category"], name="category_index").select(F.lit(column).alias("column"), "category", F.col("category_index").cast("int").alias("category_index"))
 
 
 def dominant(bin_cat: DataFrame, categories: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.functions.coords import finite
+from quadrille.operators.index import number_parts, row_in_task
+from quadrille.sinks.scratch import written
+
 TABLES = {"cells": {"cell_id"}, "genes": {"gene"}, "expr": {"cell_id", "gene", "value"}, "coords": {"coord_key", "cell_id", "x", "y"}}
 #: Usual names of the cell key in metadata files. Fixed values.
 KEY_NAMES = ("barcode", "cell", "cell_id", "cells", "cellid", "cell_name", "barcodes")
@@ -14,14 +18,14 @@ OVERLAP = 0.9
 
 
 def load_atlas(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The four tables of an atlas folder, with their columns checked; stored zeros are dropped."""
+    """The four tables of an atlas folder, with their columns checked; stored zeros and values that are not finite are dropped."""
     out = {}
     for name, needed in TABLES.items():
         df = spark.read.parquet(f"{path}/{name}")
         if missing := needed - set(df.columns):
             raise ValueError(f"{name} lacks {', '.join(sorted(missing))}")
         out[name] = df
-    out["expr"] = out["expr"].where("value <> 0")
+    out["expr"] = out["expr"].where((F.col("value") != 0) & finite("value"))
     return out
 
 
@@ -43,58 +47,70 @@ def rename_genes(genes: DataFrame, column: str) -> DataFrame:
     return named.select(F.coalesce("free_name", "gene").alias("gene"), *[x for x in genes.columns if x != "gene"], "gene_original")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, block (the byte where its part of the file starts), line (grows by one inside a block)."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), row_in_task().alias("line"))
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """A line a name: position from 0, name."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()  # line order is what counts here
-    return rows.toDF("name string, position long").select("position", "name")
+    """A line a name: position from 0, name. Lines are counted by blocks of the file, and each block behind those before it."""
+    return number_parts(written(_lines(spark, path), "names"), "block", "line", [], "position").select("position", F.col("value").alias("name"))
 
 
 def read_matrix_market(spark: SparkSession, prefix: str) -> DataFrame:
-    """<prefix>.mtx (genes by cells, from 1; also .gz) with .rows and .cols. Returns cell_id (position), cell_name, gene, value."""
+    """<prefix>.mtx (genes by cells, from 1; also .gz) with .rows and .cols. Returns cell_id (position), cell_name, gene, value.
+
+    Values that are zero or not finite are dropped."""
     from pyspark.errors import AnalysisException
 
     try:
-        lines = spark.read.text(f"{prefix}.mtx")
+        lines = _lines(spark, f"{prefix}.mtx")
     except AnalysisException:
-        lines = spark.read.text(f"{prefix}.mtx.gz")
-    parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(parts.alias("p"))
-    head = F.to_json(F.array(*[F.element_at("p", i).cast("long") for i in (1, 2, 3)]))
-    size = [int(x) for x in lines.where(~F.col("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("p")).select(head).first()[0].strip("[]").split(",")]
+        lines = _lines(spark, f"{prefix}.mtx.gz")
+    rows = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("p", F.split(F.trim("value"), r"\s+"))
+    head = rows.orderBy("block", "line").limit(1).first()
+    size = [int(x) for x in head["p"][:3]]
     genes, cells = read_names(spark, f"{prefix}.rows"), read_names(spark, f"{prefix}.cols")
     if (genes.count(), cells.count()) != (size[0], size[1]):
         raise ValueError(f"the matrix is {size[0]} x {size[1]}, but the name files differ")
-    first = F.struct(*[F.element_at("p", i) for i in (1, 2, 3)]) == F.struct(*[F.lit(str(x)) for x in size])
-    numbered = rows.withColumn("is_head", first & (F.monotonically_increasing_id() == 0))
-    coo = numbered.where(~F.col("is_head")).select((F.element_at("p", 1).cast("long") - 1).alias("g"), (F.element_at("p", 2).cast("long") - 1).alias("cell_id"), F.element_at("p", 3).cast("double").alias("value"))
-    out = coo.where("value <> 0").join(genes.select(F.col("position").alias("g"), F.col("name").alias("gene")), "g")
+    coo = rows.where((F.col("block") != head["block"]) | (F.col("line") != head["line"]))
+    coo = coo.select((F.element_at("p", 1).cast("long") - 1).alias("g"), (F.element_at("p", 2).cast("long") - 1).alias("cell_id"), F.element_at("p", 3).cast("double").alias("value"))
+    out = coo.where((F.col("value") != 0) & finite("value")).join(genes.select(F.col("position").alias("g"), F.col("name").alias("gene")), "g")
     return out.join(cells.select(F.col("position").alias("cell_id"), F.col("name").alias("cell_name")), "cell_id").select("cell_id", "cell_name", "gene", "value")
 
 
-def _match_ratio(table: DataFrame, column: str, cells: DataFrame) -> float:
-    """Share of the cells that a column names."""
-    names = table.select(F.col(column).cast("string").alias("cell_name")).distinct()
-    row = cells.join(names.withColumn("hit", F.lit(1)), "cell_name", "left").agg(F.count("hit"), F.count("*")).first()
-    return row[0] / row[1] if row[1] else 0.0
+def match_ratios(table: DataFrame, columns: list[str], cells: DataFrame) -> dict[str, float]:
+    """Share of the cells that each column names, in one job: all columns as rows, one join."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("cell_name")) for c in columns])
+    named = table.select(F.inline(pairs)).where("cell_name is not null").distinct()
+    every = cells.select(F.lit(None).cast("string").alias("column"), "cell_name")
+    rows = named.join(cells.select("cell_name"), "cell_name").select("column", "cell_name").unionByName(every)
+    found = {r["column"]: r["n"] for r in rows.groupBy("column").agg(F.count("*").alias("n")).collect()}  # a row a column
+    total = found.get(None, 0)
+    return {c: found.get(c, 0) / total if total else 0.0 for c in columns}
 
 
 def attach_metadata(spark: SparkSession, cells: DataFrame, path: str, key: str | None = None) -> DataFrame:
     """Left join a metadata CSV: on the given column, a usual name, or the first column that names over 90 % of the cells."""
     table = spark.read.csv(path, header=True)
     usual = [c for c in table.columns if c.lower() in KEY_NAMES]
-    if key is None:
-        key = next((c for c in [*usual, *table.columns] if c in usual or _match_ratio(table, c, cells) > OVERLAP), None)
+    if key is None and usual:
+        key = usual[0]
+    elif key is None:
+        ratios = match_ratios(table, table.columns, cells)
+        key = next((c for c in table.columns if ratios[c] > OVERLAP), None)
     if key is None or key not in table.columns:
         raise ValueError("no column names the cells")
     rest = [c for c in table.columns if c != key and c not in cells.columns]
-    return cells.join(table.select(F.col(key).alias("cell_name"), *rest).dropDuplicates(["cell_name"]), "cell_name", "left")
+    named = table.select(F.col(f"`{key}`").alias("cell_name"), *[F.col(f"`{c}`") for c in rest])
+    return cells.join(named.dropDuplicates(["cell_name"]), "cell_name", "left")
 
 
 def attach_embedding(spark: SparkSession, cells: DataFrame, path: str, name: str) -> DataFrame | None:
     """coord_key, cell_id, x, y from a CSV (cell, two or more numbers); None if under 90 % of the cells are in it."""
     table = spark.read.csv(path, header=True)
     key, x, y = table.columns[:3]
-    if _match_ratio(table, key, cells) < OVERLAP:
+    if match_ratios(table, [key], cells)[key] < OVERLAP:
         return None
     found = table.select(F.col(key).alias("cell_name"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     label = EMBEDDINGS.get(name.lower(), f"X_{name}")
