@@ -41,13 +41,22 @@ def bin_counts(binned: DataFrame, finest: int) -> DataFrame:
     return coarsen(fine, finest, [], {"cell_count": F.sum})
 
 
-def bin_expression(expr: DataFrame, binned: DataFrame, finest: int, counts: DataFrame, genes: DataFrame | None = None) -> DataFrame:
-    """sum, max (not below 0) and mean over all cells of the bin, by gene; absent genes are 0 and have no row."""
+def bin_sums(expr: DataFrame, binned: DataFrame, finest: int, genes: DataFrame | None = None) -> DataFrame:
+    """sum and max (not below 0) of a bin by gene, at all zooms; absent genes are 0 and have no row."""
     if genes is not None:
         expr = expr.join(genes.select("gene"), "gene", "left_semi")
     fine = expr.join(binned, "cell_id").groupBy("coord_key", "bin_x", "bin_y", "gene").agg(F.sum("value").alias("sum"), F.greatest(F.max("value"), F.lit(0.0)).alias("max"))
-    out = coarsen(fine, finest, ["gene"], {"sum": F.sum, "max": F.max})
-    return out.join(counts, BIN).withColumn("mean", F.col("sum") / F.col("cell_count"))
+    return coarsen(fine, finest, ["gene"], {"sum": F.sum, "max": F.max})
+
+
+def with_means(sums: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds cell_count and the mean over all cells of the bin."""
+    return sums.join(counts, BIN).withColumn("mean", F.col("sum") / F.col("cell_count"))
+
+
+def bin_expression(expr: DataFrame, binned: DataFrame, finest: int, counts: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """sum, max (not below 0) and mean over all cells of the bin, by gene; absent genes are 0 and have no row."""
+    return with_means(bin_sums(expr, binned, finest, genes), counts)
 
 
 def group_expression(expr: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.coords import parent, z_key
 from quadrille.operators.cells import BLOCK_CELLS
+from quadrille.sinks.scratch import scratch_path, written
 
 #: Parts of tables that are read by place or by gene, small enough for statistics to leave most out: bytes of a row group, rows of a page.
 FINE_PARTS = {"parquet.block.size": 4 << 20, "parquet.page.row.count.limit": 2000}
@@ -42,23 +43,24 @@ def write_cells(cells: DataFrame, binned: DataFrame, finest: int, path: str, reu
     key = F.lit(default_key) if default_key is not None else F.col("first_key")
     one = binned.agg(F.min("coord_key").alias("first_key"))  # one row
     own = binned.crossJoin(F.broadcast(one)).where(F.col("coord_key") == key)
-    _by_place(cells.join(_places(own, finest).drop("coord_key"), "cell_id", "left"), []).mode("ignore" if reuse else "overwrite").parquet(path)
+    lay_out(cells.join(places(own, finest).drop("coord_key"), "cell_id", "left"), path, reuse=reuse)
 
 
 def write_places(binned: DataFrame, finest: int, path: str, reuse: bool = False) -> None:
     """The same places of the cells in all coordinate systems: a row a cell and system, laid out by place."""
-    _by_place(_places(binned, finest), ["coord_key"]).mode("ignore" if reuse else "overwrite").partitionBy("coord_key").parquet(path)
+    lay_out(places(binned, finest), path, ["coord_key"], reuse)
 
 
-def _places(binned: DataFrame, finest: int) -> DataFrame:
+def places(binned: DataFrame, finest: int) -> DataFrame:
+    """Normalised coordinates, z_key, and the bins at every zoom."""
     zooms = [c for z in range(finest + 1) for c in (parent("bin_x", finest - z).alias(f"bin_z{z}_x"), parent("bin_y", finest - z).alias(f"bin_z{z}_y"))]
     return binned.select("coord_key", "cell_id", F.col("nx").alias("x_normalized"), F.col("ny").alias("y_normalized"), z_key().alias("z_key"), *zooms)
 
 
-def _by_place(rows: DataFrame, first: list[str]) -> DataFrameWriter:
-    """A writer of rows in ranges of z_key, in small row groups: a box is a few ranges of it."""
-    keys = [*first, "z_key", "cell_id"]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**FINE_PARTS)
+def lay_out(rows: DataFrame, path: str, folders: list[str] | None = None, reuse: bool = False) -> None:
+    """Write rows in ranges of z_key, in small row groups, so that a box is a few ranges of the table; a folder for each value of `folders`."""
+    keys = [*(folders or []), "z_key", "cell_id"]
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.options(**FINE_PARTS).mode("ignore" if reuse else "overwrite").partitionBy(*(folders or [])).parquet(path)
 
 
 def write_genes(genes: DataFrame, selected: DataFrame, path: str, reuse: bool = False) -> None:
@@ -68,10 +70,40 @@ def write_genes(genes: DataFrame, selected: DataFrame, path: str, reuse: bool =
 
 
 def append_results(result: DataFrame, path: str, finished_at: str) -> None:
-    result.withColumn("finished_at", F.lit(finished_at).cast("timestamp")).write.mode("append").partitionBy("comparison_id").parquet(path)
+    """Results lie in a folder a day and comparison, so that old days can be dropped as folders."""
+    at = F.lit(finished_at).cast("timestamp")
+    result.withColumns({"finished_at": at, "finished_day": at.cast("date")}).write.mode("append").partitionBy("finished_day", "comparison_id").parquet(path)
 
 
 def drop_old_results(spark: SparkSession, path: str, to: str, now: str, days: int) -> None:
     """Write the results of the last `days` days to a new folder; the old one stays as it is."""
     old = spark.read.parquet(path)
-    old.where(F.col("finished_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).write.mode("overwrite").partitionBy("comparison_id").parquet(to)
+    old.where(F.col("finished_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).write.mode("overwrite").partitionBy("finished_day", "comparison_id").parquet(to)
+
+
+def expire_results(spark: SparkSession, path: str, now: str, days: int) -> list[str]:
+    """Drop results older than `days` days where they lie. Folders of older days go, the day that the limit falls on is written
+    anew, and files of later days are not touched. Returns the days that went."""
+    limit = spark.range(1).select((F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).alias("t")).select("t", F.col("t").cast("date").cast("string").alias("day")).first()
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {f.getPath().getName().partition("=")[2]: f.getPath() for f in fs.listStatus(top) if f.getPath().getName().startswith("finished_day=")}
+    gone = sorted(day for day in folders if day < limit["day"])
+    for day in gone:
+        fs.delete(folders[day], True)
+    if limit["day"] in folders:
+        rows = spark.read.option("basePath", path).parquet(folders[limit["day"]].toString())
+        late = F.col("finished_at") >= F.lit(limit["t"])
+        if not rows.where(~late).isEmpty():
+            # By comparison, as these are the folders that change. They are read to the end before they are replaced.
+            old = [r[0] for r in rows.where(~late).select("comparison_id").distinct().collect()]
+            if scratch_path(spark, "results") is None:
+                raise ValueError("spark.checkpoint.dir must name a shared folder, where rows of the day of the limit wait")
+            kept = written(rows.where(late & F.col("comparison_id").isin(*old)), "results")
+            left = {r[0] for r in kept.select("comparison_id").distinct().collect()}
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("finished_day", "comparison_id").parquet(path)
+            for f in fs.listStatus(folders[limit["day"]]):
+                name = f.getPath().getName().partition("=")[2]
+                if name in map(str, old) and name not in map(str, left):
+                    fs.delete(f.getPath(), True)
+    return gone

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def read_datasets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The stored datasets, in the order of their paths: a row a dataset, as the functions below take them."""
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/datasets").withColumn("position", F.lit(i)) for i, p in enumerate(paths)])
+    default = F.min(F.when(F.col("is_default"), F.col("coord_key"))).alias("default_coord")
+    same = [F.first(x).alias(x) for x in ("levels", "tile_size", "n_genes", "categories", "numeric")]
+    return rows.groupBy("dataset_id", "position").agg(default, F.sort_array(F.collect_set("coord_key")).alias("coord_keys"), *same)
+
+
+def read_genes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """dataset_id, gene, is_selected, selected_index of all stored datasets."""
+    names = ["dataset_id", "gene", "is_selected", "selected_index"]
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{p}/genes").select(*names) for p in paths])
+
+
 def resolve_coord(datasets: DataFrame, asked: str | None = None) -> DataFrame:
     """datasets: dataset_id, position, default_coord, coord_keys. Adds coord_key: the asked one if there, else the default, else any."""
     has = lambda c: F.when(F.array_contains("coord_keys", c), c)
