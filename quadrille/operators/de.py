@@ -115,8 +115,11 @@ def bh(rows: DataFrame, p: str, out: str, group: str = "comparison_id") -> DataF
     return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.min(F.col(p) * F.col("n") / F.col("r")).over(down), F.lit(1.0)))).drop("r", "n")
 
 
-def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: str, group1: list[str], group2: list[str] | None = None, tests=("ttest", "ranksum"), max_cells: int | None = 2000, seed: int = 0, comparison_id: str = "0") -> DataFrame:
-    """gene, means, pcts, log2fc, p and FDR of the asked tests (null for others). max_cells None takes every cell."""
+def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: str, group1: list[str], group2: list[str] | None = None, tests=("ttest", "ranksum"), max_cells: int | None = 2000, seed: int = 0, comparison_id: str = "0", guard: float = 0.0) -> DataFrame:
+    """gene, means, pcts, log2fc, p and FDR of the asked tests (null for others). max_cells None takes every cell.
+
+    guard: p_ttest is 1 where the denominator of the degrees of freedom is below it; 1e-15 gives what the surveyed system gives for
+    small variances of large groups, although their t is valid. 0 computes them."""
     if max_cells is not None:
         max_cells = max(1, min(max_cells, 20_000))
     labels = label_groups(cells, groupby, group1, group2, max_cells, seed)
@@ -126,7 +129,10 @@ def differential(cells: DataFrame, expr: DataFrame, genes: DataFrame, groupby: s
     m = m.repartition(cells.sparkSession.sparkContext.defaultParallelism, "gene")
     flat = F.when((F.col("n1") < 2) | (F.col("n2") < 2) | (F.col("nnz1") + F.col("nnz2") == 0), 1.0).when(F.col("mean1") == F.col("mean2"), 1.0).otherwise(0.0)
     null = F.lit(None).cast("double")
-    m = m.withColumn("p_ttest", F.when(F.col("t").isNotNull(), t_p("t", "df")).otherwise(flat) if "ttest" in tests else null)
+    a, b = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
+    small = F.coalesce(F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1) < guard, F.lit(False))
+    p = F.when(F.col("t").isNull(), flat).when(small, 1.0).otherwise(t_p("t", "df"))
+    m = m.withColumn("p_ttest", p if "ttest" in tests else null)
     if ranks:
         m = _mann_whitney(m).withColumn("p_ranksum", F.when(F.col("z").isNull(), 1.0).otherwise(normal_p("z")))
     else:

@@ -79,6 +79,9 @@ def test_tests(spark):
     assert out["none"]["p_ttest"] == 1 and out["none"]["log2fc"] == 0 and out["x"]["p_ttest"] == pytest.approx(0.0213, abs=1e-4)
     with pytest.raises(ValueError):
         D.label_groups(cells, "g", ["a"], ["a", "b"])
+    tiny = expr.withColumn("value", 5 + F.col("value") * 1e-4)
+    p = [{y["gene"]: y["p_ttest"] for y in D.differential(cells, tiny, genes, "g", ["a"], guard=g).collect()}["x"] for g in (0.0, 1e-15)]
+    assert p[0] == pytest.approx(out["x"]["p_ttest"], rel=1e-4) and p[1] == 1
 
 
 def test_tails(spark):
