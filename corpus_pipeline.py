@@ -39,9 +39,9 @@ def _keyed(docs: DataFrame, key: Column) -> DataFrame:
     return docs.select(key.alias("row_key"), F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row"))
 
 
-def _as_ids(docs: DataFrame, key: Column) -> DataFrame:
+def _as_ids(docs: DataFrame, key: Column | None = None) -> DataFrame:
     """The rows for an operator, with their keys as doc_id."""
-    return docs.select(key.alias("doc_id"), "text", "lang", "source")
+    return docs.select((_key(docs) if key is None else key).alias("doc_id"), "text", "lang", "source")
 
 
 def _left_out(docs: DataFrame, key: Column, marks: DataFrame) -> DataFrame:
