@@ -40,8 +40,8 @@ TEXT_WEIGHT = 40.0
 ODD = 0.3
 #: Chance that a declaration, or a country suffix, is wrong; rows that a parent's prior counts for.
 DECLARED_WRONG, SUFFIX_WRONG, PRIOR_ROWS = 0.1, 0.3, 20.0
-#: Least posterior of a row that is kept; share of a row below which it adds nothing to its host's prior.
-LEAST, LEAST_MASS = 0.5, 1e-6
+#: Least posterior of a row that is kept.
+LEAST = 0.5
 #: Country suffixes and the main language there. Fixed values.
 SUFFIX_LANGUAGE = {"at": "de", "ar": "es", "au": "en", "br": "pt", "cl": "es", "cn": "zh", "co": "es", "de": "de", "es": "es", "fr": "fr", "gb": "en", "ie": "en", "it": "it", "jp": "ja", "kr": "ko", "mx": "es", "nl": "nl", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "ru": "ru", "uk": "en", "us": "en"}
 
@@ -153,7 +153,7 @@ def identify(rows: DataFrame, langs: list[str], logp: np.ndarray, keys: str = "d
 
     # Sums of posteriors at each level, from the level below, a row a class; empty texts know nothing.
     n_classes, site = len(classes), ["suffix", "domain", "host"]
-    mass = scored.where("n_trigrams > 0").select(*site, F.posexplode("text_post").alias("k", "p")).where(F.col("p") > LEAST_MASS)
+    mass = scored.where("n_trigrams > 0").select(*site, F.posexplode("text_post").alias("k", "p"))
     hosts = c.cut(mass.groupBy(*site, "k").agg(F.sum("p").alias("s")), "language_hosts")
     vector = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
 

@@ -35,7 +35,7 @@ ROUNDS, SURE = 3, 100
 LEAST_LABELS = 10
 META = 160
 _STATS = 8
-_FIELDS = "doc_id long, quality int, toxic int, stands double, words array<bigint>, stats array<float>, meta array<int>"
+_FIELDS = "row long, doc_id long, quality int, toxic int, stands double, words array<bigint>, stats array<float>, meta array<int>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>@{}[]\\^~_=+")] = True
 
@@ -77,7 +77,7 @@ def _collect(batches):
     for b in c.text_slices(batches):
         h, codes, off, stats, meta = _features(b)
         words = [c.as_long(np.unique(h[codes[x:y]])) for x, y in zip(off[:-1], off[1:], strict=True)]
-        yield pa.record_batch([*(b.column(x) for x in ("doc_id", *TARGETS, "stands")), pa.array(words, pa.list_(pa.int64())), pa.array(list(stats), pa.list_(pa.float32())), pa.array([list(m) for m in meta], pa.list_(pa.int32()))], names=[f.split()[0] for f in _FIELDS.split(", ")])
+        yield pa.record_batch([*(b.column(x) for x in ("row", "doc_id", *TARGETS, "stands")), pa.array(words, pa.list_(pa.int64())), pa.array(list(stats), pa.list_(pa.float32())), pa.array([list(m) for m in meta], pa.list_(pa.int32()))], names=[f.split()[0] for f in _FIELDS.split(", ")])
 
 
 class Sparse:
@@ -181,19 +181,27 @@ def _constant(t: str, n0: int, n1: int) -> float | None:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, seed: int = 0) -> dict:
     """docs: doc_id, text, source, lang, n_chars. labels: doc_id, quality, toxic."""
     labels = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in TARGETS])
-    labels = c.cut(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "cotrain_labels")
-    at = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit("cotrain")), F.lit(1 << 40))
+    # Rows are drawn, not ids, which many rows may share; repeated rows are one.
+    name = F.xxhash64("doc_id", "text", "source", "lang", "n_chars", F.lit(seed), F.lit("cotrain"))
+    docs = docs.withColumn("drawn_by", name)
+    names = c.cut(docs.groupBy("doc_id", "drawn_by").agg(F.count("*").alias("n")), "cotrain_names")
+    labels = c.cut(names.select("doc_id", "drawn_by").join(labels, "doc_id"), "cotrain_labels")
+    at = F.pmod(F.col("drawn_by"), F.lit(1 << 40))
     limit = lambda share: F.lit(int(share * (1 << 40)))
     strata = [(t, k) for t in TARGETS for k in (0, 1)]
     n = labels.agg(F.count(F.coalesce(*TARGETS)).alias("rows"), *[F.count_if(F.col(t) == k).alias(f"{t}{k}") for t, k in strata]).first().asDict()
     share = _rates({(t, k): n[f"{t}{k}"] for t, k in strata}, n["rows"], max_labelled)
     # One draw a row: it is in if any of its kinds takes it, so its chance is the largest of theirs.
     chance = F.greatest(*[F.when(F.col(t) == k, limit(share[t, k])).otherwise(F.lit(0).cast("long")) for t, k in strata])
-    some = labels.withColumn("chance", chance).where(at < F.col("chance")).select("doc_id", *TARGETS, ((1 << 40) / F.col("chance")).alias("stands"))
-    known = docs.join(F.broadcast(some), "doc_id")  # about max_labelled rows
-    pool = docs.where(at < limit(min(1.0, max_pool / max(docs.count(), 1)))).join(labels, "doc_id", "left_anti")
+    some = labels.withColumn("chance", chance).where(at < F.col("chance")).select("doc_id", "drawn_by", *TARGETS, ((1 << 40) / F.col("chance")).alias("stands"))
+    # About max_labelled and max_pool rows are drawn; each goes on once.
+    known = docs.join(F.broadcast(some), ["doc_id", "drawn_by"])
+    open_ = names.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
+    pool = open_.where(at < limit(min(1.0, max_pool / max(names.count(), 1)))).select("drawn_by")
+    pool = docs.join(F.broadcast(pool.distinct()), "drawn_by", "left_semi")
     pool = pool.select("*", *[F.lit(None).cast("int").alias(t) for t in TARGETS], F.lit(1.0).alias("stands"))
-    sample = c.cut(known.union(pool.select(*known.columns)).mapInArrow(c.tidy(_collect), _FIELDS).withColumn("row", F.monotonically_increasing_id()), "cotrain_sample")
+    known = known.unionByName(pool).dropDuplicates(["drawn_by"]).withColumnRenamed("drawn_by", "row")
+    sample = c.cut(known.mapInArrow(c.tidy(_collect), _FIELDS), "cotrain_sample")
     light = sample.select("row", "doc_id", *TARGETS, "stands").toPandas().sort_values(["doc_id", "row"], kind="stable")  # numbers only, a row a drawn one
     y = {t: light[t].fillna(-1).to_numpy().astype(int) for t in TARGETS}
     weight, place = light["stands"].to_numpy(), {r: i for i, r in enumerate(light["row"].tolist())}

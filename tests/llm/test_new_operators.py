@@ -192,3 +192,27 @@ def test_empty_tables(spark, folder):
 def test_given_tables(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert as_nodes(queries.op12_prefix_trie(spark, SF).collect()) == brute.trie(brute.rebuilt(rows))
+
+
+@pytest.mark.parametrize("ids", ["shared", "null"])
+def test_cotraining_draws_rows_not_ids(spark, monkeypatch, ids):
+    """A third of all rows with one labelled id, or null ids only: the samples keep to their sizes."""
+    from pyspark.sql import functions as F
+
+    from quadrille.llm import op09_cotrain
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7) if ids == "shared" else F.lit(None)).otherwise(F.col("id") if ids == "shared" else F.lit(None)).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5500).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(9).cast("long").alias("n_chars"))
+    labels = spark.range(0, 600).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    sizes, cut = {}, c.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name == "cotrain_sample":
+            sizes["labelled"], sizes["pool"] = out.where("coalesce(quality, toxic) is not null").count(), out.where("coalesce(quality, toxic) is null").count()
+            assert out.select("row").distinct().count() == out.count()
+        return out
+
+    monkeypatch.setattr(op09_cotrain.c, "cut", counted)
+    op09_cotrain.train(rows, labels, max_labelled=500, max_pool=1500)
+    assert 0.85 * 1500 * (3667 / 5500 if ids == "shared" else 1) < sizes["pool"] < 1.1 * 1500
+    assert sizes["labelled"] < 1.15 * 500 if ids == "shared" else sizes["labelled"] == 0

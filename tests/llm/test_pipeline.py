@@ -7,6 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_brute import _jaccard, _overlap, _plain_words, _shared_targets
 
 import corpus_pipeline as p
@@ -82,6 +83,19 @@ def test_mixing(spark, made, folder):
         assert abs(sum(size(r) * n for r, n in got.items() if r[3] == s) - target) <= max(size(r) for r in rows if r[3] == s)
 
 
+@pytest.mark.parametrize("shared", [1, 20])
+def test_rows_that_share_a_hash(spark, made, folder, monkeypatch, shared):
+    """With a first hash of few values, rows are told apart by the second one, and none is lost or taken for another."""
+    hashes = p._hashes
+    monkeypatch.setattr(p, "_hashes", lambda docs: (F.pmod(hashes(docs)[0], F.lit(shared)), hashes(docs)[1]))
+    want = Counter(r for r in made[1] if not any(_overlap(_plain_words(r[1]), w) for w in made[0]))
+    assert run(spark, p.decontamination, made[1], folder) == want
+    kept = run(spark, p.near_duplicates, made[1], folder)
+    assert set(kept.values()) == {1} and set(kept) <= set(made[1])
+    assert {r for r in made[1] if not brute.words(r[1])} <= set(kept)
+    assert sum(kept.values()) == len({top for i, top in _jaccard(list(enumerate(r[1] for r in set(made[1])))).items()})
+
+
 def test_language(spark, folder):
     rng = random.Random(31)
     words, more = {"en": "the and of to in that was his", "de": "der die und ist nicht mit den das"}, (1, "x", 7, 2, "y", 5, "z", 9)
