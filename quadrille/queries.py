@@ -97,15 +97,21 @@ def bin_assign(s, d):
 
 
 def bin_counts_all_zooms(s, d):
-    return Atlas(s, d).counts.drop("coord_key")
+    return B.bin_counts(Atlas(s, d).binned, FINEST).drop("coord_key")
+
+
+def _bin_expression_once(s, d):
+    """For queries that use the table once: nothing is written."""
+    a = Atlas(s, d)
+    return B.bin_expression(a.expr, a.binned, FINEST, B.bin_counts(a.binned, FINEST))
 
 
 def bin_expression(s, d):
-    return Atlas(s, d).bin_expr.where(F.col("zoom") == FINEST).drop("coord_key", "zoom", "cell_count").withColumns(r6("mean"))
+    return _bin_expression_once(s, d).where(F.col("zoom") == FINEST).drop("coord_key", "zoom", "cell_count").withColumns(r6("mean"))
 
 
 def bin_expression_coarse(s, d):
-    return Atlas(s, d).bin_expr.where(F.col("zoom") < FINEST).drop("coord_key", "cell_count").withColumns(r6("mean"))
+    return _bin_expression_once(s, d).where(F.col("zoom") < FINEST).drop("coord_key", "cell_count").withColumns(r6("mean"))
 
 
 def bin_category_counts(s, d):
