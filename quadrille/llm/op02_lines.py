@@ -1,15 +1,18 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over each two line hashes chooses the boundaries: a chunk begins at line i where the hash
-of lines i and i + 1 divides by `every`, so an insertion moves the boundaries next to it and no others.
-Two chunks in a row are a unit. The units whose hashes occur twice are grouped and joined by their
-text, byte for byte, and the lines of a unit that occurs anywhere before (smaller doc_id, or earlier in the
-same document) are removed. Units overlap by a chunk, so each hit reaches into its neighbours as long as
-both sides agree. No line vanishes altogether: the first place of a line's text is never removed.
+A window is two lines in a row, and its rolling hash is taken over their two line hashes. A chunk begins at each
+window whose rolling hash is the least of those up to `radius` before and after it, so an insertion moves the
+boundaries next to it and no others. A chunk's last line is the next one's first: every window lies in one chunk,
+and no chunk has fewer than two lines. The chunks whose hashes occur twice are grouped and joined by their text,
+byte for byte, and the lines of a chunk that occurs anywhere before (smaller doc_id, or earlier in the same
+document) are removed.
 
-Texts have few lines, so `every` is 1 by default: each line is a chunk, and a passage of two lines
-or more that stands before loses all its lines, wherever it begins and ends. At 4, a passage
-without boundaries of its own inside is lost (figures in the README).
+What is left is cut again with the next, smaller radius of `radii`, inside the chunks: so copies of whole
+texts and long passages go as chunks of several lines, and only the chunks at their ends and those of other text
+reach the next turn. At radius 0 a chunk is a window. A chunk that stays is the first of its text, so
+whatever is removed later stands before in a chunk that stays too: with a last radius of 0 exactly the passages
+of two lines or more that stand before lose all their lines, wherever they begin and end. No line vanishes
+altogether: the first place of a line's text is never removed.
 
 Defined results: a null text stays null with no lines; an empty text is one empty line, and empty lines
 are lines; a null doc_id takes no part; rows that share a doc_id are told apart by their texts, and
@@ -18,50 +21,79 @@ repeated rows are one document, so all keep the same lines; other columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
 
+PLACE = ["doc_id", "ver", "at"]
+#: Chunks of three windows on average, then the windows themselves.
+RADII = (1, 0)
+
+
+def line_chunks(parts: DataFrame, radius: int) -> DataFrame:
+    """parts: doc_id, ver, at (its first line), h (the hashes of its lines). The same of the chunks in each part."""
+    # A column for each step, which the next one names more than once, so that a lambda looks values up in it and doesn't compute
+    # the array again; and no filter before the explode, which Spark would move below the hashes and so compute them twice.
+    parts = parts.withColumn("rolling", F.transform(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + 1))))
+    first = lambda i: F.greatest(i - radius, F.lit(0))
+    least = lambda i: F.get("rolling", i) == F.array_min(F.slice("rolling", first(i) + 1, i + radius + 1 - first(i)))
+    begins = F.filter(F.sequence(F.lit(0), F.size("rolling") - 1), lambda i: (i == 0) | least(i) if radius else F.lit(True))
+    parts = parts.withColumn("marks", F.when(F.size("rolling") > 0, F.concat(begins, F.array(F.size("rolling")))))
+    lines = lambda j: F.slice("h", F.get("marks", j) + 1, F.get("marks", j + 1) - F.get("marks", j) + 1)
+    chunks = F.transform(F.sequence(F.lit(0), F.size("marks") - 2), lambda j: F.struct((F.col("at") + F.get("marks", j)).alias("at"), lines(j).alias("h")))
+    rows = parts.withColumn("chunks", F.when(F.col("marks").isNotNull(), chunks)).select("doc_id", "ver", F.explode_outer("chunks").alias("k"))
+    return rows.select("doc_id", "ver", "k.*").where("at is not null")
+
 
-def line_units(docs: DataFrame, every: int) -> DataFrame:
-    """doc_id, ver, at, stop, h: two chunks in a row (lines at to stop, without stop) and the hash of their lines."""
-    lines = docs.select("doc_id", "ver", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
-    rolling = lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1))
-    begins = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: (i == 0) | (F.pmod(rolling(i), F.lit(every)) == 0))
-    lines = lines.withColumn("marks", F.concat(begins, F.array(F.size("h"))))
-    ends = F.transform(F.sequence(F.lit(0), F.greatest(F.size("marks") - 3, F.lit(0))), lambda j: F.struct(F.get("marks", j).alias("at"), F.get("marks", F.least(j + 2, F.size("marks") - 1)).alias("stop")))
-    units = F.transform(ends, lambda u: F.struct(u["at"].alias("at"), u["stop"].alias("stop"), F.xxhash64(F.slice("h", u["at"] + 1, u["stop"] - u["at"])).alias("h")))
-    # A column of its own, so that the explode is compiled and carries no copy of the lines to each row; the outer
-    # form, as for the plain one Spark would test the array below all these steps, and so run them twice.
-    rows = lines.withColumn("units", units).select("doc_id", "ver", F.explode_outer("units").alias("u")).select("doc_id", "ver", "u.*")
-    return rows.where("stop - at > 1")
-
-
-def repeated_lines(docs: DataFrame, every: int = 1) -> DataFrame:
-    """doc_id, ver, gone: the places, in order, of lines in units that occur before."""
-    units = line_units(docs, every)
-    # 8 bytes a unit find the hashes that occur twice; only their units move with their text. The joins are
-    # sort-merge joins at every size, so that a small run shows what a large one moves.
-    twice = units.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h").hint("merge")
-    named = c.cut(units.join(twice, "h").groupBy("doc_id", "ver").agg(F.collect_set(F.struct("at", "stop")).alias("ends")), "line_hashes")
+def later_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, ver, at, stop: the chunks (lines at to stop, without stop) whose text is that of a chunk before."""
+    units = chunks.select(*PLACE, (F.col("at") + F.size("h")).alias("stop"), F.xxhash64("h").alias("key"))
+    # 8 bytes a chunk find the hashes that occur twice; only their chunks move with their text. A common
+    # chunk's places are dealt out.
+    twice = c.cut(units.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "line_twice")
+    named = c.join_counted(units, twice, ["key"], PLACE).groupBy("doc_id", "ver").agg(F.collect_set(F.struct("at", "stop")).alias("ends"))
+    named = c.cut(named, "line_named")
+    # Sort-merge joins at every size, so that a small run shows what a large one moves.
     lines = docs.join(named.hint("merge"), ["doc_id", "ver"]).select("doc_id", "ver", "ends", F.split("text", "\n").alias("lines"))
-    texts = F.transform("ends", lambda u: F.struct(u["at"].alias("at"), u["stop"].alias("stop"), F.array_join(F.slice("lines", u["at"] + 1, u["stop"] - u["at"]), "\n").alias("unit")))
+    text = lambda u: F.array_join(F.slice("lines", u["at"] + 1, F.least(u["stop"], F.size("lines")) - u["at"]), "\n")
+    texts = F.transform("ends", lambda u: F.struct(u["at"].alias("at"), u["stop"].alias("stop"), text(u).alias("unit")))
     found = lines.withColumn("w", texts).select("doc_id", "ver", F.explode_outer("w").alias("w")).select("doc_id", "ver", "w.*")
     found = c.cut(found, "line_units")
-    first = found.groupBy("unit").agg(F.min(F.struct("doc_id", "ver", "at")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = found.join(first.hint("merge"), "unit").where(F.struct("doc_id", "ver", "at") > F.col("first"))
-    spans = later.groupBy("doc_id", "ver").agg(F.flatten(F.collect_list(F.sequence("at", F.col("stop") - 1))).alias("gone"))
+    first = c.cut(found.groupBy("unit").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1"), "line_first")
+    later = c.join_counted(found, first, ["unit"], PLACE).where(F.struct(*PLACE) > F.col("first"))
+    out = c.cut(later.select(*PLACE, "stop"), "line_later")
+    for t in (twice, named, found, first):
+        c.drop_table(t)
+    return out
+
+
+def repeated_lines(docs: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
+    """doc_id, ver, gone: the places, in order, of lines in chunks that occur before."""
+    left = docs.select("doc_id", "ver", F.lit(0).alias("at"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    later, held = [], None
+    for radius in radii:
+        chunks = line_chunks(left, radius)
+        later.append(later_chunks(docs, chunks))
+        if radius != radii[-1]:
+            before, held = held, c.cut(chunks.join(later[-1].select(*PLACE).hint("merge"), PLACE, "left_anti"), "line_left")
+            left = held
+            if before is not None:
+                c.drop_table(before)
+    spans = reduce(DataFrame.union, later).groupBy("doc_id", "ver").agg(F.flatten(F.collect_list(F.sequence("at", F.col("stop") - 1))).alias("gone"))
     out = c.cut(spans.select("doc_id", "ver", F.array_sort(F.array_distinct("gone")).alias("gone")), "line_repeats")
-    c.drop_table(named)
-    c.drop_table(found)
+    for t in [*later, held]:
+        if t is not None:
+            c.drop_table(t)
     return out
 
 
-def dedup_lines(docs: DataFrame, every: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, radii: tuple[int, ...] = RADII) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text: the texts without passages of two lines or more that occur before."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("ver"))
-    both = docs.join(repeated_lines(docs.where("doc_id is not null and text is not null"), every).hint("merge"), ["doc_id", "ver"], "left")
+    both = docs.join(repeated_lines(docs.where("doc_id is not null and text is not null"), radii).hint("merge"), ["doc_id", "ver"], "left")
     # Lines in a row are one span; what stays are the lines between the spans, in order.
     starts = F.filter("gone", lambda x, j: (j == 0) | (x - F.get("gone", j - 1) > 1))
     stops = F.filter("gone", lambda x, j: (j == F.size("gone") - 1) | (F.get("gone", j + 1) - x > 1))

@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
 from quadrille.llm import op01_fertility, op02_lines, op03_decontaminate, op04_tokens, op05_language, op06_chat, op07_jaccard, op08_substrings, op09_cotrain, op10_mixing
@@ -108,12 +109,12 @@ def test_tokens_of_shared_ids(spark):
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
-@pytest.mark.parametrize("every", [1, 2, 4])
-def test_line_dedup_with_any_density(spark, every):
+@pytest.mark.parametrize("radii", [(1, 0), (0,), (4, 1, 0), (1,), (3,)])
+def test_line_dedup_with_any_chunks(spark, radii):
     rng = random.Random(15)
     rows = [(rng.choice([i, None]) if i % 9 == 0 else i, "\n".join(rng.choice(["a", "b", "c", "", f"own {i}"]) for _ in range(rng.randrange(9))), "x", 1) for i in range(80)]
     rows += [rows[3], rows[3], (3, rows[5][1], "x", 1), (200, "\n".join(f"line {rng.randrange(300)}" for _ in range(20_000)), "x", 1), (201, "y" * 300_000, "x", 1)]
-    got = op02_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, at int").repartition(4), every).collect()
+    got = op02_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, at int").repartition(4), radii).collect()
     assert len(got) == len(rows)
     kept = {(r["doc_id"], r["n_lines"]): r for r in got}
     for d, t, _, _ in rows:
@@ -121,10 +122,30 @@ def test_line_dedup_with_any_density(spark, every):
         r = kept[d, len(lines)]
         if d is None:
             assert r["n_removed"] == 0
-    # No line's text is lost altogether, and what a sparser choice removes, the densest one does too.
+    # No line's text is lost altogether, and what larger chunks remove, windows do too; a last radius of 0 finds all.
     assert {x for _, t, _, _ in rows for x in t.split("\n")} == {x for r in got for x in r["kept_text"].split("\n")}
-    full = op02_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, at int"), 1).groupBy().sum("n_removed").first()[0]
-    assert 0 < sum(r["n_removed"] for r in got) <= full
+    full = op02_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, at int"), (0,))
+    if radii[-1] == 0:
+        assert sorted(map(str, got)) == sorted(map(str, full.collect()))
+    assert 0 < sum(r["n_removed"] for r in got) <= full.groupBy().sum("n_removed").first()[0]
+
+
+def test_line_chunks_move_with_the_text(spark):
+    rng = random.Random(16)
+    lines = [f"line {rng.randrange(10**9)}" for _ in range(2000)]
+    # Five insertions change the chunks around them only, so a copy goes but for a few lines at each insertion.
+    other = list(lines)
+    for at in (1700, 1200, 900, 400, 0):
+        other.insert(at, f"new {at}")
+    df = spark.createDataFrame([(1, 1, 0, "\n".join(lines)), (2, 2, 0, "\n".join(other))], "doc_id long, ver long, at int, text string")
+    parts = df.select("doc_id", "ver", "at", F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    chunks = op02_lines.line_chunks(parts, 1).collect()
+    sets = [[tuple(r["h"]) for r in chunks if r["doc_id"] == d] for d in (1, 2)]
+    assert 2 < sum(map(len, sets[0])) / len(sets[0]) < 5 and min(map(len, sets[0])) >= 2
+    assert len(set(sets[0]) - set(sets[1])) <= 15
+    for radii, rest in (((1,), 60), ((4, 1), 60), ((1, 0), 5)):
+        got = {r["doc_id"]: r["n_removed"] for r in op02_lines.dedup_lines(df, radii).collect()}
+        assert got[1] == 0 and 2000 - (rest if radii[-1] else 0) <= got[2] <= 2000
 
 
 def _jaccard(rows, k=5, percent=80):
