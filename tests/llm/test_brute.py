@@ -501,3 +501,32 @@ def test_join_counted_deals_heavy_keys(spark, monkeypatch):
     have = {k: sum(r[1] == k for r in rows) for k in {r[1] for r in rows}}
     assert got == sorted((i, have[k]) for i, k, _ in rows if have[k] > 1)
     assert c.join_counted(df.where("false"), c.cut(counts.where("false"), "none"), ["key"], ["id"]).count() == 0
+
+
+def test_mixing_of_one_network_with_many_patterns():
+    """100,000 patterns over 60 sources, one connected network: all quotas are met within the offers, patterns used evenly."""
+    rng = random.Random(33)
+    patterns = {}
+    while len(patterns) < 100_000:
+        patterns[tuple(sorted(rng.sample(range(60), rng.randrange(1, 6))))] = rng.randrange(1, 10**6)
+    patterns = list(patterns.items())
+    total, weights = sum(w for _, w in patterns), [1 + i % 3 for i in range(60)]
+    quotas = [total * w // sum(weights) for w in weights]
+    flow = op10_mixing.route(patterns, quotas, 3)
+    got = [0] * 60
+    for (sources, words), shares in zip(patterns, flow, strict=True):
+        assert set(shares) <= set(sources) and 0 <= sum(shares.values()) <= 3 * words
+        for s, n in shares.items():
+            got[s] += n
+    assert got == quotas
+
+
+def test_mixing_of_single_sources_goes_through_the_flow(spark, monkeypatch):
+    solved, solve = [], op10_mixing._solve
+    monkeypatch.setattr(op10_mixing, "_solve", lambda most: solved.append(most) or solve(most))
+    rows = [(i, " ".join(["w"] * (i % 7)), [None, "a", "b", "c"][i % 4]) for i in range(200)]
+    got = op10_mixing.mix_by_source(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert solved == [3] and len(got) == 200
+    for s in (None, "a", "b", "c"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 18  # three documents of six words
