@@ -32,18 +32,35 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(nodes[up[leaf]]), pa.array(nodes[leaf])], names=["a", "b"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Links of a node that a task takes by itself, at least; the links of larger hubs are dealt out.
+HUB = 100_000
+
+
+def _to_least(links: DataFrame, node: str, other: str, total: int) -> DataFrame:
+    """links, each with m, the smallest neighbour of its node. total: at least the number of links.
+
+    A node with over 1 / c.HEAVY of all links, and over HUB of them, has its links dealt out, and m copied to them."""
+    least = links.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n"))
+    most = max(total // c.HEAVY, HUB)
+    if total <= most:
+        return links.join(least.drop("n"), node)
+    hubs = least.where(F.col("n") > most).select(node, F.lit(True).alias("hub"))  # fewer than c.HEAVY
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64(other), F.lit(c.SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(c.SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = links.join(F.broadcast(hubs), node, "left").withColumn("salt", salt).drop("hub")
+    return dealt.join(least.withColumn("salt", F.explode(copies)).drop("n"), [node, "salt"]).drop("salt")
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node hands its larger neighbours to its smallest one."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
+    return _to_least(both, "a", "b", 2 * total).where("b > a").select(F.least("a", "m").alias("a"), "b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest one. Edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
+    met = _to_least(edges, "b", "a", total)
+    return met.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,16 +68,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Links are contracted in their tasks, then star by star until a turn changes nothing, which takes about as
     many turns as the logarithm of the longest road. A turn counts its edges as it writes them."""
-    edges, last = links.where("a <> b").select("a", "b").mapInArrow(c.tidy(_contract), "a long, b long"), None
-    table = None
-    while True:
+    seen = Observation()
+    table = edges = c.cut(links.where("a <> b").select("a", "b").mapInArrow(c.tidy(_contract), "a long, b long").observe(seen, F.count("*").alias("n")), "star")
+    last = (seen.get.get("n", 0), None)
+    while last[0]:
         seen = Observation()
-        out = _small_star(_large_star(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h"))
+        out = _small_star(_large_star(edges, last[0]), last[0]).observe(seen, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h"))
         edges, old = c.cut(out, "star"), table
-        if old is not None:
-            c.drop_table(old)
+        c.drop_table(old)
         table, now = edges, (seen.get.get("n", 0), seen.get.get("h"))
-        if now == last or not now[0]:
+        if now == last:
             break
         last = now
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

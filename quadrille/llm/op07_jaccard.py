@@ -9,12 +9,12 @@ into `BLOCKS` blocks of columns. The product is formed in two steps:
    counted pair by pair, and pairs are discarded whose sizes, or whose count and what is
    left of either row behind the last shared column, rule the threshold out.
 2. Over all columns. The sizes of `BINS` narrow blocks bound an overlap from above (the sum of the smaller
-   ones), which discards most pairs without their rows. For the others the overlaps of the wide blocks
-   are added up, and a pair is dropped as soon as its sum and the sizes of the blocks to come are too little.
+   ones), which discards most pairs without their rows. The others are multiplied block by block: the matrix
+   is stored by row and wide block, each pair meets its two parts of a block, and the partial counts are added up by pair.
 
 In a long column, pairs within one group are not all multiplied: each row meets one pivot, linked rows
 become one component, and only pairs between different components are left for the next pass. The
-result is exact.
+result is exact. Long columns, sets that many rows have, and components of many rows are dealt out to many tasks.
 
 Defined results: null, empty or wordless texts have no shingles and no links; a null doc_id takes
 part in nothing and gets a null component_id; rows that share a doc_id are one node with several
@@ -91,14 +91,17 @@ def _digests(k: int):
     return run
 
 
-def _add_blocks(t: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH_BLOCK, np.int64)
-    for x in t.column("counts").to_pylist():
-        total += np.frombuffer(x, "<u4")
-    return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+def _add_blocks(batches):
+    """The sums of the sketch's blocks, part by part, so that a task holds its blocks' counters and no more."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, x in zip(b.column("block").to_pylist(), b.column("counts"), strict=True):
+            held = total.setdefault(block, np.zeros(SKETCH_BLOCK, np.int64))
+            held += np.frombuffer(x.as_buffer(), "<u4")
+    yield pa.record_batch([pa.array(total, pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
 
 
-_RARE, _ROWS = "row_id long, n long, prefix array<bigint>, bins array<smallint>", "row_id long, n long, blocks array<array<bigint>>"
+_RARE, _ROWS = "row_id long, n long, prefix array<bigint>, bins array<smallint>", "row_id long, block int, part array<bigint>"
 
 
 def _sets_of(b: pa.RecordBatch, k: int, seen: set) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,21 +131,20 @@ def _rare(k: int, percent: int, sketch):
 
 
 def _blocks(k: int):
-    """All columns of each row, cut into wide blocks."""
+    """All columns of each row, a wide block a row."""
 
     def run(batches):
         seen, edges = set(), np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(65 - BLOCKS.bit_length())
         for b in c.text_slices(batches):
-            ids, n, flat, cuts = [], [], [], []
+            ids, flat, cuts = [], [], []
             for row, u in _sets_of(b, k, seen):
                 ids.append(row)
-                n.append(len(u))
                 flat.append(c.as_long(u))
                 cuts.append(np.diff(np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))))
             if ids:
-                inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(cuts)))).astype(np.int32)), pa.array(np.concatenate(flat)))
-                blocks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BLOCKS + 1, BLOCKS, dtype=np.int32)), inner)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), blocks], names=[f.split()[0] for f in _ROWS.split(", ")])
+                parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.concatenate(cuts)))).astype(np.int32)), pa.array(np.concatenate(flat)))
+                rows = pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), BLOCKS)), pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), len(ids))), parts], names=[f.split()[0] for f in _ROWS.split(", ")])
+                yield rows.filter(pa.array(np.concatenate(cuts) > 0))
 
     return run
 
@@ -156,8 +158,8 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _side(rows: DataFrame, x: str) -> DataFrame:
-    return rows.select("h", F.col("row_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "left", "long", "label")])
+def _side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
+    return rows.select("h", *keys, F.col("row_id").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "left", "long", "label")])
 
 
 def _reach(overlap, n_a, n_b, percent: int):
@@ -182,9 +184,20 @@ def _multiply(rows: DataFrame, percent: int) -> DataFrame:
     return counted.where(_reach(F.col("common") + F.col("long") + F.col("left") - 1, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
-def _meet(rows: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+def _dealt(rows: DataFrame, total: int) -> DataFrame:
+    """rows with a salt: those of long columns, at most c.HEAVY of them, are dealt out."""
+    return rows.withColumn("salt", F.when(F.col("len") > max(total // c.HEAVY, 1), F.pmod(F.xxhash64("row_id"), F.lit(c.SALTS)).cast("int")).otherwise(F.lit(0)))
+
+
+def _for_all(columns: DataFrame, total: int) -> DataFrame:
+    """columns (h, len) with each salt that their rows may have."""
+    return columns.withColumn("salt", F.explode(F.when(F.col("len") > max(total // c.HEAVY, 1), F.sequence(F.lit(0), F.lit(c.SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def _meet(rows: DataFrame, pivots: DataFrame, total: int, percent: int) -> DataFrame:
     """Pairs of a row and its column's pivot, at any column that they share, not only at the first one."""
-    return _in_order(_side(rows, "a").join(_side(pivots, "b"), "h").where((F.col("label_a") != F.col("label_b")) & _size_bound(percent)))
+    met = _side(_dealt(rows, total), "a", "salt").join(_side(_for_all(pivots, total), "b", "salt"), ["h", "salt"])
+    return _in_order(met.where((F.col("label_a") != F.col("label_b")) & _size_bound(percent)))
 
 
 def _cross(rows: DataFrame, percent: int) -> DataFrame:
@@ -211,37 +224,30 @@ def _bounded(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes of narrow blocks still allow the threshold."""
     most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     most = F.coalesce(most, F.least("n_a", "n_b"))
-    return _joined(pairs, bins, "n", "bins").where(_reach(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+    return _joined(pairs, bins, "n", "bins").where(_reach(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b").distinct()
 
 
 def _links(pairs: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose overlap, added up block by block, reaches the threshold."""
-    both = _joined(pairs, matrix, "n", "blocks")
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    room = lambda x, y: F.least(F.size(x), F.size(y))
-    blocks = F.zip_with("blocks_a", "blocks_b", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    begin = F.struct(F.lit(0).alias("sum"), F.aggregate(F.zip_with("blocks_a", "blocks_b", room), F.lit(0), lambda s, x: s + x).alias("rest"))
-    add = lambda s, z: F.when(
-        _reach(s["sum"] + s["rest"], n_a, n_b, percent),
-        F.struct((s["sum"] + F.size(F.array_intersect(z["x"], z["y"]))).alias("sum"), (s["rest"] - room(z["x"], z["y"])).alias("rest")),
-    ).otherwise(s)
-    overlap = F.aggregate(blocks, begin, add, lambda s: s["sum"])
-    return both.where(_reach(overlap, n_a, n_b, percent)).select("a", "b")
+    """The pairs whose overlap reaches the threshold: each block of columns is multiplied by itself, and the partial counts are added up."""
+    part = lambda x: matrix.select(F.col("row_id").alias(x), "block", F.col("part").alias(f"part_{x}"))
+    met = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(part("a"), ["a", "block"]).join(part("b"), ["b", "block"])
+    counted = met.groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.size(F.array_intersect("part_a", "part_b"))).alias("overlap"))
+    return counted.where(_reach(F.col("overlap"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _rows(docs: DataFrame, first: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(row_id, n, prefix, bins; d1, d2, n, row_id, class_id): the rare part of the matrix, and the row of each set."""
+    """(row_id, n, prefix, bins; d1, d2, size, row_id, class_id, n): the rare part of the matrix, and the row of each set, with n, the documents that have it."""
     spark = docs.sparkSession
     sketch = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
-    blocks = first.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
-    for x in blocks.toLocalIterator():  # 4 MB of counters, whatever the input
+    blocks = first.where("block is not null").select("block", "counts").repartition("block").mapInArrow(c.tidy(_add_blocks), "block int, counts binary")
+    for x in blocks.collect():  # 8 MB of counters, whatever the input
         sketch[x["block"]] = np.frombuffer(x["counts"], "<i8")
     shared = spark.sparkContext.broadcast(np.minimum(sketch.ravel(), 2**31 - 1).astype(np.int32))
-    classes = first.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = first.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     # A row is named by its smallest doc_id, or by a hash of its set if that doc_id has several sets.
     several = classes.groupBy("class_id").agg(F.count("*").alias("sets")).where("sets > 1")
     row_id = F.when(F.col("sets").isNull(), F.col("class_id")).otherwise(F.xxhash64("d1", "d2", "class_id"))
-    classes = c.cut(classes.join(several, "class_id", "left").select("d1", "d2", "n", row_id.alias("row_id"), "class_id"), "jaccard_classes")
+    classes = c.cut(classes.join(several, "class_id", "left").select("d1", "d2", F.col("n").alias("size"), row_id.alias("row_id"), "class_id", F.col("copies").alias("n")), "jaccard_classes")
     rare = c.cut(_texts(docs, classes).mapInArrow(c.tidy(_rare(k, percent, shared)), _RARE), "jaccard_rare")
     shared.unpersist()
     return rare, classes
@@ -265,31 +271,41 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     labels, links = _linked(docs, classes, rare, k, percent)
 
     # Sets of one doc_id belong together.
-    sets = first.where("block is null and n > 0 and doc_id is not null").join(classes, ["d1", "d2", "n"]).select("doc_id", "row_id").distinct()
+    rows = first.where("block is null").select("doc_id", F.col("n").alias("size"), "d1", "d2")
+    full, have = rows.where("size > 0"), F.col("doc_id").isNotNull()
+    digest = ["d1", "d2", "size"]
+    sets = c.join_counted(full.where(have).distinct(), classes, digest, ["doc_id"]).select("doc_id", "row_id")
     both = sets.groupBy("doc_id").agg(F.min("row_id").alias("a"), F.max("row_id").alias("top")).where("a < top").select("doc_id", "a")
     same = sets.join(both, "doc_id").where("a < row_id").select("a", F.col("row_id").alias("b"))
-    classes = classes.join(labels, "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
+    classes = classes.withColumnRenamed("n", "copies").join(labels, "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
     name = lambda x: classes.select(F.col("row_id").alias(x), F.col("label").alias(f"label_{x}"))
     same = c.cut(same.join(name("a"), "a").join(name("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b"), "jaccard_shared")
     if not same.isEmpty():
-        classes = _renamed(classes, components(same))
-    least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = c.cut(classes.join(least, "label").select("d1", "d2", "n", "row_id", "class_id", "component_id"), "jaccard_components")
-
-    rows = first.where("block is null").select("doc_id", "n", "d1", "d2")
-    have = F.col("doc_id").isNotNull()
-    mapped = rows.where("n > 0").join(classes.drop("row_id"), ["d1", "d2", "n"], "left")
-    out = mapped.select("doc_id", F.col("n").alias("n_shingles"), F.when(have, F.col("class_id")).alias("class_id"), F.when(have, F.col("component_id")).alias("component_id"))
+        classes = _renamed(classes, components(same), "row_id")
+    least = c.cut(classes.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n")), "jaccard_least")
+    classes = c.join_counted(classes, least, ["label"], ["row_id"])
+    classes = c.cut(classes.select("d1", "d2", "size", "row_id", "class_id", "component_id", F.col("copies").alias("n")), "jaccard_components")
+    c.drop_table(least)
+    c.drop_table(same)
+
+    named = c.join_counted(full.where(have).withColumn("at", F.monotonically_increasing_id()), classes.drop("row_id"), digest, ["at"])
+    out = named.select("doc_id", F.col("size").alias("n_shingles"), "class_id", "component_id")
+    unnamed = F.lit(None).cast("long")
+    out = out.union(full.where(~have).select("doc_id", "size", unnamed, unnamed))
     # Rows without words are linked with nothing, but share their doc_id's component.
-    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    alone = rows.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"))
     others = sets.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").join(classes.select("row_id", "component_id"), "row_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     alone = alone.join(others, "doc_id", "left")
     return out.union(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))), links
 
 
-def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """rows, with their label's component as label. joined: node, component."""
-    return rows.join(joined.select(F.col("node").alias("label"), "component"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+def _renamed(rows: DataFrame, joined: DataFrame, by: str | None = None) -> DataFrame:
+    """rows, with their label's component as label. joined: node, component.
+
+    by: rows of one label are dealt out by this column, where many rows may have one label and few labels change."""
+    salt = F.pmod(F.xxhash64(by), F.lit(c.SALTS)).cast("int") if by else F.lit(0)
+    new = joined.select(F.col("node").alias("label"), "component", F.explode(F.sequence(F.lit(0), F.lit(c.SALTS - 1 if by else 0))).alias("salt"))
+    return rows.withColumn("salt", salt).join(new, ["label", "salt"], "left").withColumn("label", F.coalesce("component", "label")).drop("component", "salt")
 
 
 def _linked(docs: DataFrame, classes: DataFrame, rare: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -316,8 +332,8 @@ def _linked(docs: DataFrame, classes: DataFrame, rare: DataFrame, k: int, percen
         else:
             # First the row that has the least before its first long column: of near copies, the one nearest to all others.
             order = F.struct(F.lit(0.0) if turn else -F.col("lead"), F.xxhash64("row_id", F.lit(turn)))
-            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "row_id", "n", "left", "long", "label")).alias("p")).select("h", "p.row_id", "p.n", "p.left", "p.long", "p.label")
-            more = _meet(rest, pivot, percent)
+            pivot = rest.groupBy("h").agg(F.min(F.struct(order.alias("order"), "row_id", "n", "left", "long", "label")).alias("p"), F.first("len").alias("len")).select("h", "len", "p.row_id", "p.n", "p.left", "p.long", "p.label")
+            more = _meet(rest, pivot, total, percent)
             pairs = more if turn else pairs.union(more).distinct()
         pairs = c.cut(_bounded(pairs, bins, percent), "jaccard_pairs")
         found = c.cut(_links(pairs, matrix, percent), "jaccard_links")
@@ -332,13 +348,13 @@ def _linked(docs: DataFrame, classes: DataFrame, rare: DataFrame, k: int, percen
             joined = components(found.join(name("a"), "a", "left").join(name("b"), "b", "left").select(end("a"), end("b")))
             # A row that had no link yet is a component of its own.
             fresh = joined.select(F.col("node").alias("row_id"), F.col("component").alias("label")).join(labels, "row_id", "left_anti")
-            labels = c.cut(_renamed(labels, joined).select("row_id", "label").union(fresh), "jaccard_labels")
+            labels = c.cut(_renamed(labels, joined, "row_id").select("row_id", "label").union(fresh), "jaccard_labels")
         if last:
             break
         # Columns that still hold rows of several components.
-        rest = _renamed(rest, joined)
-        open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-        rest = c.cut(rest.join(open_, "h", "left_semi").select("row_id", "n", "h", "left", "long", "len", "lead", "label"), "jaccard_rest")
+        rest = _renamed(rest, joined, "h" if turn else None)  # at first each label is a row's own
+        open_ = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("len").alias("len")).where("lo < hi")
+        rest = c.cut(_dealt(rest, total).join(_for_all(open_, total), ["h", "salt"], "left_semi").select("row_id", "n", "h", "left", "long", "len", "lead", "label"), "jaccard_rest")
         tables.append(rest)
         parts = rest.groupBy("h", "label").count().groupBy("h").agg(F.sum("count").alias("s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("q"))
         pairs_left = F.coalesce(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.lit(0.0))

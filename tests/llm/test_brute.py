@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille.llm import common as c
-from quadrille.llm import op01_fertility, op02_lines, op03_decontaminate, op04_tokens, op05_language, op06_chat, op07_jaccard, op08_substrings, op09_cotrain, op10_mixing
+from quadrille.llm import graph, op01_fertility, op02_lines, op03_decontaminate, op04_tokens, op05_language, op06_chat, op07_jaccard, op08_substrings, op09_cotrain, op10_mixing
 from quadrille.llm.graph import components
 
 
@@ -202,6 +202,39 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_deal_hubs_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", 3)
+    monkeypatch.setattr(graph.c, "HEAVY", 20)
+    monkeypatch.setattr(graph.c, "SALTS", 4)
+    rng = random.Random(18)
+    links = [(0, i) for i in range(1, 200)] + [(199, 500), (500, 501)] + [(900, 900 + i) for i in range(1, 90)] + [(700, 701)]
+    links = [x if rng.random() < 0.5 else x[::-1] for x in links]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
+    assert got == {**{x: 0 for x in [*range(200), 500, 501]}, **{900 + i: 900 for i in range(90)}, 700: 700, 701: 700}
+    plan = graph._to_least(spark.createDataFrame(links, "a long, b long"), "a", "b", len(links))
+    assert "salt" in plan._jdf.queryExecution().toString()
+
+
+def test_jaccard_blocks_add_up(spark):
+    """The product of two rows, added up over the blocks of the stored matrix, is the size of their intersection."""
+    rng = random.Random(19)
+    sets = [set(rng.sample(range(-(2**63), 2**63, 2**55), rng.choice([1, 8, 200]))) for _ in range(12)]
+    sets += [set(rng.sample(sorted(x), max(1, len(x) * 9 // 10))) for x in sets]
+    cells = [(i, (v >> 60) & 7, v) for i, x in enumerate(sets) for v in x]
+    matrix = spark.createDataFrame(cells, "row_id long, block int, v long").groupBy("row_id", "block").agg(F.collect_list("v").alias("part"))
+    every = [(i, j, len(sets[i]), len(sets[j])) for i in range(len(sets)) for j in range(i)]
+    got = op07_jaccard._links(spark.createDataFrame(every, "a long, b long, n_a long, n_b long"), matrix, 80)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(i, j) for i, j, _, _ in every if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+
+
+def test_jaccard_sketch_is_summed_part_by_part():
+    part = lambda x: np.full(op07_jaccard.SKETCH_BLOCK, x, "<u4").tobytes()
+    batches = [pa.record_batch([pa.array(b, pa.int32()), pa.array([part(x) for x in v], pa.binary())], names=["block", "counts"]) for b, v in (([3, 5, 3], [1, 2, 4]), ([], []), ([5], [2**32 - 1]))]
+    (out,) = op07_jaccard._add_blocks(batches)
+    got = {b: set(np.frombuffer(x, "<i8").tolist()) for b, x in zip(out.column("block").to_pylist(), out.column("counts").to_pylist(), strict=True)}
+    assert got == {3: {5}, 5: {2**32 + 1}}
+
+
 def _shared_targets(sizes, weights, most=3):
     """Share by weight, stop at most * size, share the excess again."""
     left, out, open_ = Fraction(sum(sizes)), [Fraction(0)] * len(sizes), set(range(len(sizes)))
