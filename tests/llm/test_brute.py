@@ -506,6 +506,93 @@ def test_cotraining_folds_and_pool():
     assert max(seen) <= 40 + 50  # no pool row is learnt from twice
 
 
+def _plain_fit(x, y, ridge, weight=None):
+    """Logistic regression on a full matrix whose last column is ones, by 200 turns of Adam."""
+    weight = np.ones(len(y)) if weight is None else np.array(weight)
+    w, m, s = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(1, 201):
+        g = x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * weight) / weight.sum()
+        g[:-1] += ridge * w[:-1]
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g**2
+        w = w - 0.1 * m / (1 - 0.9**t) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _plain_cotraining(docs, labels):
+    """{doc_id: (score, text view, metadata view) of each target}: the whole operator on full matrices, text by text."""
+    docs = sorted(docs)
+    code = lambda x: int(c.word_hashes(pa.array([x]))[0] >> np.uint64(1)) % 64
+    bags, stats, meta = [], [], np.zeros((len(docs), 161))
+    for i, (_, text, source, lang, n_chars) in enumerate(docs):
+        words, lines = (text or "").split(), (text or "").split("\n")
+        bags.append({re.sub(r"^[\W_]+|[\W_]+$", "", w).lower() for w in words})
+        n, some = len(words), max(len(words), 1)
+        odd = sum((text or "").count(x) for x in "#*$%&|<>@{}[]\\^~_=+")
+        stats.append([np.log1p(n) / 10, (np.log1p(n) / 7) ** 2, min(odd / some, 2), len(set(words)) / some, min(sum(map(len, words)) / some / 10, 5), len(set(lines)) / len(lines), np.log1p(len(lines)) / 10, n < 50])
+        meta[i, [code(source or "\0null"), 64 + code(lang or "\0null"), 128 + int(np.log2(1 + (n_chars or 0))), 160]] = 1
+    y = {t: np.array([labels.get(d[0], (None, None))[k] for d in docs], float) for k, t in enumerate(op09_cotrain.TARGETS)}
+    folds = {t: op09_cotrain._folds(np.nan_to_num(y[t], nan=-1).astype(int), k) for k, t in enumerate(y)}
+    kept = set()
+    for t, (_, base) in folds.items():
+        kinds = [[bags[i] for i in base if y[t][i] == k] for k in (0, 1)]
+        for word in set().union(*kinds[0], *kinds[1]):
+            n = [sum(word in b for b in kind) for kind in kinds]
+            p, both = [n[k] / len(kinds[k]) for k in (0, 1)], sum(n) / sum(map(len, kinds))
+            z = abs(p[1] - p[0]) / np.sqrt(max(both * (1 - both), 1e-6) * sum(1 / len(kind) for kind in kinds))
+            if sum(n) >= op09_cotrain.LEAST_DOCS and z >= op09_cotrain.LEAST_Z:
+                kept.add(word)
+    text = np.array([[float(w in b) for w in sorted(kept)] + list(np.float32(s)) + [1.0] for b, s in zip(bags, stats, strict=True)])
+    out = {d[0]: [] for d in docs}
+    for t, (held, base) in folds.items():
+        views, learn, pool = (text, meta), [[(i, y[t][i], 1.0) for i in base] for _ in "ab"], set(np.flatnonzero(np.isnan(y[t])).tolist())
+        for turn in range(op09_cotrain.ROUNDS + 1):
+            fits = [_plain_fit(x[[i for i, _, _ in rows]], np.array([v for _, v, _ in rows]), 1e-3, [h for _, _, h in rows]) for x, rows in zip(views, learn, strict=True)]
+            if turn == op09_cotrain.ROUNDS or not pool:
+                break
+            gone = set()
+            for v in (0, 1):
+                by = sorted((views[v][i] @ fits[v], i) for i in pool)
+                k = min(op09_cotrain.SURE, len(pool) // 4)
+                sure = [(i, 0.0, 0.3) for z, i in by[:k] if z < -2] + [(i, 1.0, 0.3) for z, i in by[len(by) - k :] if z > 2]
+                learn[1 - v] += sure
+                gone |= {i for i, _, _ in sure}
+            pool -= gone
+        z = [x @ w for x, w in zip(views, fits, strict=True)]
+        one = lambda *cols: np.stack([*cols, np.ones(len(cols[0]))], axis=1)
+        flat = [one(x) @ _plain_fit(one(x[held]), y[t][held], 1e-4) for x in z]
+        joined = one(*flat) @ _plain_fit(one(*[x[held] for x in flat]), y[t][held], 1e-4)
+        for i, d in enumerate(docs):
+            out[d[0]] += [1 / (1 + np.exp(-x[i])) for x in (joined, *flat)]
+    return out, len(kept)
+
+
+def test_cotraining_against_full_matrices(spark, monkeypatch):
+    """Choice of words, both views, the exchange of labels over the rounds, calibration and the joint score."""
+    monkeypatch.setattr(op09_cotrain, "SURE", 15)
+    rng, docs, labels = random.Random(23), [], {}
+    for i in range(420):
+        good, bad = rng.random() < 0.5, rng.random() < 0.3
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 70))]
+        words += [rng.choice(["Clear", "source,", "(proof)"])] * (rng.random() < (0.7 if good else 0.2)) + ["#$%"] * (not good) * rng.randrange(2) + [rng.choice(["slur", "Hate!"])] * (rng.random() < (0.8 if bad else 0.1))
+        rng.shuffle(words)
+        text = "".join(w + rng.choice("   \n") for w in words)
+        docs.append((i, text, f"s{rng.randrange(6) + 2 * good + 2 * bad}", rng.choice(["en", "de", None]), len(text)))
+        if i % 3:
+            labels[i] = (int(good) if i % 4 else None, int(bad) if i % 5 else (None if i % 4 else 0))
+    docs[7] = (7, None, None, None, None)
+    docs[9] = (9, "", "s1", "en", 0)
+    want, words = _plain_cotraining(docs, labels)
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    marks = spark.createDataFrame([(i, q, t) for i, (q, t) in labels.items()], "doc_id long, quality int, toxic int")
+    names = [f"{t}{v}" for t in op09_cotrain.TARGETS for v in ("", "_text", "_meta")]
+    got = {r["doc_id"]: [r[x] for x in names] for r in op09_cotrain.classify(table, marks).collect()}
+    assert words >= 3 and set(got) == set(want)
+    for d, scores in want.items():
+        assert got[d] == pytest.approx(scores, abs=1e-6)
+    for x in (0, 3):  # scores that differ, so that the comparison says something
+        assert len({round(got[d][x], 3) for d in got}) > 100
+
+
 def test_cotraining_awkward_rows(spark):
     rng = random.Random(25)
     rows = []
