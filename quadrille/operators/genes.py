@@ -12,8 +12,8 @@ from quadrille.sinks.scratch import written
 
 #: Leaves of the tree on which the mean-variance curve is fitted, by shares of the genes and by lengths each.
 LEAVES = 128
-#: Cells that variable genes are computed from at most.
-HVG_CELLS = 200_000
+#: Cells that variable genes are computed from at most, and the value above which they are taken for raw counts, unless told otherwise.
+HVG_CELLS, RAW_ABOVE = 200_000, 100.0
 
 
 def gene_totals(expr: DataFrame, cells: DataFrame) -> DataFrame:
@@ -100,16 +100,20 @@ def sample_cells(cells: DataFrame, most: int = HVG_CELLS, seed: int = 0) -> Data
     return keyed.crossJoin(F.broadcast(bound.select("value"))).where(F.col("key") <= F.col("value")).select("cell_id")  # one row
 
 
-def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3, max_cells: int = HVG_CELLS, seed: int = 0) -> DataFrame:
+def variable_genes(expr: DataFrame, cells: DataFrame, span: float = 0.3, max_cells: int | None = HVG_CELLS, seed: int = 0, raw_above: float | None = RAW_ABOVE) -> DataFrame:
     """gene, score: variance of values standardised by the fitted mean-variance curve, clipped at sqrt(n); 0 for a gene that does not vary.
 
-    Over max_cells cells, a seeded sample of them is used. If the largest value is over 100, values are first normalised to 1e4 a cell and log1p.
+    Over max_cells cells, a seeded sample of them is used; None takes every cell. If the largest value is over raw_above, values are first
+    normalised to 1e4 a cell and log1p; None takes them as they are.
     If no curve can be fitted (under three genes vary, or a fitted value is not finite), the score is the variance over all cells."""
-    used = sample_cells(cells, max_cells, seed)
-    own = expr.join(used, "cell_id", "left_semi")
-    top = own.agg(F.max("value")).first()[0]
-    if top is not None and top > 100:
-        own = normalize_log1p(own)
+    used, own = cells, expr
+    if max_cells is not None:
+        used = sample_cells(cells, max_cells, seed)
+        own = expr.join(used, "cell_id", "left_semi")
+    if raw_above is not None:
+        top = own.agg(F.max("value")).first()[0]
+        if top is not None and top > raw_above:
+            own = normalize_log1p(own)
     n = F.broadcast(used.agg(F.count("*").cast("double").alias("n")))  # one row
     sums = own.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(n)
     stats = written(sums.select("gene", "n", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1).alias("var")), "gene_sums")
